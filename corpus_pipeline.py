@@ -1,8 +1,59 @@
-"""Placeholder until the stages are there."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+``run`` writes each stage's rows as Parquet into the shared folder and reads them for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestream.llm import jaccard, mixing, packing, suffix, toxicity
+from lodestream.llm.common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scorer rejects go; it learns from all rows of ``labels``."""
+    model, scorer = toxicity.learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, scorer).where("predicted = 0").select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the Jaccard join the smallest doc_id stays."""
+    found = jaccard.jaccard_components(docs)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; a document of which nothing is left goes too."""
+    out = suffix.remove_repeats(docs, keep_text=True).where("n_removed = 0 OR n_removed < n_bytes")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, shared out by the target weights, each document at most once."""
+    taken = mixing.mix_sources(docs, share=0.8, max_epochs=1).select("doc_id").distinct()
+    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences."""
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_near_duplicates), ("repeated_passages", cut_repeats), ("mixing", mix), ("packing", pack)]
+
+#: The first stage is a learned model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
