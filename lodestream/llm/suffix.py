@@ -9,16 +9,18 @@ each start belongs to one anchor, and its equals belong to anchors of the same n
 
 1. Anchors (about one in 85 bytes) are sorted by (32-byte name, name of the stretch that all starts of the anchor
    cover).  A unique 32-byte name drops all starts of the anchor; an equal stretch settles all of them at once.
-2. Starts of the anchors left - those near the end of a repeat - are named by doubling to ``length`` bytes and sorted
-   by that name, one representative standing for equal stretches.  Names met twice are repeats.
+2. The starts of the anchors left are taken 16 at a time, by their distance from the anchor.  What all 16 strings have
+   in common (185 bytes) is the next name, what they cover together (215 bytes) the next stretch: a unique name drops
+   them, an equal stretch settles them.
+3. Starts still left - those within 16 bytes of the end of a repeat - are sorted by the name of their ``length`` bytes,
+   one representative standing for equal stretches.  Names met twice are repeats.
 
-Names are hashes: 64 bits in round 1 beside the anchor's 64, 128 bits in round 2.  Documents never match across
+Names are hashes: 64 bits in rounds 1 and 2 beside the stretch's 64, 128 bits in round 3.  Documents never match across
 their borders.  Copies of a text within a task are sorted once, with their weight.
 
-Defined results: a null text is empty; shorter texts than ``length`` keep all bytes; repeated doc_ids are one document
-as to what is removed only if their texts are equal - rows are told apart by doc_id and a hash of the text; rows
-without doc_id are kept and compared too, under the id -1 internally, with a null doc_id in the result; an empty table
-gives no rows.
+Defined results: a null text is empty; shorter texts than ``length`` keep all bytes; rows that repeat
+doc_id and text are copies of each other, so all their bytes go; rows without doc_id, or that repeat a doc_id with
+another text, get an id of their own inside and keep their doc_id in the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,16 +35,16 @@ from pyspark.sql.types import StructType
 
 from .common import SECOND_BASE, mix, names, prefix_hash, spans, utf8, written
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, BIN = 200, 32, 16
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, anchor name, stretch name) of each anchor; starts count from the text's begin."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, anchor name, stretch name, anchor minus first start) of each anchor."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     h = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     g = names(h, at, at + gram)
@@ -64,7 +66,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     first, last = first[k], last[k]
     stretch = names(h, first, last + length)
     t = text[first]
-    return t, first - off[t], last - off[t], g[owner[first]], stretch
+    return t, first - off[t], last - off[t], g[owner[first]], stretch, owner[first] - first
 
 
 #: Longer texts are read in stretches that overlap by all but one byte of ``length``.
@@ -73,7 +75,7 @@ STRETCH = 1 << 22
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int):
     """(rows, base, bytes, offsets): some texts whole, or a stretch of a long one that begins at ``base``."""
-    for i, j in spans(off):
+    for i, j in spans(off, min(1 << 20, STRETCH)):
         if off[j] - off[i] <= STRETCH:
             yield np.arange(i, j), 0, data[off[i] : off[j]], off[i : j + 1] - off[i]
         else:
@@ -83,7 +85,10 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int):
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(name, stretch, doc, first, last, weight); weight 2 stands for more texts of this task with the same bytes."""
+    """(name, stretch, doc, first, more, weight): ``more`` starts follow ``first`` (times 256, plus the anchor's place).
+
+    Weight 2 stands for more texts of this task with the same bytes.
+    """
 
     def work(batches):
         seen: set[bytes] = set()
@@ -106,11 +111,11 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for i, k in kept:
                 w[i] = k
             for rows, base, part, at in _pieces(data, off, length):
-                t, first, last, name, stretch = anchors(part, at, length, gram)
+                t, first, last, name, stretch, lead = anchors(part, at, length, gram)
                 r = rows[t] if len(t) else t
                 k = w[r] > 0
                 r = r[k]
-                yield pa.RecordBatch.from_arrays([pa.array(name[k].view(np.int64)), pa.array(stretch[k].view(np.int64)), pa.array(ids[r], pa.int64()), pa.array((first[k] + base).astype(np.int32)), pa.array((last - first)[k].astype(np.int32)), pa.array(w[r])], ["name", "stretch", "doc", "first", "more", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[k].view(np.int64)), pa.array(stretch[k].view(np.int64)), pa.array(ids[r], pa.int64()), pa.array((first[k] + base).astype(np.int32)), pa.array(((last - first) * 256 + lead)[k].astype(np.int32)), pa.array(w[r])], ["name", "stretch", "doc", "first", "more", "weight"])
 
     return docs.mapInArrow(work, "name long, stretch long, doc long, first int, more int, weight int")
 
@@ -177,6 +182,42 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
     return parts.mapInArrow(work, "doc long, first int, more int, kind int")
 
 
+def bin_rows(texts: DataFrame, length: int) -> DataFrame:
+    """Rows as of ``anchor_rows`` for the starts to be compared, 16 by their distance from the anchor."""
+
+    def work(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, off = utf8(b.column(1))
+            row, first, more, kind = _todo(b.column(2))
+            for i, j in spans(off):
+                part = data[off[i] : off[j]]
+                k = slice(np.searchsorted(row, i), np.searchsorted(row, j))
+                if k.start == k.stop:
+                    continue
+                r, f, m, lead, w = row[k], first[k], more[k] // 256, more[k] % 256, np.where(kind[k] == 1, 2, 1)
+                base = off[r] - off[i]
+                low = (lead - m) // BIN  # bins of the distances lead - m to lead
+                n = lead // BIN - low + 1
+                at = np.repeat(np.arange(len(r)), n)
+                bins = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                anchor = f[at] + lead[at]
+                begin, end = np.maximum(f[at], anchor - BIN * bins - BIN + 1), np.minimum(f[at] + m[at], anchor - BIN * bins)
+                h, base = prefix_hash(part), base[at]
+                core = names(h, base + anchor - BIN * bins, base + anchor - BIN * bins - BIN + 1 + length)
+                whole = names(h, base + begin, base + end + length)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[r[at]], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(((end - begin) * 256).astype(np.int32)), pa.array(w[at].astype(np.int32))], ["name", "stretch", "doc", "first", "more", "weight"])
+
+    return texts.mapInArrow(work, "name long, stretch long, doc long, first int, more int, weight int")
+
+
+def _todo(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, first, more, kind) of a list column of structs, in the order of the rows."""
+    size = np.diff(column.offsets.to_numpy())
+    v = column.flatten()
+    return np.repeat(np.arange(len(size)), size), *(v.field(c).to_numpy().astype(np.int64) for c in range(3))
+
+
 def start_names(texts: DataFrame, length: int) -> DataFrame:
     """(n1, n2, doc, start, weight) of the starts to be compared; weight -1 marks a start that is settled already."""
 
@@ -184,19 +225,15 @@ def start_names(texts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, off = utf8(b.column(1))
-            todo = b.column(2)
+            rows, first, more, kinds = _todo(b.column(2))
             for i, j in spans(off):
                 part = data[off[i] : off[j]]
-                row, start, kind = [], [], []
-                for k in range(i, j):
-                    for x in todo[k].as_py():
-                        s = np.arange(x["first"], x["first"] + x["more"] + 1)
-                        row.append(np.full(len(s), k))
-                        start.append(s)
-                        kind.append(np.full(len(s), x["kind"]))
-                if not row:
+                t = slice(np.searchsorted(rows, i), np.searchsorted(rows, j))
+                if t.start == t.stop:
                     continue
-                row, start, kind = (np.concatenate(x) for x in (row, start, kind))
+                n = more[t] // 256 + 1
+                row, kind = np.repeat(rows[t], n), np.repeat(kinds[t], n)
+                start = np.repeat(first[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = start + off[row] - off[i]
                 n1 = names(prefix_hash(part), at, at + length)
                 n2 = names(prefix_hash(part, SECOND_BASE), at, at + length, SECOND_BASE)
@@ -255,13 +292,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """
     given = docs
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)])
+    own_id = F.col("doc_id").cast("long")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy(own_id.alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    docs = docs.select(own_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)])
+    if docs.where("doc_id IS NULL").limit(1).count() or repeated.limit(1).count():
+        # ids of such rows are made from id and text, so that equal rows share one; others stay as they are
+        docs = docs.join(repeated, F.col("doc_id") == F.col("again"), "left")
+        odd = F.col("doc_id").isNull() | F.col("again").isNotNull()
+        docs = docs.withColumn("doc", F.when(odd, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("again")
+    else:
+        docs = docs.withColumn("doc", F.col("doc_id"))
     plain = docs.select("doc", "text")
     # Copies that a task left out are found again below by their text's hash: they repeat as a whole.
     found = written(compare_anchors(anchor_rows(plain, length, gram)), "anchors")
-    todo = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "more", "kind")).alias("todo"))
-    fine = compare_starts(start_names(plain.join(todo, "doc").select("doc", "text", "todo"), length))
-    gone = found.where("kind < 2").select("doc", "first", "more").union(fine.select("doc", "first", F.lit(0).alias("more")))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        # The texts are dealt by doc once; Spark reuses that exchange in all rounds.
+        todo = rows.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "more", "kind")).alias("todo"))
+        return plain.join(todo.hint("shuffle_merge"), "doc").select("doc", "text", "todo")
+
+    bins = compare_anchors(bin_rows(with_text(found), length))
+    fine = compare_starts(start_names(with_text(bins), length))
+    settled = found.where("kind < 2").union(bins.where("kind < 2")).select("doc", "first", F.floor(F.col("more") / 256).cast("int").alias("more"))
+    gone = settled.union(fine.select("doc", "first", F.lit(0).alias("more")))
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("gone"))
     copies = docs.select(F.md5(F.col("text").cast("binary")).alias("md5")).groupBy("md5").count().where("count > 1").select("md5", F.lit(True).alias("copied"))
     own = docs.select("doc", F.md5(F.col("text").cast("binary")).alias("md5")).join(copies, "md5").select("doc", "copied").distinct()
@@ -269,7 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     def work(batches):
         for b in batches:
-            ids = b.column(0)
+            ids = b.column(4)
             data, off = utf8(b.column(1))
             out: list[tuple] = []
             texts: list[bytes] = []
@@ -295,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             arrays = [ids, *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())]
             if keep_text:
                 # a cut may fall inside a character; what is left of it is dropped
-                arrays += [pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()), *b.columns[4:]]
+                arrays += [pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()), *b.columns[5:]]
             yield pa.RecordBatch.from_arrays(arrays, schema_names[: len(arrays)])
 
     kind = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
@@ -304,8 +357,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         for i, c in enumerate(others):
             kind = kind.add(f"other{i}", given.schema[c].dataType)
     schema_names = kind.names
-    joined = docs.join(marks, "doc", "left").select("doc", "text", "gone", "copied", *[f"other{i}" for i in range(len(others))])
-    out = joined.mapInArrow(work, kind).withColumn("doc_id", F.nullif("doc_id", F.lit(-1)))
+    joined = docs.join(marks, "doc", "left").select("doc", "text", "gone", "copied", "doc_id", *[f"other{i}" for i in range(len(others))])
+    out = joined.mapInArrow(work, kind)
     if not keep_text:
         return out
     back = {c: f"other{i}" for i, c in enumerate(others)}
