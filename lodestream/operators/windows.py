@@ -219,7 +219,7 @@ def average_cost(fills: DataFrame, keys: list[str], order: list[str], price: str
         cost = F.when(same & (pos != 0), (a["cost"] * F.abs(a["pos"]) + x["p"] * F.abs(x["q"])) / F.abs(pos)).when(pos == 0, 0.0).when(flipped, x["p"]).otherwise(a["cost"])
         return F.struct(pos.alias("pos"), cost.alias("cost"), pnl.alias("pnl"))
 
-    return p.select(*keys, F.aggregate("f", start, step).alias("s")).select(*keys, "s.*")
+    return p.select(*keys, F.aggregate("f", start, step).alias("_s")).select(*keys, "_s.*")
 
 
 def truth_guard(baseline: Column, observed: Column, confidence: Column, least: float, most: float) -> Column:
