@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 _CUT = re.compile(r"(?<=\S) (?=\S)|^ (?=\S)")
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
@@ -34,7 +36,7 @@ class _Rows(dict):
 class PieceEncoder:
     """``glued``: a space belongs to the piece behind it (byte-level files); else spaces are dropped."""
 
-    def __init__(self, path: str, glued: bool, most: int = 700_000):
+    def __init__(self, path: str, glued: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,7 +44,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.glued, self.most = glued, most
         self.known = _Rows()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, shared by all words
         self.flat = np.zeros(1 << 20, np.int32)
         self.used = 0
         self.start = np.zeros(1 << 18, np.int64)
@@ -51,12 +54,12 @@ class PieceEncoder:
 
     def _encode(self, words: list[str], raw: list[str]) -> None:
         """Fill ``words``: of pieces that are one word each, by the merges alone; of any other pieces, by the whole tokenizer."""
-        merge = self.tokenizer.model.tokenize
+        merge, same = self.tokenizer.model.tokenize, self.numbers.__getitem__
         for x in words:
-            self.words[x] = [t.id for t in merge(x.encode().decode("latin-1").translate(_SHOWN))]
+            self.words[x] = tuple(same(t.id) for t in merge(x.encode().decode("latin-1").translate(_SHOWN)))
         if raw:
             for x, e in zip(raw, self.tokenizer.encode_batch(raw, add_special_tokens=False), strict=True):
-                self.words[x] = e.ids
+                self.words[x] = tuple(same(i) for i in e.ids)
 
     def _parts(self, raw: str) -> list[str]:
         lead = " " if self.glued and raw[:1] == " " else ""
@@ -131,14 +134,9 @@ class PieceEncoder:
         return ids, np.diff(np.append(0, total))
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, glued: bool) -> PieceEncoder:
     """One for each worker process; its table lives on between tasks."""
-    if (path, glued) not in _ENCODERS:
-        _ENCODERS[(path, glued)] = PieceEncoder(path, glued)
-    return _ENCODERS[(path, glued)]
+    return held(("encoder", path, glued), lambda: PieceEncoder(path, glued))
 
 
 def encoded(texts: list[str | None], path: str, glued: bool, step: int = 500) -> Iterator[tuple[int, np.ndarray]]:
