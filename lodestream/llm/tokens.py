@@ -36,7 +36,7 @@ class _Rows(dict):
 class PieceEncoder:
     """``glued``: a space belongs to the piece behind it (byte-level files); else spaces are dropped."""
 
-    def __init__(self, path: str, glued: bool, most: int = 500_000):
+    def __init__(self, path: str, glued: bool, most: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
