@@ -63,10 +63,16 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def global_position(df: DataFrame, order: list[str], name: str = "pos", slices: int | None = None) -> DataFrame:
     """0-based position in the order of all rows, without a window over all rows in one task.
 
-    Rows are dealt by range, numbered inside their slice, and slices are offset by the counts before them.
+    Rows are dealt by range, numbered inside their slice, and slices are offset by the counts before them.  The dealt
+    rows are written once: bounds of ranges are sampled, and a second run would sample others.
     """
+    from lodestream.sources.files import work_path
+
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())
+    path = work_path(df.sparkSession, "slices")
+    d.write.parquet(path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path)
     w = Window.partitionBy("_slice").orderBy(*order)
     d = d.withColumn("_nth", F.row_number().over(w) - 1)
     sizes = d.groupBy("_slice").agg(F.count("*").alias("_n"))  # one number for each slice

@@ -95,7 +95,7 @@ def adaptive_labels(df: DataFrame, w: WindowSpec, c: str, n: int) -> DataFrame:
     f = w.rowsBetween(-n + 1, 0)
     d = df.withColumn("_q", F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(f))
     iqr = F.col("_q")[2] - F.col("_q")[0]
-    label = F.when(F.col(c) > F.col("_q")[1] + iqr, "high").when(F.col(c) < F.col("_q")[1] - iqr, "low").otherwise("mid")
+    label = F.when(F.col(c) > F.col("_q")[1] + iqr + 1e-9, "high").when(F.col(c) < F.col("_q")[1] - iqr - 1e-9, "low").otherwise("mid")
     return d.withColumn("label", label).drop("_q")
 
 

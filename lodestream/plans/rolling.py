@@ -96,7 +96,7 @@ def w11_synchrony(spark, d):
     return r(W.synchrony(panel(spark, d), "asset", "ts", "v", 8)).withColumn("ts", stamp("ts"))
 
 
-@query(f"""WITH a AS (SELECT event_id, price, quantile_cont(price, [0.25, 0.5, 0.75]) OVER ({ORDER} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS q FROM {T}) SELECT event_id, CASE WHEN price > q[2] + (q[3] - q[1]) THEN 'high' WHEN price < q[2] - (q[3] - q[1]) THEN 'low' ELSE 'mid' END AS label FROM a""")
+@query(f"""WITH a AS (SELECT event_id, price, quantile_cont(price, [0.25, 0.5, 0.75]) OVER ({ORDER} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS q FROM {T}) SELECT event_id, CASE WHEN price > q[2] + (q[3] - q[1]) + 1e-9 THEN 'high' WHEN price < q[2] - (q[3] - q[1]) - 1e-9 THEN 'low' ELSE 'mid' END AS label FROM a""")
 def w12_adaptive_labels(spark, d):
     return W.adaptive_labels(ticks(spark, d), w_(), "price", 30).select("event_id", "label")
 
