@@ -249,3 +249,56 @@ def branching_ratio(df: DataFrame, keys: list[str], order: list[str], value: str
     d = df.withColumn("_l", F.array(*[F.struct(F.lit(k).alias("k"), F.lead(value, k).over(w).alias("y")) for k in range(1, most + 1)]))
     g = d.select(*keys, x.alias("x"), F.explode("_l").alias("l")).where("l.y IS NOT NULL").groupBy(*keys, "l.k").agg((F.sum(F.col("x") * F.col("l.y")) / F.nullif(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).alias("r")).where("r > 0")
     return g.groupBy(*keys).agg(F.avg(F.pow("r", 1 / F.col("k"))).alias("ratio"))
+
+
+def half_overlapping(df: DataFrame, keys: list[str], order: list[str], windows: int) -> DataFrame:
+    """(keys, win, ...): rows of each of ``windows`` windows that overlap by half."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    half = F.greatest(F.lit(1), F.floor(F.col("_n") / (windows + 1)))
+    at = F.floor(F.col("_i") / half)
+    d = d.withColumn("win", F.explode(F.array(at - 1, at)))
+    return d.where((F.col("win") >= 0) & (F.col("win") < windows)).drop("_i", "_n")
+
+
+def spectrum_slope(df: DataFrame, keys: list[str], order: list[str], value: str, segment: int = 64) -> DataFrame:
+    """Slope of ln power on ln frequency of the averaged periodogram of half-overlapping, mean-removed, tapered segments.
+
+    Segments are bounded; each goes through one FFT in an Arrow batch, and powers are averaged in Spark.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    w = Window.partitionBy(*keys).orderBy(*order)
+    half = segment // 2
+    d = df.withColumn("_i", F.row_number().over(w) - 1)
+    d = d.select(*keys, "_i", F.col(value).cast("double").alias("_v"), F.explode(F.array(F.floor(F.col("_i") / half) - 1, F.floor(F.col("_i") / half))).alias("seg")).where("seg >= 0")
+    s = d.groupBy(*keys, "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("x")).where(F.size("x") == segment)
+    taper = np.hanning(segment)
+
+    def power(batches):
+        for b in batches:
+            x = b.column(b.num_columns - 1)
+            m = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, segment)
+            p = np.abs(np.fft.rfft((m - m.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(p), pa.list_(pa.float64()))], [*b.schema.names[:-1], "p"])
+
+    kind = ", ".join(f"{c} {t}" for c, t in s.drop("x").dtypes) + ", p array<double>"
+    p = s.mapInArrow(power, kind).select(*keys, F.posexplode("p").alias("f", "p")).where("f > 0").groupBy(*keys, "f").agg(F.avg("p").alias("p")).where("p > 0")
+    return p.groupBy(*keys).agg((-F.regr_slope(F.ln("p"), F.ln("f"))).alias("gamma"), F.count("*").alias("bins"))
+
+
+def recurrence(df: DataFrame, keys: list[str], order: list[str], value: str, tau: int, threshold: float) -> DataFrame:
+    """Recurrence rate and determinism (share of recurrent points on diagonals of two or more) of two-value embeddings.
+
+    Pairs are formed within a key; keys are for bounded series.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.select(*keys, (F.row_number().over(w)).alias("i"), F.col(value).alias("x"), F.lead(value, tau).over(w).alias("y")).where("y IS NOT NULL")
+    a, b = d, d.select(*keys, F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
+    near = a.join(b, keys).where(f"i < j AND abs(x - u) <= {threshold} AND abs(y - v) <= {threshold}").select(*keys, "i", "j")
+    on = F.lead("i").over(Window.partitionBy(*keys, F.col("j") - F.col("i")).orderBy("i")) == F.col("i") + 1
+    before = F.lag("i").over(Window.partitionBy(*keys, F.col("j") - F.col("i")).orderBy("i")) == F.col("i") - 1
+    g = near.withColumn("_d", F.coalesce(on, F.lit(False)) | F.coalesce(before, F.lit(False))).groupBy(*keys).agg(F.count("*").alias("points"), F.count_if("_d").alias("diagonal"))
+    n = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(g, keys, "left").select(*keys, (2 * F.coalesce("points", F.lit(0)) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("rate"), (F.col("diagonal") / F.col("points")).alias("determinism"))

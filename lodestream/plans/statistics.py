@@ -163,3 +163,44 @@ def i31_branching_ratio(spark, d):
 def i36_branch_rollup(spark, d):
     x = returns(spark, d).withColumn("branch", F.when(F.col("symbol").isin("click", "view"), "traffic").otherwise("business"))
     return x.groupBy("branch").agg(F.count("*").alias("n"), F.round(F.percentile("ret", F.lit(0.5)), 6).alias("median"))
+
+
+@query("""WITH x AS (SELECT user_id AS k, event_id, 1.0 + event_id % 97 AS x, value * 0.1 + 1.0 + event_id % 97 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value > -1), w AS (SELECT *, unnest([i // greatest(1, n // 4) - 1, i // greatest(1, n // 4)]) AS win FROM x),
+l AS (SELECT k, win, event_id, ln(x) AS x, ln(y) AS y FROM w WHERE win >= 0 AND win < 3), s AS (SELECT a.k, a.win, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM l a JOIN l b ON a.k = b.k AND a.win = b.win AND a.event_id < b.event_id AND a.x <> b.x GROUP BY ALL)
+SELECT k, count(*) AS windows, round(max(-slope) - min(-slope), 5) AS spread FROM s GROUP BY k""")
+def i14_window_sweep(spark, d):
+    x = table(spark, d, "events").where("value > -1").select(F.col("user_id").alias("k"), "ts", "event_id", (1.0 + F.col("event_id") % 97).alias("x"), (F.col("value") * 0.1 + 1.0 + F.col("event_id") % 97).alias("y"))
+    g = S.theil_sen(S.half_overlapping(x, ["k"], ["ts", "event_id"], 3), ["k", "win"], "event_id", "x", "y").where("gamma IS NOT NULL")
+    return r(g.groupBy("k").agg(F.count("*").alias("windows"), (F.max("gamma") - F.min("gamma")).alias("spread")), 5)
+
+
+@query()
+def i13_exponent_interval(spark, d):
+    """Share of hashed half samples whose exponent exceeds one, with the middle 95 % of exponents."""
+    x = table(spark, d, "events").where("value > -1").select((F.col("user_id") % 5).alias("k"), "event_id", (1.0 + F.col("event_id") % 97).alias("x"), (F.col("value") * 0.1 + 1.0 + F.col("event_id") % 97).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("round"))
+    g = S.theil_sen(x.where(S.uniform(7, "event_id", "round") < 0.5), ["k", "round"], "event_id", "x", "y", most=300)
+    q = F.percentile("gamma", F.array(F.lit(0.025), F.lit(0.975)))
+    return g.groupBy("k").agg(q.alias("q"), F.avg((F.col("gamma") > 1).cast("int")).alias("above")).select("k", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "above")
+
+
+@query()
+def i16_spectrum_slope(spark, d):
+    return S.spectrum_slope(ticks(spark, d), ["symbol"], ["ts", "event_id"], "price", 32)
+
+
+@query("""WITH x AS (SELECT event_type || (user_id % 20) AS k, row_number() OVER w AS i, value AS x, lead(value, 2) OVER w AS y FROM events WINDOW w AS (PARTITION BY event_type || (user_id % 20) ORDER BY ts, event_id)), e AS (SELECT * FROM x WHERE y IS NOT NULL),
+p AS (SELECT a.k, a.i, b.i AS j FROM e a JOIN e b ON a.k = b.k AND a.i < b.i AND abs(a.x - b.x) <= 20 AND abs(a.y - b.y) <= 20), g AS (SELECT k, coalesce(lead(i) OVER w = i + 1, false) OR coalesce(lag(i) OVER w = i - 1, false) AS d FROM p WINDOW w AS (PARTITION BY k, j - i ORDER BY i)), s AS (SELECT k, count(*) AS points, count(*) FILTER (d) AS diag FROM g GROUP BY k), n AS (SELECT k, count(*) AS n FROM e GROUP BY k)
+SELECT k, round(2 * coalesce(points, 0) / nullif(n * (n - 1), 0), 6) AS rate, round(diag / points, 6) AS determinism FROM n LEFT JOIN s USING (k)""")
+def i24_recurrence(spark, d):
+    x = table(spark, d, "events").withColumn("k", F.concat("event_type", (F.col("user_id") % 20).cast("string")))
+    return r(S.recurrence(x, ["k"], ["ts", "event_id"], "value", 2, 20))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS k, 'l_tax' AS metric, l_tax AS v, l_linestatus = 'O' AS g FROM lineitem UNION ALL SELECT l_returnflag, 'l_discount', l_discount, l_linestatus = 'O' FROM lineitem), s AS (SELECT metric, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS diff, var_samp(v) FILTER (g) / count(*) FILTER (g) + var_samp(v) FILTER (NOT g) / count(*) FILTER (NOT g) AS se2 FROM m GROUP BY metric)
+SELECT metric, round(diff, 9) AS diff, round(diff / sqrt(se2), 5) AS t FROM s""")
+def i11_panel_contrast(spark, d):
+    li = table(spark, d, "lineitem")
+    long = li.select("l_linestatus", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("l_tax", "l_discount")])).alias("x")).select("l_linestatus", "x.*")
+    out = S.two_samples(long, ["metric"], F.col("l_linestatus") == "O", "v").select("metric", "t")
+    mean = long.groupBy("metric").agg((F.avg(F.when(F.col("l_linestatus") == "O", F.col("v"))) - F.avg(F.when(F.col("l_linestatus") != "O", F.col("v")))).alias("diff"))
+    return out.join(mean, "metric").select("metric", F.round("diff", 9).alias("diff"), F.round("t", 5).alias("t"))
