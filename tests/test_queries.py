@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,5 +42,5 @@ def test_query(spark, duck, name):
     want = duck.execute(registry.SQL[name]).df()
     a, b = rows(got), rows(want)
     assert a[0] == b[0]
-    number = lambda x: repr(float(x)) if x.replace(".", "", 1).replace("-", "", 2).replace("e", "", 1).isdigit() else x
+    number = lambda x: repr(float(x)) if re.fullmatch(r"-?[0-9]+(\.[0-9]+)?(e[+-]?[0-9]+)?", x) else x
     assert [tuple(map(number, r)) for r in a[1]] == [tuple(map(number, r)) for r in b[1]]
