@@ -48,6 +48,22 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts:
     return out.select("row.*", F.col("m.at").alias(f"{right_ts}_matched"), *[F.col(f"m.{c}").alias(c) for c in cols])
 
 
+def asof_sliced(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str, cols: list[str], seconds: int) -> DataFrame:
+    """Backward as-of join for keys that hold very many rows: both sides are cut into slices of time.
+
+    Each slice gets, beside its own right rows, the last right row before it; only one row a slice is looked at to find
+    that, so neither side of a key meets in one task.
+    """
+    a = left.withColumn("_slice", bucket(ts, seconds))
+    b = right.select(*keys, right_ts, *cols).withColumn("_slice", bucket(right_ts, seconds))
+    last = b.groupBy(*keys, "_slice").agg(F.max_by(F.struct(right_ts, *cols), right_ts).alias("_last"))
+    every = a.select(*keys, "_slice").distinct().join(last, [*keys, "_slice"], "full")
+    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = every.withColumn("_open", F.last("_last", ignorenulls=True).over(w)).where("_open IS NOT NULL").select(*keys, "_slice", "_open.*")
+    both = b.unionByName(opening)
+    return asof(a, both, [*keys, "_slice"], ts, right_ts, cols).drop("_slice")
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], changed: Column, name: str = "island") -> DataFrame:
     """Number the runs of rows: a new one begins where ``changed`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -28,7 +28,7 @@ SELECT event_id, CASE WHEN available_at <= ts THEN {s("period_end")} END AS matc
 def j1_join_without_leakage(spark, d):
     # One macro series for all ticks: the ticks are cut into days, and each day takes the series along.
     t = ticks(spark, d).select("event_id", "ts", F.lit(1).alias("one"))
-    out = J.join_without_leakage(t, macro(spark, d), ["one"], "ts", "period_end", "available_at", ["v"])
+    out = J.join_without_leakage(t, macro(spark, d), ["one"], "ts", "period_end", "available_at", ["v"], slice_seconds=86400)
     return out.select("event_id", stamp("period_end_matched").alias("matched"), "v")
 
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestream.operators import clean, joins, modelling, resample, stats, windows
-from lodestream.operators.primitives import asof, global_position, islands
+from lodestream.operators.primitives import asof, asof_sliced, global_position, islands
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -23,6 +23,9 @@ def test_asof_takes_the_last_value_and_hides_what_was_not_known(spark):
     assert out == {(1, at(10)): None, (1, at(100)): 2.0, (2, at(50)): None, (1, None): None}
     free = {(r["k"], r["ts"]): r["v"] for r in joins.join_without_leakage(market, macro, ["k"], "ts", "period", "available", ["v"], allow_future=True).collect()}
     assert free[(1, at(10))] == 1.0
+    cut = {(r["k"], r["ts"]): r["v"] for r in asof_sliced(market.where("ts IS NOT NULL"), macro, ["k"], "ts", "period", ["v"], 30).collect()}
+    whole = {(r["k"], r["ts"]): r["v"] for r in asof(market.where("ts IS NOT NULL"), macro, ["k"], "ts", "period", ["v"]).collect()}
+    assert cut == whole
     ahead = {(r["k"], r["ts"]): r["v"] for r in asof(market.where("ts IS NOT NULL"), macro, ["k"], "ts", "period", ["v"], "forward").collect()}
     assert ahead == {(1, at(10)): 2.0, (1, at(100)): 2.0, (2, at(50)): 3.0}
 
