@@ -140,7 +140,7 @@ def language_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, fit_rows: int = 4000, fit_bytes: int = 20_000) -> Codes | None:
+def learn(rows: DataFrame, fit_rows: int = 2000, fit_bytes: int = 20_000) -> Codes | None:
     """rows: (doc_id, text, lang) to learn from."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     t = language_counts(rows.select("text", "lang")).toArrow()  # at most 2**18 numbers for each language
@@ -151,7 +151,10 @@ def learn(rows: DataFrame, fit_rows: int = 4000, fit_bytes: int = 20_000) -> Cod
     counts = np.zeros((len(langs), FEATURES))
     counts[np.searchsorted(langs, names), t.column("feature").to_numpy()] = t.column("n").to_numpy()
     model = Codes(langs, counts)
-    fit = rows.where(F.octet_length("text") <= fit_bytes).select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "lang").limit(fit_rows).toArrow()
+    # ids first (at most ``fit_rows`` numbers, so they are broadcast), then their texts: no task gathers texts to sort them
+    short = rows.where(F.octet_length("text") <= fit_bytes)
+    ids = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
+    fit = short.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * fit_rows).toArrow()
     if fit.num_rows:
         data, off = utf8(fit.column("text"))
         model.calibrate(model.margins(data, off), np.searchsorted(langs, fit.column("lang").to_numpy(zero_copy_only=False).astype(str)))
