@@ -123,3 +123,36 @@ def feature_divergence(df: DataFrame, keys: list[str], order: list[str], price:
     z = {c: F.coalesce((F.col(f"_{c}") - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in cols}
     norm = F.sqrt(sum((z[c] * z[c] for c in features), F.lit(0.0)))
     return d.withColumn("cosine", F.coalesce(F.signum(z[price]) * z[features[0]] / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+
+
+def temporal_features(cells: DataFrame, run: str, step: str, cell: list[str], value: str) -> DataFrame:
+    """For each run: mean and sd of the step changes, smoothness, energy, and mean recurrence (cosine of a step with the one before)."""
+    w = Window.partitionBy(run, *cell).orderBy(step)
+    v, p = F.col(value), F.lag(value).over(w)
+    d = cells.withColumn("_p", p)
+    s = d.groupBy(run, step).agg(F.avg(F.abs(v - F.col("_p"))).alias("change"), F.avg(v * v).alias("energy"), (F.sum(v * F.col("_p")) / F.nullif(F.sqrt(F.sum(F.when(F.col("_p").isNotNull(), v * v))) * F.sqrt(F.sum(F.col("_p") * F.col("_p"))), F.lit(0.0))).alias("cosine"))
+    g = s.groupBy(run).agg(F.avg("change").alias("change"), F.stddev_samp("change").alias("volatility"), F.avg("energy").alias("energy"), F.avg("cosine").alias("recurrence"))
+    return g.withColumn("smoothness", 1 / (1 + F.col("change")))
+
+
+def early_warning(steps: DataFrame, run: str, step: str, value: str) -> DataFrame:
+    """Variance ratio and range growth of the second half against the first, lag-1 autocorrelation, and a class."""
+    w = Window.partitionBy(run)
+    d = steps.withColumn("_i", F.row_number().over(w.orderBy(step)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_l", F.lag(value).over(w.orderBy(step)))
+    late = F.col("_i") >= F.col("_n") / 2
+    a, b = F.when(~late, F.col(value)), F.when(late, F.col(value))
+    g = d.groupBy(run).agg((F.var_pop(b) / F.nullif(F.var_pop(a), F.lit(0.0))).alias("variance_ratio"), ((F.max(b) - F.min(b)) / F.nullif(F.max(a) - F.min(a), F.lit(0.0))).alias("range_growth"), F.corr(value, "_l").alias("memory"), F.skewness(value).alias("skew"))
+    score = F.least(F.lit(1.0), (F.greatest(F.lit(0.0), F.coalesce(F.col("variance_ratio"), F.lit(1.0)) - 1) + F.greatest(F.lit(0.0), F.coalesce("memory", F.lit(0.0)))) / 2)
+    return g.withColumn("score", score).withColumn("class", F.when(F.col("score") > 0.6, "critical").when(F.col("score") > 0.3, "warning").otherwise("stable"))
+
+
+def grid_connectivity(cells: DataFrame, keys: list[str], r: str, c: str, value: str) -> DataFrame:
+    """Active share (above mean plus sd), and mean number of active right and lower neighbours of active cells."""
+    stats = cells.groupBy(*keys).agg((F.avg(value) + F.stddev_pop(value)).alias("_t"))
+    on = cells.join(stats, keys).withColumn("on", (F.col(value) > F.col("_t")).cast("int"))
+    share = on.groupBy(*keys).agg(F.avg("on").alias("active"))
+    a = on.where("on = 1").select(*keys, F.col(r).alias("r"), F.col(c).alias("c"))
+    near = a.select(*keys, "r", "c", F.explode(F.array(F.struct((F.col("r") + 1).alias("r2"), F.col("c").alias("c2")), F.struct(F.col("r").alias("r2"), (F.col("c") + 1).alias("c2")))).alias("s")).select(*keys, "r", "c", "s.*")
+    hit = near.join(a.select(*keys, F.col("r").alias("r2"), F.col("c").alias("c2"), F.lit(1).alias("hit")), [*keys, "r2", "c2"], "left")
+    g = hit.groupBy(*keys).agg((2 * F.avg(F.coalesce("hit", F.lit(0)))).alias("neighbours"))
+    return share.join(g, keys, "left")

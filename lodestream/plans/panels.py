@@ -100,3 +100,31 @@ SELECT event_id, round(coalesce(sign((p - mp) / sp) * ((f - mf) / sf) / nullif(s
 def m16_feature_divergence(spark, d):
     t = ticks(spark, d).withColumn("f", F.col("user_id").cast("double")).withColumn("g", (F.col("event_id") % 10).cast("double"))
     return r(M.feature_divergence(t, ["symbol"], ["ts", "event_id"], "price", ["f", "g"]).select("event_id", "cosine"))
+
+
+CELLS = "c AS (SELECT event_type AS run, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS step, user_id % 20 AS cell, avg(value) AS v FROM events GROUP BY ALL)"
+
+
+def cells(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.unix_date(F.to_date("ts")).alias("step"), (F.col("user_id") % 20).alias("cell")).agg(F.avg("value").alias("v"))
+
+
+@query(f"""WITH {CELLS}, x AS (SELECT *, lag(v) OVER (PARTITION BY run, cell ORDER BY step) AS p FROM c), s AS (SELECT run, step, avg(abs(v - p)) AS change, avg(v * v) AS energy, sum(v * p) / nullif(sqrt(sum(v * v) FILTER (p IS NOT NULL)) * sqrt(sum(p * p)), 0) AS cosine FROM x GROUP BY ALL)
+SELECT run, round(avg(change), 6) AS change, round(stddev_samp(change), 6) AS volatility, round(avg(energy), 5) AS energy, round(avg(cosine), 6) AS recurrence, round(1 / (1 + avg(change)), 6) AS smoothness FROM s GROUP BY run""")
+def w21_temporal_features(spark, d):
+    return r(M.temporal_features(cells(spark, d), "run", "step", ["cell"], "v"), 6, energy=5)
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT run, step, avg(v) AS m FROM c GROUP BY ALL), x AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY run) AS n, lag(m) OVER w AS l FROM s WINDOW w AS (PARTITION BY run ORDER BY step)),
+g AS (SELECT run, var_pop(m) FILTER (i >= n / 2) / nullif(var_pop(m) FILTER (i < n / 2), 0) AS vr, (max(m) FILTER (i >= n / 2) - min(m) FILTER (i >= n / 2)) / nullif(max(m) FILTER (i < n / 2) - min(m) FILTER (i < n / 2), 0) AS rg, corr(m, l) AS mem FROM x GROUP BY run),
+k AS (SELECT *, least(1, (greatest(0, coalesce(vr, 1) - 1) + greatest(0, coalesce(mem, 0))) / 2) AS score FROM g) SELECT run, round(vr, 6) AS variance_ratio, round(rg, 6) AS range_growth, round(mem, 6) AS memory, round(score, 6) AS score, CASE WHEN score > 0.6 THEN 'critical' WHEN score > 0.3 THEN 'warning' ELSE 'stable' END AS class FROM k""")
+def w20_early_warning(spark, d):
+    s = cells(spark, d).groupBy("run", "step").agg(F.avg("v").alias("m"))
+    return r(M.early_warning(s, "run", "step", "m").drop("skew"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS k, l_partkey % 32 AS r, l_suppkey % 10 AS c, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT k, avg(v) + stddev_pop(v) AS t FROM c GROUP BY k), o AS (SELECT c.*, CAST(v > t AS INT) AS o FROM c JOIN t USING (k)), a AS (SELECT k, r, c FROM o WHERE o = 1),
+n AS (SELECT a.k, (EXISTS (SELECT 1 FROM a b WHERE b.k = a.k AND b.r = a.r + 1 AND b.c = a.c))::INT + (EXISTS (SELECT 1 FROM a b WHERE b.k = a.k AND b.r = a.r AND b.c = a.c + 1))::INT AS n FROM a) SELECT k, round(avg(o), 6) AS active, (SELECT round(avg(n), 6) FROM n WHERE n.k = o.k) AS neighbours FROM o GROUP BY k""")
+def m14_grid_connectivity(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 10).alias("j")).agg(F.avg("l_quantity").alias("v"))
+    return r(M.grid_connectivity(x, ["k"], "i", "j", "v"))
