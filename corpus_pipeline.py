@@ -19,10 +19,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, scorer).where("predicted = 0").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, another number for every row: its doc_id, where no other row has that one.
+
+    Rows without doc_id, or that repeat one, get a hash of the whole row and the copy's number; equal rows are counted
+    before they are numbered, so no task gets all copies of a row.
+    """
+    own_id = F.col("doc_id").cast("long")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy(own_id.alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    if not (docs.where(own_id.isNull()).limit(1).count() or repeated.limit(1).count()):
+        return docs.withColumn("row_key", own_id)
+    marked = docs.join(repeated, own_id == F.col("again"), "left")
+    odd = own_id.isNull() | F.col("again").isNotNull()
+    single = marked.where(~odd).select(*docs.columns, own_id.alias("row_key"))
+    copies = marked.where(odd).groupBy(*docs.columns).agg(F.count("*").alias("copies"))
+    copies = copies.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    # nulls are skipped by the hash, so their places go into it
+    places = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    several = copies.select(*docs.columns, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *places, "copy").alias("row_key"))
+    return written(single.union(several), "keyed")
+
+
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join the smallest doc_id stays."""
-    found = jaccard.jaccard_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of the Jaccard join one row stays: that of the smallest doc_id, rows without doc_id coming last.
+
+    Every row counts as a document of its own. Texts without words are linked with nothing; of those only rows that
+    repeat a doc_id are one class.
+    """
+    rows = keyed(docs)
+    found = jaccard.jaccard_components(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id")
+    ids = rows.select("row_key", F.col("doc_id").cast("long").alias("id"))
+    found = written(found.join(ids, "row_key").select("row_key", "id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.coalesce("id", "row_key")).alias("class")), "near-classes")
+    stays = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key"))["row_key"].alias("row_key"))
+    goes = found.select("row_key").join(stays.select("row_key"), "row_key", "left_anti")
+    return rows.join(goes, "row_key", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +66,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, shared out by the target weights, each document at most once."""
-    taken = mixing.mix_sources(docs, share=0.8, max_epochs=1).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    taken = mixing.mix_sources(rows.withColumn("doc_id", F.col("row_key")), share=0.8, max_epochs=1).select(F.col("doc_id").alias("row_key"))
+    return rows.join(taken, "row_key", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
