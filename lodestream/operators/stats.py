@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .search import uniform
 
@@ -128,13 +131,74 @@ def effective_size(rho: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFra
     return r.join(sizes, keys).withColumn("effective", F.col("n") / F.col("tau"))
 
 
-def theil_sen(df: DataFrame, keys: list[str], row: str, x: str, y: str, most: int = 2000) -> DataFrame:
-    """Median of pair slopes of ln y on ln x with r2 and a verdict. A longer series than ``most`` points is represented
-    by those with the smallest hash; ``used`` says how many."""
+def _inversions(rank: np.ndarray) -> int:
+    """Pairs i < j with rank[i] > rank[j] of distinct ranks below their number, counted bit by bit."""
+    total, n = 0, len(rank)
+    for bit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
+        one = (rank >> bit) & 1
+        before = np.cumsum(one) - one
+        high = rank >> (bit + 1)
+        lead = np.append(True, high[1:] != high[:-1])
+        before -= before[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+        total += int(before[one == 0].sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
+def median_pair_slope(x: np.ndarray, y: np.ndarray, direct: int = 512) -> float | None:
+    """Median of the slopes of all pairs of points with different x; None if there is no such pair.
+
+    Above ``direct`` points no pairs are made: the slope is bisected, and pairs below it are counted as inversions.
+    """
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    n = len(x)
+    lead = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if n else np.zeros(0, np.int64)
+    if len(lead) < 2:
+        return None
+    if n <= direct:
+        i, j = np.triu_indices(n, 1)
+        i, j = i[x[i] != x[j]], j[x[i] != x[j]]
+        return float(np.median((y[j] - y[i]) / (x[j] - x[i])))
+    size = np.diff(np.append(lead, n))
+    pairs = (n * n - int((size.astype(np.int64) ** 2).sum())) // 2
+    at = np.arange(n)
+
+    def below(m: float) -> int:
+        # equal z count as a slope not above m, but not among points of one x, which are sorted by y
+        z = y - m * x
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((-at, z))] = at
+        run = np.diff(np.flatnonzero(np.append(np.append(True, (x[1:] != x[:-1]) | (z[1:] != z[:-1])), True)))
+        return _inversions(rank) - int((run * (run - 1) // 2).sum())
+
+    # no slope is outside those between neighbouring x
+    gap = np.diff(x[lead])
+    least, most = y[lead], y[np.append(lead[1:], n) - 1]
+    bottom, top = ((least[1:] - most[:-1]) / gap).min(), ((most[1:] - least[:-1]) / gap).max()
+
+    def nth(k: int) -> float:
+        lo, hi = bottom - 1e-9 * (1 + abs(bottom)), top + 1e-9 * (1 + abs(top))
+        while hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi)):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if below(mid) >= k else (mid, hi)
+        return (lo + hi) / 2
+
+    middle = nth((pairs + 1) // 2)
+    return float(middle if pairs % 2 else (middle + nth(pairs // 2 + 1)) / 2)
+
+
+def theil_sen(df: DataFrame, keys: list[str], row: str, x: str, y: str) -> DataFrame:
+    """Median of the slopes of all pairs of ln y on ln x, with r2 and a verdict over all ``used`` rows."""
     d = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*keys, row, F.ln(x).alias("lx"), F.ln(y).alias("ly"))
-    d = d.withColumn("_h", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(row), row))).where(F.col("_h") <= most)
-    a, b = d.select(*keys, F.col("_h").alias("i"), F.col("lx").alias("x1"), F.col("ly").alias("y1")), d.select(*keys, F.col("_h").alias("j"), F.col("lx").alias("x2"), F.col("ly").alias("y2"))
-    s = a.join(b, keys).where("i < j AND x1 <> x2").groupBy(*keys).agg(F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), F.lit(0.5)).alias("slope"))
+    kind = StructType([*(f for f in d.select(*keys).schema), StructField("slope", DoubleType())])
+    names = kind.names
+
+    def slope(t: pa.Table) -> pa.Table:
+        m = median_pair_slope(t.column("lx").to_numpy(), t.column("ly").to_numpy())
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([m], pa.float64())], names)
+
+    s = d.select(*keys, "lx", "ly").groupBy(*keys).applyInArrow(slope, kind)
     base = d.groupBy(*keys).agg(F.count("*").alias("used"), (F.max("lx") - F.min("lx")).alias("span"), F.pow(F.corr("lx", "ly"), 2).alias("r2"))
     out = base.join(s, keys, "left").withColumn("gamma", -F.col("slope"))
     off = F.abs(F.col("gamma") - 1)

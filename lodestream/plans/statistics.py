@@ -178,7 +178,7 @@ def i14_window_sweep(spark, d):
 def i13_exponent_interval(spark, d):
     """Share of hashed half samples whose exponent exceeds one, with the middle 95 % of exponents."""
     x = table(spark, d, "events").where("value > -1").select((F.col("user_id") % 5).alias("k"), "event_id", (1.0 + F.col("event_id") % 97).alias("x"), (F.col("value") * 0.1 + 1.0 + F.col("event_id") % 97).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("round"))
-    g = S.theil_sen(x.where(S.uniform(7, "event_id", "round") < 0.5), ["k", "round"], "event_id", "x", "y", most=300)
+    g = S.theil_sen(x.where(S.uniform(7, "event_id", "round") < 0.5), ["k", "round"], "event_id", "x", "y")
     q = F.percentile("gamma", F.array(F.lit(0.025), F.lit(0.975)))
     return g.groupBy("k").agg(q.alias("q"), F.avg((F.col("gamma") > 1).cast("int")).alias("above")).select("k", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "above")
 
