@@ -32,21 +32,27 @@ def topology_proxy(corr: DataFrame, n: Column) -> DataFrame:
     return g.select(((F.col("n") * F.col("n")) / (F.col("n") + 2 * F.col("s")) / F.col("n") * (1 + F.col("sd"))).alias("score"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(v, component) of undirected edges (a, b) by passing on smallest numbers, with pointer jumps, until nothing changes."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = both.checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else both.persist()
-    label = both.select(F.col("a").alias("v")).distinct().withColumn("c", F.col("v"))
-    for _ in range(rounds):
-        low = both.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = label.join(low, F.col("v") == F.col("a")).select("v", F.least("c", "m").alias("c"))
-        jump = step.join(step.select(F.col("v").alias("p"), F.col("c").alias("pc")), F.col("c") == F.col("p"), "left").select("v", F.least("c", F.coalesce("pc", "c")).alias("c"))
-        jump = jump.checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else jump.persist()
-        changed = jump.withColumnRenamed("c", "c2").join(label, "v").where("c <> c2").limit(1).count()
-        label = jump
-        if not changed:
-            break
-    return label.withColumnRenamed("c", "component")
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(v, component) of undirected edges (a, b): the smallest vertex that can be reached.
+
+    Large-star and small-star steps alternate until nothing changes, some multiple of log2 of the vertices also on long
+    paths; should ``most_rounds`` not be enough, an error says so and no labels are given.
+    """
+    cut = (lambda df: df.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.localCheckpoint())
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    for _ in range(most_rounds):
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        step = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b")))
+        e = cut(step.distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return e.union(e.select("b", "b")).distinct().toDF("v", "component")
+        mark = now
+    raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
 def motifs(edges: DataFrame) -> DataFrame:
