@@ -2,7 +2,8 @@
 
 A text is cut at single spaces between two non-space characters.  Both tokenizer files split there before they merge,
 so the ids of a text are those of its pieces in a row; pieces are looked up in a bounded table of the worker, and only
-unknown ones are encoded.  Pieces in Latin letters are cut once more between letters and punctuation.
+unknown ones are encoded.  Pieces in Latin letters are cut once more at line ends and between letters and symbols.  A text that may
+hold the string of a special token is given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -11,81 +12,100 @@ import gc
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 from .common import held
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|^ (?=\S)")
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
-_LINES = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?])\n(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
-
+#: A word in Latin letters and a run of ASCII symbols; an apostrophe may begin a contraction and is left to the tokenizer.
+_SHAPE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 #: The printable characters that byte-level files use for bytes: bytes that print stand for themselves, others for 256 and up.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: (b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)}
 
 
-class _Rows(dict):
-    def __missing__(self, key: str) -> int:
-        return -1
-
-
 class PieceEncoder:
-    """``glued``: a space belongs to the piece behind it (byte-level files); else spaces are dropped."""
+    """``glued``: a space belongs to the piece behind it (byte-level files); else spaces are dropped.
 
-    def __init__(self, path: str, glued: bool, most: int = 650_000):
+    Strings of special tokens in a text get the special ids, as the tokenizer does by itself; with ``special_as_text``
+    they are ordinary text.  Texts that may hold one go through the tokenizer whole.
+    """
+
+    def __init__(self, path: str, glued: bool, most: int = 650_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A text that holds one of these is not cut into pieces; the zero character marks a piece without a space before it.
+        self.leads = ("\0", *(() if special_as_text else dict.fromkeys(x[:2] for x in added)))
         self.glued, self.most = glued, most
-        self.known = _Rows()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, shared by all words
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.int32)
         self.used = 0
         self.start = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
         self.rows = 0
-
-    def _encode(self, words: list[str], raw: list[str]) -> None:
-        """Fill ``words``: of pieces that are one word each, by the merges alone; of any other pieces, by the whole tokenizer."""
-        merge, same = self.tokenizer.model.tokenize, self.numbers.__getitem__
-        for x in words:
-            self.words[x] = tuple(same(t.id) for t in merge(x.encode().decode("latin-1").translate(_SHOWN)))
-        if raw:
-            for x, e in zip(raw, self.tokenizer.encode_batch(raw, add_special_tokens=False), strict=True):
-                self.words[x] = tuple(same(i) for i in e.ids)
-
-    def _parts(self, raw: str) -> list[str]:
-        lead = " " if self.glued and raw[:1] == " " else ""
-        body = raw[len(lead) :]
-        lines = _LINES.split(body) if "\n" in body else [body]
-        out: list[str] = []
-        for i, line in enumerate(lines):
-            m = _LATIN.match(line)
-            if not m:
-                return [raw]
-            if i and self.glued:
-                out.append("\n")
-            out.append((lead if not i else "") + (m[1] if self.glued else m[1].lower()))
-            if m[2]:
-                out.append(m[2])
+        self.marks: dict[str, list[int]] = {}  # ids of runs of symbols
+
+    def _ids(self, keys: list[str]) -> list[list[int]]:
+        """Ids of each new piece. A key that begins with a zero character has no space before it.
+
+        Lines that are a Latin word and perhaps symbols go through the merges; anything else through the whole tokenizer.
+        """
+        merge, glued, marks, known, start, size, flat = self.tokenizer.model.tokenize, self.glued, self.marks, self.known, self.start, self.size, self.flat
+
+        def word(w: str, lead: bool) -> list[int]:
+            if lead and (r := known.get(w, -1)) >= 0:
+                return flat[start[r] : start[r] + size[r]].tolist()
+            if not glued:
+                w = w.lower()
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(_SHOWN)
+            return [t.id for t in merge("Ġ" + w if glued and lead else w)]
+
+        def symbols(x: str) -> list[int]:
+            if (ids := marks.get(x)) is None:
+                if len(marks) > 100_000:
+                    marks.clear()
+                ids = marks[x] = self.tokenizer.encode(x, add_special_tokens=False).ids
+            return ids
+
+        out: list = []
+        slow: list[int] = []
+        for k in keys:
+            if k.isascii() and k.isalpha():
+                out.append([t.id for t in merge("Ġ" + k if glued else k.lower())])
+                continue
+            lead = not k.startswith("\0")
+            if lead and (m := _SHAPE.match(k)):
+                out.append(word(m[1], True) + symbols(m[2]) if m[2] else word(m[1], True))
+                continue
+            ids: list[int] = []
+            for i, line in enumerate((k if lead else k[1:]).split("\n")):
+                m = _SHAPE.match(line)
+                if not m:
+                    slow.append(len(out))
+                    ids = (" " if glued and lead else "") + k.removeprefix("\0")
+                    break
+                if i and glued:
+                    ids += symbols("\n")
+                ids += word(m[1], lead and not i or not glued)
+                if m[2]:
+                    ids += symbols(m[2])
+            out.append(ids)
+        if slow:
+            for i, e in zip(slow, self.tokenizer.encode_batch([out[i] for i in slow], add_special_tokens=False), strict=True):
+                out[i] = e.ids
         return out
 
     def _add(self, keys: list[str]) -> dict[str, int]:
         """Rows of the table for new pieces; the caller drops those past the bound after the batch."""
-        parts = {k: self._parts((" " if self.glued and not k.startswith("\0") else "") + k.removeprefix("\0")) for k in keys}
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.words)
-        self._encode([p for p in new if _WORD.match(p)], [p for p in new if not _WORD.match(p)])
-        get = self.words.__getitem__
-        found = [get(ps[0]) if len(ps) == 1 else [i for p in ps for i in get(p)] for ps in parts.values()]
+        found = self._ids(keys)
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         rows, used = self.rows, self.used
@@ -97,10 +117,24 @@ class PieceEncoder:
         self.flat[used : self.used] = flat
         self.size[rows : self.rows] = size
         self.start[rows : self.rows] = used + np.cumsum(size) - size
-        return dict(zip(parts, range(rows, self.rows), strict=True))
-
-    def encode(self, texts: list[str | None], cut: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each text. cut: texts in which spaces stand beside other spaces."""
+        return dict(zip(keys, range(rows, self.rows), strict=True))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
+        whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.leads)]
+        if not whole:
+            return self._encode(texts)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = None
+        ids, n = self._encode(rest)
+        each = np.split(ids, np.cumsum(n)[:-1])
+        for i in whole:
+            each[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _encode(self, texts: list[str | None], cut: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, by pieces. cut: texts in which spaces stand beside other spaces."""
         pieces: list[str] = []
         counts = []
         for i, t in enumerate(texts):
@@ -110,18 +144,21 @@ class PieceEncoder:
             pieces += p
             counts.append(len(p))
         ends = np.cumsum(np.array(counts, np.int64))
-        rows = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         lost = np.flatnonzero(rows < 0)
         held = (self.rows, self.used)
         if len(lost):
             missed = [pieces[i] for i in lost]
-            odd = {p for p in set(missed) if not (q := p.removeprefix("\0")) or q[0].isspace() or q[-1].isspace()}
+            keys = dict.fromkeys(missed)
+            odd = {p for p in keys if not (q := p.removeprefix("\0")) or q.strip() != q}
             if odd and (more := {int(np.searchsorted(ends, i, "right")) for i, p in zip(lost, missed, strict=True) if p in odd} - cut):
-                return self.encode(texts, cut | more)
-            new = self._add(list(dict.fromkeys(missed)))
+                return self._encode(texts, cut | more)
+            new = self._add(list(keys))
             rows[lost] = [new[p] for p in missed]
             if len(self.known) < self.most:
-                self.known.update({p: r for p, r in new.items() if p not in odd})
+                for p in odd:
+                    del new[p]
+                self.known |= new
                 held = None
         else:
             held = None

@@ -107,12 +107,14 @@ def test_maxscore_equals_brute_force(spark):
 
 
 def test_piece_encoder_gives_the_tokenizer_s_ids():
-    texts = ["", " ", "  a", "a  b\n c", "It's we'll", "a\tb c", "foo.\nBar baz", "<|endoftext|> a", "½ ² a1b2", "a\x1cb c \x1c d", "word's o'clock", "😀 a😀b", *(t or "" for _, t in corpus())]
+    special = ["<|endoftext|> a", "hello <|endoftext|> world", "<|startoftext|>x<|ENDOFTEXT|> y", "a <| b |> c", "two  <|endoftext|>\n\n<|endoftext|>"]
+    texts = [*special, "", " ", "  a", "a  b\n c", "It's we'll", "a\tb c", "foo.\nBar baz", "½ ² a1b2", "a\x1cb c \x1c d", "word's o'clock", "😀 a😀b", *(t or "" for _, t in corpus())]
     for name, glued in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
-        for most in (0, 1000):
-            e = PieceEncoder(public_tokenizers.path(name), glued, most=most)
+        assert max(t.encode(special[1], add_special_tokens=False).ids) in (49407, 50256)
+        for most, as_text in ((0, False), (1000, False), (1000, True)):
+            t.encode_special_tokens = as_text
+            e = PieceEncoder(public_tokenizers.path(name), glued, most=most, special_as_text=as_text)
             for _ in range(2):
                 ids, n = e.encode(texts)
                 assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
@@ -132,6 +134,22 @@ def test_token_store_round_trip(spark, docs):
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert {r["doc_id"]: r["ids"] for r in token_store.lookup(spark, store, [3, 17]).collect()} == {i: got[i]["ids"] for i in (3, 17)}
+    # repeated and null ids, the least id, a hot id over several slices
+    rows = [(None, "b"), (None, "a"), (-(1 << 63), "least"), *[(7, f"w{i % 50}") for i in range(400)], *[(i, f"v {i}") for i in range(20)], (7, None)]
+    odd = new_path(spark, "store")
+    token_store.write_store(spark.createDataFrame(rows, SCHEMA).repartition(3), odd, path)
+    got = token_store.read_store(spark, odd).collect()
+    pure = sorted((i is not None, i or 0, *t.encode(x or "", add_special_tokens=False).ids, 1) for i, x in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, *r["ids"]) for r in got) == pure
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.append(0, np.cumsum([r["n_tokens"] for r in got])[:-1]).tolist()
+    ids = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert ids == sorted(ids)
+    assert [r["doc_id"] for r in token_store.lookup(spark, odd, [-(1 << 63), 0]).collect()] == [-(1 << 63), 0]
+    assert spark.read.parquet(f"{odd}/blocks").where("first_doc = 7 OR last_doc = 7").select("slice").distinct().count() > 1
+    again = new_path(spark, "store")
+    token_store.write_store(spark.createDataFrame(rows, SCHEMA).repartition(2), again, path)
+    assert sorted(token_store.read_store(spark, again).collect(), key=lambda r: r["start"]) == got
     none = new_path(spark, "store")
     token_store.write_store(empty(spark), none, path)
     assert token_store.read_store(spark, none).count() == 0
