@@ -2,15 +2,16 @@
 
 Format (a folder): ``dictionary`` holds the dictionary's bytes and its hash; ``blocks`` holds one row for each block of
 documents in ascending doc_id order - block bounds, the dictionary hash, a payload of concatenated frames, and the
-block's index: ids of the documents, byte offsets of their frames (one more than documents) and their token counts.
+block's index: ids of the documents, byte offsets of their frames (one more than documents), their token counts, and the
+tokens of its slice before it; ``slices`` holds the tokens before each slice, one row for each writing task.
 A frame is the document's ids, serialised as little-endian unsigned 16-bit integers where the vocabulary fits, else
 32-bit, compressed by itself with the dictionary.  So one document is read from its block's index and one frame.
 
-The dictionary is trained on ids of a bounded sample (``fit_docs`` documents of up to ``fit_bytes`` bytes with the smallest hash of
-their id);
-every document is encoded whole.  Defined results: a null text is an empty one and has the end id only; repeated
-doc_ids stay, as separate frames in no fixed order among themselves; a null doc_id comes first; an empty table gives
-an empty store.
+The dictionary is trained on ids of a bounded sample (``fit_docs`` documents of up to ``fit_bytes`` bytes with the
+smallest hash of their id); a sample too small to train on is the dictionary itself (raw content).  Every document is
+encoded whole.  Defined results: a null text is an empty one and has the end id only; repeated doc_ids stay, as separate
+frames ordered by a hash of their ids, then by frame; rows without doc_id come first, in the same order; an id that many
+rows share is dealt over several slices; an empty table gives an empty store; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +36,18 @@ def _width(vocabulary: int) -> str:
 
 
 def train_dictionary(texts: list[str | None], path: str, glued: bool, end_id: int, width: str, size: int = 64 << 10) -> bytes:
-    """Dictionary over the serialised ids of the sample's documents; empty if the sample is too small to train on."""
+    """Dictionary over the serialised ids of the sample's documents; their last bytes, where they are too few to train on."""
     rows = [np.append(ids, end_id).astype(width).tobytes() for _, ids in encoded(texts, path, glued)]
     if sum(map(len, rows)) < 4 * size or len(rows) < 50:
-        size = max(256, sum(map(len, rows)) // 8)
+        return b"".join(rows)[-size:]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(rows)[-size:]
 
 
 def _codec(dictionary: bytes):
-    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None  # trained or raw: its first bytes tell
     return {"dict_data": d} if d else {}
 
 
@@ -62,36 +63,41 @@ def write_store(docs: DataFrame, to: str, path: str, glued: bool = False, end_id
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{to}/dictionary")
 
-    # Bounds of ascending slices, from the id column alone: at most one number for each partition.
+    # Bounds of ascending slices, from the id column alone: one number for each writing task; a bound met twice is a hot id.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
-    cuts = np.array(bounds)
+    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    cuts = np.array(sorted(found or []), np.int64)
 
     def pack(batches):
         comp = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False, **_codec(dictionary))
         for b in batches:
             ids = b.column(0)
-            frames, n = [], np.zeros(b.num_rows, np.int64)
+            frames, n, tie = [], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for i, x in encoded(b.column(1).to_pylist(), path, glued):
-                n[i] = len(x) + 1
-                frames.append(comp.compress(np.append(x, end_id).astype(width).tobytes()))
-            slices = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slices), ids, pa.array(n), pa.array(frames, pa.binary())], ["slice", "doc_id", "n_tokens", "frame"])
-
-    frames = docs.mapInArrow(pack, "slice long, doc_id long, n_tokens long, frame binary")
-    frames = frames.repartition(parts, "slice").sortWithinPartitions("slice", "doc_id")
+                raw = np.append(x, end_id).astype(width).tobytes()
+                n[i], tie[i] = len(x) + 1, zlib.crc32(raw)
+                frames.append(comp.compress(raw))
+            own = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+            # rows of an id that is several bounds, and rows without id, are dealt by their hash in ascending order
+            slices = np.where(last - first > 1, first + (tie * (last - first + 1) >> 32), last)
+            slices = np.where(ids.is_null().to_numpy(zero_copy_only=False), (tie * parts >> 32) - parts, slices)
+            yield pa.RecordBatch.from_arrays([pa.array(slices), ids, pa.array(tie), pa.array(n), pa.array(frames, pa.binary())], ["slice", "doc_id", "tie", "n_tokens", "frame"])
+
+    frames = docs.mapInArrow(pack, "slice long, doc_id long, tie long, n_tokens long, frame binary")
+    frames = frames.repartition(parts, "slice").sortWithinPartitions("slice", "doc_id", "tie", "frame").drop("tie")
 
     def block(batches):
-        def row(slice_no, nth, ids, n, held):
+        def row(slice_no, nth, before, ids, n, held):
             offsets = np.append(0, np.cumsum([len(f) for f in held])).astype("<i8")
-            return {"slice": slice_no, "block": nth, "first_doc": ids[0], "last_doc": ids[-1], "n_docs": len(ids), "n_tokens": int(sum(n)), "doc_ids": np.array([-(1 << 63) if i is None else i for i in ids], "<i8").tobytes(), "offsets": offsets.tobytes(), "counts": np.array(n, "<i8").tobytes(), "payload": b"".join(held), "dictionary_hash": digest}
+            return {"slice": slice_no, "block": nth, "before": before, "first_doc": ids[0], "last_doc": ids[-1], "n_docs": len(ids), "n_null": sum(i is None for i in ids), "n_tokens": int(sum(n)), "doc_ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "offsets": offsets.tobytes(), "counts": np.array(n, "<i8").tobytes(), "payload": b"".join(held), "dictionary_hash": digest}
 
-        at, nth, ids, n, held, size = None, 0, [], [], [], 0
+        at, nth, before, ids, n, held, size = None, 0, 0, [], [], [], 0
         for b in batches:
             for s, i, k, f in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if ids and (s != at or size >= block_bytes):
-                    yield pa.RecordBatch.from_pylist([row(at, nth, ids, n, held)], schema=BLOCK_ARROW)
-                    nth = nth + 1 if s == at else 0
+                    yield pa.RecordBatch.from_pylist([row(at, nth, before, ids, n, held)], schema=BLOCK_ARROW)
+                    nth, before = (nth + 1, before + sum(n)) if s == at else (0, 0)
                     ids, n, held, size = [], [], [], 0
                 at = s
                 ids.append(i)
@@ -99,13 +105,16 @@ def write_store(docs: DataFrame, to: str, path: str, glued: bool = False, end_id
                 held.append(f)
                 size += len(f)
         if ids:
-            yield pa.RecordBatch.from_pylist([row(at, nth, ids, n, held)], schema=BLOCK_ARROW)
+            yield pa.RecordBatch.from_pylist([row(at, nth, before, ids, n, held)], schema=BLOCK_ARROW)
 
     frames.mapInArrow(block, BLOCK).write.option("compression", "uncompressed").parquet(f"{to}/blocks")
+    sizes = spark.read.schema(BLOCK).parquet(f"{to}/blocks").groupBy("slice").agg(F.sum("n_tokens").alias("n"))
+    w = Window.partitionBy(F.lit(1)).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 2 rows for each writing task at most
+    sizes.select("slice", (F.sum("n").over(w) - F.col("n")).alias("start")).coalesce(1).write.parquet(f"{to}/slices")
     return digest
 
 
-BLOCK = "slice long, block long, first_doc long, last_doc long, n_docs long, n_tokens long, doc_ids binary, offsets binary, counts binary, payload binary, dictionary_hash string"
+BLOCK = "slice long, block long, before long, first_doc long, last_doc long, n_docs long, n_null long, n_tokens long, doc_ids binary, offsets binary, counts binary, payload binary, dictionary_hash string"
 BLOCK_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[c.split()[1]]) for c in BLOCK.split(", ")])
 
 
@@ -113,24 +122,27 @@ def _open(spark: SparkSession, store: str) -> tuple[DataFrame, bytes, str]:
     d = spark.read.parquet(f"{store}/dictionary").first()
     if hashlib.sha256(bytes(d["dictionary"])).hexdigest() != d["hash"]:
         raise ValueError("the dictionary does not have its hash")
-    return spark.read.parquet(f"{store}/blocks"), bytes(d["dictionary"]), d["hash"]
+    # A row for each writing task, so it is broadcast.
+    slices = spark.read.schema("slice long, start long").parquet(f"{store}/slices")
+    blocks = spark.read.schema(BLOCK).parquet(f"{store}/blocks").join(F.broadcast(slices), "slice")
+    return blocks.withColumn("start", F.col("start") + F.col("before")), bytes(d["dictionary"]), d["hash"]
 
 
 def _documents(blocks: DataFrame, dictionary: bytes, digest: str, width: str, digest_only: bool, wanted: list[int] | None = None) -> DataFrame:
     def read(batches):
         dec = zstandard.ZstdDecompressor(**_codec(dictionary))
-        none = -(1 << 63)
         for b in batches:
             for r in b.to_pylist():
                 if r["dictionary_hash"] != digest:
                     raise ValueError("a block was written with another dictionary")
                 ids, off, n = (np.frombuffer(r[c], "<i8") for c in ("doc_ids", "offsets", "counts"))
                 start = r["start"] + np.cumsum(n) - n
-                rows = range(len(ids)) if wanted is None else np.flatnonzero(np.isin(ids, wanted))
+                empty = r["n_null"]  # rows without id stand first
+                rows = range(len(ids)) if wanted is None else empty + np.flatnonzero(np.isin(ids[empty:], wanted))
                 out = []
                 for i in rows:
                     x = np.frombuffer(dec.decompress(r["payload"][off[i] : off[i + 1]]), width).astype("<u4")
-                    out.append((None if ids[i] == none else int(ids[i]), int(start[i]), len(x), zlib.crc32(x.tobytes()), None if digest_only else x.astype(np.int64)))
+                    out.append((None if i < empty else int(ids[i]), int(start[i]), len(x), zlib.crc32(x.tobytes()), None if digest_only else x.astype(np.int64)))
                 cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
                 arrays = [pa.array(list(c), pa.int64()) for c in cols[:4]]
                 if not digest_only:
@@ -138,25 +150,14 @@ def _documents(blocks: DataFrame, dictionary: bytes, digest: str, width: str, di
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<long>")
-    cols = ["start", "dictionary_hash", "doc_ids", "offsets", "counts", "payload"]
+    cols = ["start", "dictionary_hash", "n_null", "doc_ids", "offsets", "counts", "payload"]
     return blocks.select(*cols).mapInArrow(read, kind)
 
 
-def _with_start(blocks: DataFrame) -> DataFrame:
-    """Tokens before each block: a running sum over slices, then over the blocks of a slice."""
-    sizes = blocks.groupBy("slice").agg(F.sum("n_tokens").alias("n"))  # a row for each partition of the writer
-    w = Window.partitionBy(F.lit(1)).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = sizes.select("slice", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    v = Window.partitionBy("slice").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begin = blocks.select("slice", "block", (F.sum("n_tokens").over(v) - F.col("n_tokens")).alias("inside")).join(before, "slice")
-    begin = begin.select("slice", "block", (F.col("before") + F.col("inside")).alias("start"))
-    return blocks.join(F.broadcast(begin), ["slice", "block"])  # a few numbers for each block of about a megabyte
-
-
 def read_store(spark: SparkSession, store: str, digest_only: bool = False, vocabulary: int = 49_408) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document."""
     blocks, dictionary, digest = _open(spark, store)
-    return _documents(_with_start(blocks), dictionary, digest, _width(vocabulary), digest_only)
+    return _documents(blocks, dictionary, digest, _width(vocabulary), digest_only)
 
 
 def lookup(spark: SparkSession, store: str, doc_ids: list[int], vocabulary: int = 49_408) -> DataFrame:
@@ -164,8 +165,8 @@ def lookup(spark: SparkSession, store: str, doc_ids: list[int], vocabulary: int
     blocks, dictionary, digest = _open(spark, store)
     hit = F.lit(False)
     for i in doc_ids:
-        hit |= (F.col("first_doc") <= i) & (F.col("last_doc") >= i)
-    return _documents(_with_start(blocks).where(hit), dictionary, digest, _width(vocabulary), False, list(doc_ids))
+        hit |= (F.coalesce("first_doc", F.lit(-(1 << 63))) <= i) & (F.col("last_doc") >= i)
+    return _documents(blocks.where(hit), dictionary, digest, _width(vocabulary), False, list(doc_ids))
 
 
 def op2_token_store(spark, sf_dir):
