@@ -4,17 +4,19 @@ Documents become token pieces of at most ``capacity``; only longer documents are
 shorter one.  Pieces are dealt to partitions by a hash and each partition is packed by best-fit decreasing.  A lower
 bound by dual-feasible functions certifies the partition's number of bins.  Partitions with a gap between bins and
 bound give up their bins that are not full, exchange those pieces by a new hash into fewer partitions and are packed
-anew, for ``rounds`` rounds; a partition without a gap keeps its packing.  Repacking is taken up only where it needs
-fewer bins than before.
+anew, for ``rounds`` rounds; a partition without a gap keeps its packing.  The bins of an exchange are counted before
+and after: a repacking that does not need fewer bins is dropped, and the earlier packing stays.
 
-Defined results: a null text is an empty document (its end id only); repeated doc_ids are separate documents;
-an empty table gives no rows; other columns are left out.
+Pieces are numbered when they are written, and the hash is one of those numbers, so equal rows spread as others do.
+Defined results: a null text is an empty document (its end id only); repeated doc_ids are separate documents; a null
+doc_id stays null; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,50 +102,49 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, gap long"
+PACKED = "row long, length long, part long, bin long, offset long, gap long"
 
 
 def _pack(rows: DataFrame, capacity: int) -> DataFrame:
     def work(t: pa.Table) -> pa.Table:
         size = t.column("length").to_numpy().astype(np.int64)
         bins, offset, n = best_fit_decreasing(size, capacity)
-        gap = n - lower_bound(size, capacity)
-        if "bin" in t.column_names and t.num_rows:
-            old = len(np.unique(np.stack([t.column("part").to_numpy(), t.column("bin").to_numpy()]), axis=1).T)
-            gap = min(gap, old)
-        out = {c: t.column(c) for c in PIECE_NAMES}
-        out |= {"part": t.column("to"), "bin": pa.array(bins), "offset": pa.array(offset), "gap": pa.array(np.full(len(bins), gap))}
-        return pa.table(out).select([x.split()[0] for x in PACKED.split(", ")])
+        gap = np.full(len(size), n - lower_bound(size, capacity))
+        return pa.table({"row": t.column("row"), "length": t.column("length"), "part": t.column("to"), "bin": bins, "offset": offset, "gap": gap})
 
     return rows.groupBy("to").applyInArrow(work, PACKED)
 
 
 def pack(rows: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int = 3) -> DataFrame:
-    """Add sequence_id and offset to pieces. Rows of one partition are bounded by the hash, whatever the keys are."""
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = written(rows, "pieces")
+    """Add sequence_id and offset to pieces. A task packs about ``part_rows`` of them, whatever the keys are."""
+    rows = written(rows.select(*PIECE_NAMES, F.monotonically_increasing_id().alias("row")), "pieces")
     n = rows.count()
-    done: DataFrame | None = None
-    todo = rows
+    todo, before = rows.select("row", "length"), None
+    kept: list[DataFrame] = []
     for r in range(rounds + 1):
         parts = max(1, -(-n // part_rows))
-        dealt = todo.select(*cols, F.pmod(F.xxhash64(*cols, F.lit(r)), F.lit(parts)).cast("long").alias("to"))
+        dealt = todo.select("row", "length", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("long").alias("to"))
         packed = written(_pack(dealt, capacity), f"packed{r}")
-        tagged = packed.select(*cols, "offset", (F.lit(r).cast("long") * (1 << 58) + F.col("part") * (1 << 32) + F.col("bin")).alias("sequence_id"), "gap")
-        last = r == rounds or parts == 1
-        if last:
-            settled, todo = tagged, None
-        else:
-            used = tagged.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-            tagged = tagged.join(used, "sequence_id")
-            again = (F.col("gap") > 0) & (F.col("used") < capacity)
-            settled, todo = tagged.where(~again), tagged.where(again)
-            n = todo.count()
-        settled = settled.select(*cols, "sequence_id", "offset")
-        done = settled if done is None else done.union(settled)
-        if todo is None or not n:
+        packed = packed.select("row", "length", "offset", (F.lit(r).cast("long") * (1 << 58) + F.col("part") * (1 << 32) + F.col("bin")).alias("sequence_id"), "gap")
+        if before is not None:
+            earlier, bins = before
+            if packed.select("sequence_id").distinct().count() >= bins:
+                kept.append(earlier)
+                break
+        if r == rounds or parts == 1 or not n:
+            kept.append(packed.select("row", "sequence_id", "offset"))
+            break
+        used = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+        tagged = packed.join(used, "sequence_id").withColumn("again", (F.col("gap") > 0) & (F.col("used") < capacity))
+        tagged = written(tagged.select("row", "length", "sequence_id", "offset", "again"), f"tagged{r}")
+        kept.append(tagged.where("not again").select("row", "sequence_id", "offset"))
+        todo = tagged.where("again")
+        n = todo.count()
+        if not n:
             break
-    return done
+        before = todo.select("row", "sequence_id", "offset"), todo.select("sequence_id").distinct().count()
+    places = reduce(DataFrame.union, kept)
+    return rows.join(places, "row").drop("row")
 
 
 def certificate(packed: DataFrame, capacity: int = 1024) -> DataFrame:
