@@ -1,17 +1,19 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best-bin-first search, calibrated leaf visits.
 
 * The tree is fitted on a bounded sample (``fit_rows`` vectors with the smallest hash of their id); every row of the
-  table is then put into a leaf, in Spark tasks.
+  table is then put into a leaf, in Spark tasks.  The fit goes down to leaves that stand for about ``leaf_rows`` rows of
+  the whole table, so the number of leaves grows with the table until a leaf holds ``FEWEST`` vectors of the sample.
 * A query walks the tree through one priority queue of centroid distances: the nearest node is opened next, whichever
-  branch it is on, until ``visits`` leaves have come out.
-* ``visits`` is widened on the sample, against brute force over the sample, until the mean recall reaches
-  ``calibrated_recall``.
-* A leaf is cut into blocks of about ``block_rows`` rows by a hash of the id, and the queries of a leaf likewise, so
-  that a leaf that holds a third of all rows (copies of one vector) is many bounded groups.
+  branch it is on, until ``visits`` leaves have come out - and further, until they hold ``k`` rows besides its own.
+* ``visits`` is widened against brute force over all rows, for a bounded number of queries, until the mean recall
+  reaches ``calibrated_recall``.
+* A leaf is cut into blocks of about ``block_rows`` rows by a hash of the id and vector, and the queries of a leaf
+  likewise, so that a leaf that holds a third of all rows (copies of one vector) is many bounded groups.
 
 Distances are Euclidean, in double precision on the original vectors.  Vectors that are null, empty, zero or hold null
 or non-finite components take no part, nor do those of another length than the most common one.  Ties go to the
-smaller id; repeated ids are separate candidates, but a row never finds its own id.  Empty tables give no rows.
+smaller id; repeated ids are separate candidates, but a row never finds its own id; a repeated query id is answered for
+the vector of its smallest hash.  Empty tables give no rows; columns beside id and vector are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .common import written
 from .vectors import clean_vectors, matrix
 
 
+FEWEST = 4
+
+
 class Tree:
     """Nodes in arrays: ``centre``, children as a range of node numbers, leaf number or -1."""
 
@@ -77,17 +82,22 @@ class Tree:
                 todo += [(a + k, rows[at == k]) for k in range(b - a)]
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        far = ((self.centre - q) ** 2).sum(axis=1)
-        heap, out = [(far[0], 0)], []
-        while heap and len(out) < visits:
+    def search(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``visits`` of them that hold rows, and more until they hold ``least`` rows."""
+        heap, out, have, seen = [(0.0, 0)], [], 0, 0
+        while heap and (seen < visits or have < least):
             _, node = heapq.heappop(heap)
             a, b = self.child[node]
             if a == b:
-                out.append(int(self.leaf[node]))
+                leaf = int(self.leaf[node])
+                n = 1 if held is None else int(held[leaf])
+                if n:
+                    out.append(leaf)
+                    have, seen = have + n, seen + 1
+                continue
+            far = ((self.centre[a:b] - q) ** 2).sum(axis=1)
             for k in range(a, b):
-                heapq.heappush(heap, (far[k], k))
+                heapq.heappush(heap, (float(far[k - a]), k))
         return out
 
 
@@ -95,26 +105,49 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, goal: float, queries: int = 200) -> int:
-    """The fewest leaves that give mean recall ``goal`` on the sample, against brute force."""
-    if len(x) <= k + 1 or tree.n_leaves == 1:
-        return tree.n_leaves
-    leaf = tree.assign(x)
-    at = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
+def nearest_rows(ids: np.ndarray, v: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` nearest rows of another id, ties to the smaller id."""
+    far = np.sqrt(((v - q) ** 2).sum(axis=1))
+    far[ids == own] = np.inf
+    near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
+    near = near[np.isfinite(far[near])]
+    near = near[np.lexsort((ids[near], far[near]))][:k]
+    return near, far[near]
+
+
+def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: float, held: np.ndarray, queries: int) -> int:
+    """The fewest leaves that give mean recall ``goal`` over all rows, for ``queries`` queries: (id, v), chosen by hash."""
+    some = asked.orderBy(F.xxhash64("id", "v"), "id").limit(queries).toArrow()
+    qid, q = some.column("id").to_numpy(), matrix(some.column("v"))
+
+    def work(batches):
+        best: list = [[] for _ in qid]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, v, leaf = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
+            for i in range(len(qid)):
+                near, far = nearest_rows(ids, v, qid[i], q[i], k)
+                best[i] = sorted([*best[i], *zip(far.tolist(), ids[near].tolist(), leaf[near].tolist(), strict=True)])[:k]
+        rows = [(i, *x) for i, b in enumerate(best) for x in b]
+        yield pa.RecordBatch.from_pylist([dict(zip(("q", "far", "id", "leaf"), r, strict=True)) for r in rows], schema=pa.schema([("q", pa.int32()), ("far", pa.float64()), ("id", pa.int64()), ("leaf", pa.int64())]))
+
+    near = placed.select("id", "v", "leaf").mapInArrow(work, "q int, far double, id long, leaf long")
+    w = Window.partitionBy("q").orderBy("far", "id", "leaf")
+    found = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("q", "leaf").toArrow()  # queries times k rows
     need = []
-    for i in at:
-        far = ((x - x[i]) ** 2).sum(axis=1)
-        far[i] = np.inf
-        best = np.argpartition(far, k)[:k]
-        place = np.empty(tree.n_leaves, np.int64)
-        order = tree.search(x[i], tree.n_leaves)
-        place[order] = np.arange(len(order))
-        need.append(place[leaf[best]] + 1)
-    need = np.sort(np.concatenate(need))
-    return int(need[min(len(need) - 1, int(np.ceil(goal * len(need))) - 1)])
-
-
-def search_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 10_000, calibrated_recall: float = 0.97, block_rows: int = 4096) -> DataFrame:
+    at, leaf = found.column("q").to_numpy(), found.column("leaf").to_numpy()
+    for i in range(len(qid)):
+        order = tree.search(q[i], tree.n_leaves, held)
+        place = dict(zip(order, range(1, len(order) + 1), strict=True))
+        need += [place[x] for x in leaf[at == i].tolist()]
+    need = np.sort(need)
+    return int(need[min(len(need) - 1, int(np.ceil(goal * len(need))) - 1)]) if len(need) else 1
+
+
+def search_nearest(
+    rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 20_000, leaf_rows: int = 128, calibrated_recall: float = 0.97, block_rows: int = 4096, test_queries: int = 64
+) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each query."""
     spark = rows.sparkSession
     every = clean_vectors(rows, id_col, vec_col, drop_zero=True)
@@ -124,49 +157,50 @@ def search_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: st
     if size is None:
         return spark.createDataFrame([], schema)
     every, asked = every.where(F.size("v") == size["d"]), asked.where(F.size("v") == size["d"])
-    fit = every.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    fit = every.orderBy(F.xxhash64("id", "v"), "id").limit(fit_rows)
     x = matrix(fit.select("v").toArrow().column(0))
-    tree = Tree(x)
-    visits = calibrate(tree, x, k, calibrated_recall)
+    tree = Tree(x, leaf_rows=max(FEWEST, round(leaf_rows * len(x) / size["count"])))
 
     def place(batches):
         for b in batches:
             leaf = tree.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], ["id", "v", "leaf"])
 
+    kind = "id long, v array<double>, leaf long"
+    placed = written(every.mapInArrow(place, kind), "ann-rows")
+    # One number a leaf; leaves are bounded by fit_rows.
+    counts = placed.groupBy("leaf").count().toArrow()
+    held = np.zeros(tree.n_leaves, np.int64)
+    held[counts.column("leaf").to_numpy()] = counts.column("count").to_numpy()
+    visits = calibrate(placed, tree, asked, k, calibrated_recall, held, test_queries)
+    # A query has to meet k rows besides those of its own id.
+    again = placed.groupBy("id").agg(F.count("*").alias("same")).where("same > 1")
+    asked = asked.groupBy("id").agg(F.min(F.struct(F.xxhash64("v"), "v"))["v"].alias("v"))
+    asked = asked.join(again, "id", "left").select("id", "v", F.coalesce("same", F.lit(1).cast("long")).alias("same"))
+
     def walk(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            found = [tree.search(q, visits) for q in matrix(b.column(1))]
+            found = [tree.search(q, visits, held, k + n) for q, n in zip(matrix(b.column(1)), b.column(2).to_pylist(), strict=True)]
             n = np.array([len(f) for f in found])
             at = np.repeat(np.arange(b.num_rows), n)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(found).astype(np.int64))], ["id", "v", "leaf"])
 
-    kind = "id long, v array<double>, leaf long"
-    placed = written(every.mapInArrow(place, kind), "ann-rows")
     walked = written(asked.mapInArrow(walk, kind), "ann-queries")
-    # One number a leaf; leaves are bounded by fit_rows.
     parts = lambda df: df.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("n"))
     blocks = parts(placed).withColumnRenamed("n", "nr").join(parts(walked).withColumnRenamed("n", "nq"), "leaf")
-    left = placed.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), "nr").cast("long").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
-    right = walked.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), F.pmod(F.xxhash64("id"), "nq").cast("long").alias("qb"))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("long")
+    left = placed.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", deal("nr").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
+    right = walked.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), deal("nq").alias("qb"))
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if a.num_rows and b.num_rows:
             ids, v, qid, q = a.column("id").to_numpy(), matrix(a.column("v")), b.column("id").to_numpy(), matrix(b.column("v"))
             for i in range(len(qid)):
-                far = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-                far[ids == qid[i]] = np.inf
-                if len(far) > k:
-                    limit = np.partition(far, k - 1)[k - 1]
-                    near = np.flatnonzero(far <= limit)
-                else:
-                    near = np.arange(len(far))
-                near = near[np.isfinite(far[near])]
-                near = near[np.lexsort((ids[near], far[near]))][:k]
-                out.append(pa.table({"query_id": np.full(len(near), qid[i]), "vec_id": ids[near], "score": far[near]}))
+                near, far = nearest_rows(ids, v, qid[i], q[i], k)
+                out.append(pa.table({"query_id": np.full(len(near), qid[i]), "vec_id": ids[near], "score": far}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     key = ["leaf", "rb", "qb"]

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestream.llm import ann_tree, chat, jaccard, langid, maxscore, mixing, packing, suffix, token_store, toxicity
@@ -83,6 +84,13 @@ def test_tree_search_reaches_recall_and_exact_scores(spark):
         far[q] = np.inf
         hits += len({r["vec_id"] for r in rs} & set(np.lexsort((np.arange(len(x)), far))[:10].tolist()))
     assert hits / (10 * len(by)) >= 0.9
+    # far points, and a query whose id many rows have, still get ten rows; a sample far smaller than the table
+    rng = np.random.default_rng(4)
+    near = [(i, rng.normal(size=12).tolist()) for i in range(300) for _ in range(8)]
+    far = [(1000 + i, (np.eye(12)[i] * 1e4).tolist()) for i in range(9)]
+    df = spark.createDataFrame(near + far + [(0, [0.5] * 12)] * 400, "vec_id long, embedding array<float>").withColumn("leaf", F.lit(1))
+    got = ann_tree.search_nearest(df, df.where("vec_id >= 1000 OR vec_id % 100 = 0"), "vec_id", "embedding", fit_rows=600, leaf_rows=20, block_rows=16)
+    assert {(r["query_id"], r["count"]) for r in got.groupBy("query_id").count().collect()} == {(q, 10) for q in (0, 100, 200, *range(1000, 1009))}
     nothing = df.where("vec_id < 0")
     assert ann_tree.search_nearest(nothing, nothing, "vec_id", "embedding").count() == 0
 
@@ -320,6 +328,53 @@ def test_packing_is_gapless_and_near_its_bound(spark, docs):
     assert packing.pack(packing.pieces(empty(spark), path)).count() == 0
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every place for each item."""
+    best = len(sizes)
+    sizes = sorted(sizes, reverse=True)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_against_every_packing():
+    rng = np.random.default_rng(3)
+    worse = 0
+    for _ in range(60):
+        sizes = rng.integers(3, 60, rng.integers(1, 9))
+        least, (_, _, n) = fewest_bins(sizes.tolist(), 100), packing.best_fit_decreasing(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= least <= n <= least + 1
+        worse += n > least
+    assert worse <= 3
+
+
+def test_repacking_never_needs_more_bins_and_spreads_equal_rows(spark):
+    rng = random.Random(8)
+    rows = [(None, 0, 0, 1, 7)] * 300 + [(i, 0, 0, rng.randint(1, 64), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    counts = []
+    for rounds in (0, 1, 3):
+        got = packing.pack(df, capacity=64, part_rows=60, rounds=rounds).toPandas()
+        counts.append(got.sequence_id.nunique())
+        assert sorted(got.length) == sorted(r[3] for r in rows) and got.doc_id.isna().sum() == 300
+        for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+            assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 64
+    assert counts[0] >= counts[1] >= counts[2]
+    copies = spark.createDataFrame([(None, 0, 0, 33, 7)] * 200, df.schema)
+    assert packing.pack(copies, capacity=64, part_rows=20).select("sequence_id").distinct().count() == 200
+
+
 def test_bounds_never_exceed_the_best_packing():
     rng = np.random.default_rng(1)
     for _ in range(50):
