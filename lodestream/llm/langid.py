@@ -5,8 +5,9 @@ trigrams, one against the other group of languages), calibrated to a probability
 are decoded to the codeword of the least weighted logistic loss, bits weighing by their accuracy.  Texts whose two
 nearest codewords are close are flagged as ambiguous.
 
-Counts are taken from every training row, in Spark; only the calibration uses a bounded sample (``fit_rows`` training
-rows with the smallest hash of their id).  Every text is read whole.  Defined results: ``und`` with score 0 for a null
+Counts are taken from every training row, in Spark; only the calibration uses a bounded sample (the ``fit_rows`` training
+rows with the smallest hash of id, text and language, equal rows once, of those with up to ``fit_bytes`` bytes).  Every
+text is read whole.  Defined results: ``und`` with score 0 for a null
 text or one without a letter; ``und`` for all if nothing could be learned; rows without doc_id are predicted, not held
 out and not trained on; repeated rows count as rows; an empty table gives no rows.
 """
@@ -151,10 +152,10 @@ def learn(rows: DataFrame, fit_rows: int = 2000, fit_bytes: int = 20_000) -> Cod
     counts = np.zeros((len(langs), FEATURES))
     counts[np.searchsorted(langs, names), t.column("feature").to_numpy()] = t.column("n").to_numpy()
     model = Codes(langs, counts)
-    # ids first (at most ``fit_rows`` numbers, so they are broadcast), then their texts: no task gathers texts to sort them
-    short = rows.where(F.octet_length("text") <= fit_bytes)
-    ids = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
-    fit = short.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * fit_rows).toArrow()
+    # hashes first (at most ``fit_rows`` numbers), then the rows of the smallest: no task gathers texts to sort them
+    short = rows.where(F.octet_length("text") <= fit_bytes).withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    least = short.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+    fit = short.where(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).select("text", "lang").toArrow()
     if fit.num_rows:
         data, off = utf8(fit.column("text"))
         model.calibrate(model.margins(data, off), np.searchsorted(langs, fit.column("lang").to_numpy(zero_copy_only=False).astype(str)))
