@@ -5,6 +5,9 @@ letters, single letters spaced out) becomes a lattice: each character may stand
 may repeat the letter before, or may be junk.  A Viterbi search with a beam finds the likeliest word under a character
 4-gram model of the corpus; the restored text is then scored.
 
+A token of more than ``longest`` characters is no one word: the parts between its marks are restored one by one, single
+letters between marks are joined, and a run without marks is decoded in windows that overlap by 16 characters.
+
 * The language model counts 4-grams over all words of all documents, summed in each task before the shuffle.
 * The scorer is a noisy-or model over words and word beginnings of restored texts, learned from at most ``fit_rows``
   labelled documents (those with the smallest hash of their id).  Words with a strong likelihood ratio are candidates,
@@ -44,7 +47,8 @@ _RUN = re.compile(r"(.)\1\1")
 _ENDS = ".,;:!?\"'()[]{}<>«»…"
 _LEADS = _ENDS.replace("!", "")
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)")
-_MAYBE_SPACED = re.compile(r" \S \S ")
+_MAYBE_SPACED = re.compile(r"\s\S[ \t]\S[ \t]")
+_SINGLES = re.compile(r"(?:(?<=[^a-zà-öø-ÿ0-9@$!|+])|^)[a-zà-öø-ÿ0-9@$!|+](?:[^a-zà-öø-ÿ0-9@$!|+]+[a-zà-öø-ÿ0-9@$!|+]){2,}(?![a-zà-öø-ÿ0-9@$!|+])")
 _DISGUISED = re.compile(r"[0-9@$!|+(<{€£¡.\-_*'`~^,:;/\\​‌‍﻿­·]")
 
 
@@ -97,8 +101,8 @@ def fold_text(text: str) -> str:
 
 
 def inside(whole: str) -> list[str]:
-    """The substrings of a joined run that may be words."""
-    return [whole[i:j] for i in range(len(whole)) for j in range(i + 4, min(len(whole), i + 16) + 1)]
+    """The joined run itself and its substrings of four letters and more: what may be a word of it."""
+    return [whole] + [whole[i:j] for i in range(len(whole)) for j in range(i + 4, min(len(whole), i + 16) + 1)]
 
 
 BEGINNINGS = range(4, 8)
@@ -179,7 +183,17 @@ class Channel:
             return (core,)
         parts = [p for p in re.split(r"[^a-zà-öø-ÿ0-9@$!|+]+", core) if len(p) > 2]
         if len(core) > self.longest:
-            return tuple(dict.fromkeys(parts))
+            # no one word: what stands between marks is restored by itself, and single letters between marks are joined
+            out = [w for p in parts if p != core for w in self.restore(p, listed)]
+            if p_runs := _SINGLES.findall(core):
+                out += [w for r in p_runs for x in self.windows(re.sub(r"[^a-zà-öø-ÿ0-9@$!|+]+", "", r)) for w in inside(self.decode(x, listed))]
+            if parts == [core] or not parts:
+                squeezed = re.sub(r"(.)\1{2,}", r"\1\1", core)
+                if len(squeezed) <= self.longest:
+                    out.append(self.decode(squeezed, listed))
+                else:
+                    out += [w for x in self.windows(squeezed) for w in inside(self.decode(x, listed))]
+            return tuple(dict.fromkeys(out))
         if _PLAIN.match(core) or _DISGUISED.search(core):
             whole = self.decode(core, listed)
             more = [self.decode(p, listed) if not _PLAIN.match(p) or _RUN.search(p) else p for p in parts if p != core]
@@ -206,12 +220,15 @@ class Channel:
         """Runs of single characters with a blank between them, joined."""
         if not _MAYBE_SPACED.search(f" {text} "):
             return []
-        runs = [re.sub(r"\s", "", m) for m in _SPACED.findall(text)]
-        return [r[i : i + self.longest] for r in runs for i in range(0, len(r), self.longest - 16)]
+        return [x for m in _SPACED.findall(text) for x in self.windows(re.sub(r"\s", "", m))]
+
+    def windows(self, run: str) -> list[str]:
+        """Stretches that overlap by 16, the most that a word is taken to have in a longer run."""
+        return [run[i : i + self.longest] for i in range(0, max(1, len(run) - 16), self.longest - 16)]
 
     def restored(self, text: str | None, listed: Listed | None = None) -> str:
         """The text with disguised words put right."""
-        text = _SPACED.sub(lambda m: self.decode(re.sub(r"\s", "", m[0].lower())[: self.longest], listed) if len(m[0]) < 2 * self.longest else m[0], text or "")
+        text = _SPACED.sub(lambda m: "".join(self.decode(r[i : i + self.longest], listed) for r in [re.sub(r"\s", "", m[0].lower())] for i in range(0, len(r), self.longest)), text or "")
         return re.sub(r"\S+", lambda m: m[0] if _PLAIN.match(m[0].strip(_ENDS).lower()) and not _RUN.search(m[0].lower()) else (self.restore(m[0].lower(), listed) or ("",))[0], text)
 
 
@@ -235,7 +252,7 @@ def feature_counts(rows: DataFrame, model: CharModel) -> DataFrame:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k = 0 if toxic == 1 else 1
-                for f in {f for w in ch.words(text or "") if 3 <= len(w) <= 32 for f in features(w)}:
+                for f in {f for w in ch.words(text or "") if len(w) >= 3 for f in features(w)}:
                     seen.setdefault(f, [0, 0])[k] += 1
                 if len(seen) > 400_000:
                     yield flush()
