@@ -1,8 +1,9 @@
 """Removal of long repeated substrings by distributed prefix doubling over a sparse suffix order.
 
-A byte goes if a string of ``length`` bytes that covers it also starts anywhere else.  As in prefix doubling, every
-string start has a name for its first 2**j bytes, made of the names of its halves, and starts whose name is unique are
-dropped before the next, longer comparison; the last comparison is at ``length`` bytes.
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else.  As in prefix doubling, Spark
+sorts string starts by the names of ever longer beginnings, and starts whose name is unique are dropped before the next
+comparison; the last one is at ``length`` bytes.  A name is a hash of the bytes rather than a pair of the ranks of two
+halves: README.md gives what the plain form, in which every byte carries a rank from round to round, would move.
 
 Not all starts are sorted.  Equal strings of ``length`` bytes have the same smallest 32-byte name at the same place, so
 each start belongs to one anchor, and its equals belong to anchors of the same name.  The rounds are:
@@ -16,7 +17,8 @@ each start belongs to one anchor, and its equals belong to anchors of the same n
    one representative standing for equal stretches.  Names met twice are repeats.
 
 Names are hashes: 64 bits in rounds 1 and 2 beside the stretch's 64, 128 bits in round 3.  Documents never match across
-their borders.  Copies of a text within a task are sorted once, with their weight.
+their borders.  Copies of a text within a task are sorted once, with their weight; of equal stretches that a task meets
+one goes on for all, and the others are settled in the task, so a passage that is everywhere is no hot key.
 
 Defined results: a null text is empty; shorter texts than ``length`` keep all bytes; rows that repeat
 doc_id and text are copies of each other, so all their bytes go; rows without doc_id, or that repeat a doc_id with
@@ -84,13 +86,46 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int):
                 yield np.array([i]), s, part, np.array([0, len(part)])
 
 
+def settled_here(cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``anchor_rows``; of equal (name, stretch) one row goes on with weight 2, the others are told with weight -1.
+
+    The latter need no comparison; their name is a number of their own, so that they are dealt evenly.
+    """
+    name, stretch, doc, first, more, weight = cols
+    o = np.lexsort((-weight, stretch, name))
+    name, stretch, doc, first, more, weight = (c[o] for c in (name, stretch, doc, first, more, weight))
+    lead = np.append(True, (name[1:] != name[:-1]) | (stretch[1:] != stretch[:-1])) if len(name) else np.zeros(0, bool)
+    run = np.cumsum(lead) - 1
+    several = (np.bincount(run, weights=weight) >= 2)[run] if len(run) else lead
+    spread = mix(doc.view(np.uint64) * np.uint64(31) + first.astype(np.uint64)).view(np.int64)
+    name, stretch = np.where(lead, name, spread), np.where(lead, stretch, 0)
+    weight = np.where(lead, np.where(several, 2, weight), -1)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(stretch), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(weight.astype(np.int32))], ["name", "stretch", "doc", "first", "more", "weight"])
+
+
+#: So many rows are compared within a task at once.
+HELD_ROWS = 1_000_000
+
+
+def _settled(parts):
+    """``settled_here`` over some parts at a time."""
+    held: list = []
+    for cols in parts:
+        held.append(cols)
+        if sum(len(c[0]) for c in held) > HELD_ROWS:
+            yield settled_here([np.concatenate(x) for x in zip(*held, strict=True)])
+            held = []
+    if held:
+        yield settled_here([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(name, stretch, doc, first, more, weight): ``more`` starts follow ``first`` (times 256, plus the anchor's place).
 
     Weight 2 stands for more texts of this task with the same bytes.
     """
 
-    def work(batches):
+    def parts(batches):
         seen: set[bytes] = set()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -115,9 +150,9 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 r = rows[t] if len(t) else t
                 k = w[r] > 0
                 r = r[k]
-                yield pa.RecordBatch.from_arrays([pa.array(name[k].view(np.int64)), pa.array(stretch[k].view(np.int64)), pa.array(ids[r], pa.int64()), pa.array((first[k] + base).astype(np.int32)), pa.array(((last - first) * 256 + lead)[k].astype(np.int32)), pa.array(w[r])], ["name", "stretch", "doc", "first", "more", "weight"])
+                yield name[k].view(np.int64), stretch[k].view(np.int64), ids[r].astype(np.int64), first[k] + base, ((last - first) * 256 + lead)[k], w[r]
 
-    return docs.mapInArrow(work, "name long, stretch long, doc long, first int, more int, weight int")
+    return docs.mapInArrow(lambda batches: _settled(parts(batches)), "name long, stretch long, doc long, first int, more int, weight int")
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -125,7 +160,7 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 
 def compare_anchors(rows: DataFrame) -> DataFrame:
-    """(doc, first, more, kind) - kind 0: repeated; 1: repeated, and to be compared with others; 2: to be compared.
+    """(doc, first, more, kind) of the repeated rows - kind 0: repeated; 1: repeated, and to be compared with others; 2: to be compared.
 
     Anchors come sorted by name and stretch.  A name is held until it ends; a very frequent one is told in parts, all
     its stretches then being compared in the next round.
@@ -157,6 +192,12 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             cols = [c.to_numpy() for c in b.columns]
+            done = cols[5] < 0
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in cols[2:5]] + [pa.array(np.zeros(done.sum(), np.int32))], ["doc", "first", "more", "kind"])
+                cols = [c[~done] for c in cols]
+            if not len(cols[0]):
+                continue
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             cut = int(_runs(cols[0])[-1])
@@ -185,7 +226,7 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
 def bin_rows(texts: DataFrame, length: int) -> DataFrame:
     """Rows as of ``anchor_rows`` for the starts to be compared, 16 by their distance from the anchor."""
 
-    def work(batches):
+    def parts(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, off = utf8(b.column(1))
@@ -206,9 +247,9 @@ def bin_rows(texts: DataFrame, length: int) -> DataFrame:
                 h, base = prefix_hash(part), base[at]
                 core = names(h, base + anchor - BIN * bins, base + anchor - BIN * bins - BIN + 1 + length)
                 whole = names(h, base + begin, base + end + length)
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[r[at]], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(((end - begin) * 256).astype(np.int32)), pa.array(w[at].astype(np.int32))], ["name", "stretch", "doc", "first", "more", "weight"])
+                yield core.view(np.int64), whole.view(np.int64), ids[r[at]].astype(np.int64), begin, (end - begin) * 256, w[at]
 
-    return texts.mapInArrow(work, "name long, stretch long, doc long, first int, more int, weight int")
+    return texts.mapInArrow(lambda batches: _settled(parts(batches)), "name long, stretch long, doc long, first int, more int, weight int")
 
 
 def _todo(column: pa.Array) -> tuple[np.ndarray, ...]:
