@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,22 @@ def even_schedule(orders: DataFrame, key: str, qty: str, slices: int) -> DataFra
     return d.select(key, "slice", F.when(F.col("slice") < slices - 1, part.cast("double")).otherwise(F.col(qty) - (slices - 1) * part).alias("qty"))
 
 
+def direction_index(skew: Column, curvature: Column, bias: Column, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:
+    """Weighted sum of skewness, change of curvature and bias."""
+    return weights[0] * skew + weights[1] * curvature + weights[2] * bias
+
+
+def profile_schedule(orders: DataFrame, key: str, qty: str, profile: list[float], participation: float | None = None) -> DataFrame:
+    """Child quantities by a volume profile: its shares, or ``participation`` of each bucket's forecast volume, none above
+    the order; what a sum falls short of the order goes to the last one."""
+    share = [w / sum(profile) for w in profile]
+    each = F.array(*[F.col(qty) * w if participation is None else F.least(F.col(qty), F.lit(participation * v)) for w, v in zip(share, profile, strict=True)])
+    d = orders.select(key, qty, F.posexplode(each).alias("slice", "_q"))
+    given = F.sum("_q").over(Window.partitionBy(key))
+    last = F.col("slice") == len(profile) - 1
+    return d.select(key, "slice", F.when(last, F.col("_q") + F.greatest(F.lit(0.0), F.col(qty) - given)).otherwise(F.col("_q")).alias("qty"))
+
+
 def signal_noise(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     e = F.avg((F.col(x) - F.col(y)) * (F.col(x) - F.col(y)))
     g = df.groupBy(*keys).agg(e.alias("mse"), F.avg(F.col(x) * F.col(x)).alias("_p"), F.max(x).alias("_m"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.sources.files import work_path
+
 
 def tokens(c: str) -> Column:
     return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
@@ -25,18 +27,29 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, k1: float = 1.6, b: float = 0.75) -> DataFrame:
-    """Best k documents of each query. Statistics are of all documents; only postings of query terms are joined."""
-    n = docs.where(F.col(text).isNotNull()).select(key, F.size(tokens(text)).alias("len"))
-    stats = n.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))  # one row
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, k1: float = 1.6, b: float = 0.75, extra: list[str] | None = None, most_terms: int = 2_000_000) -> DataFrame:
+    """Best k documents of each query; every scored document if k is 0. Statistics are of all documents.
+
+    Documents are cut into words twice, for their mean length and for their postings; only words that a query has are
+    counted. The queries are broadcast while they hold ``most_terms`` words at most, else joined by word.
+    ``extra`` columns of the documents come along.
+    """
     q = queries.select(query, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    p = postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    w = p.join(df, "term").join(n, key).crossJoin(F.broadcast(stats))
+    shared = F.broadcast if q.count() <= most_terms else (lambda df: df)
+    some = docs.where(F.col(text).isNotNull())
+    stats = some.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(text))).alias("mean"))  # one row
+    words = some.select(key, *(extra or []), tokens(text).alias("_t")).select(key, *(extra or []), F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    words = words.join(shared(q.select("term").distinct()), "term", "left_semi")
+    p = words.groupBy(key, *(extra or []), "len", "term").agg(F.count("*").alias("tf"))
+    path = work_path(docs.sparkSession, "postings")
+    p.write.parquet(path)
+    p = docs.sparkSession.read.schema(p.schema).parquet(path)
+    df = p.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query word
+    w = p.join(shared(df), "term").crossJoin(F.broadcast(stats))
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    w = w.select(key, "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
-    s = w.join(q, "term").groupBy(query, key).agg(F.sum("w").alias("score"))
-    return top(s, [query], [F.round("score", 9).desc(), F.col(key)], k)
+    w = w.select(key, *(extra or []), "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
+    s = w.join(shared(q), "term").groupBy(query, key, *(extra or [])).agg(F.sum("w").alias("score"))
+    return top(s, [query], [F.round("score", 9).desc(), F.col(key)], k) if k else s
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -53,9 +66,9 @@ def cosine(a: str, b: str) -> Column:
 
 def cosine_top(rows: DataFrame, key: str, vec: str, queries: DataFrame, query: str, k: int, block_rows: int = 4096) -> DataFrame:
     """Exact cosine over all rows for a stated set of queries: blocks of rows meet blocks of queries, each pair of
-    blocks gives its best k, and these are merged. Vectors of another length than the first row's take no part."""
+    blocks gives its best k, and these are merged. Vectors of another length than the most common one take no part."""
     kind = f"{query} long, {key} long, score double"
-    first = rows.where(F.size(vec) > 0).select(F.size(vec).alias("d")).first()
+    first = rows.where(F.size(vec) > 0).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
     if first is None:
         return rows.sparkSession.createDataFrame([], kind)
     clean = lambda df: df.where(F.size(vec) == first["d"]).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))

@@ -199,13 +199,50 @@ def theil_sen(df: DataFrame, keys: list[str], row: str, x: str, y: str) -> DataF
         return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([m], pa.float64())], names)
 
     s = d.select(*keys, "lx", "ly").groupBy(*keys).applyInArrow(slope, kind)
-    base = d.groupBy(*keys).agg(F.count("*").alias("used"), (F.max("lx") - F.min("lx")).alias("span"), F.pow(F.corr("lx", "ly"), 2).alias("r2"))
-    out = base.join(s, keys, "left").withColumn("gamma", -F.col("slope"))
+    at = lambda name, *x: getattr(F, name)(*x).alias(f"_{name}{x[-1]}")
+    base = d.groupBy(*keys).agg(F.count("*").alias("used"), (F.max("lx") - F.min("lx")).alias("span"), *[at(f, c) for f in ("avg", "median", "var_pop") for c in ("lx", "ly")], F.covar_pop("lx", "ly").alias("_cov"))
+    m, c = F.col("slope"), F.col("_medianly") - F.col("slope") * F.col("_medianlx")
+    # mean square of the residuals of the median line, from moments
+    rest = F.col("_var_poply") - 2 * m * F.col("_cov") + m * m * F.col("_var_poplx") + F.pow(F.col("_avgly") - m * F.col("_avglx") - c, 2)
+    enough = (F.col("used") >= 5) & (F.col("span") >= 0.5)
+    r2 = F.when(F.col("_var_poply") * F.col("used") > 1e-10, 1 - rest / F.col("_var_poply")).otherwise(0.0)
+    out = base.join(s, keys, "left").withColumn("gamma", F.when(enough, -F.col("slope"))).withColumn("r2", F.when(enough, r2))
     off = F.abs(F.col("gamma") - 1)
-    verdict = F.when((F.col("used") < 5) | (F.col("span") < 0.5), "INSUFFICIENT").when(F.col("r2") < 0.3, "LOW_R2").when(off < 0.15, "METASTABLE").when(off < 0.30, "WARNING").when(off < 0.50, "CRITICAL").otherwise("COLLAPSE")
+    # fixed values: the gates and the names of the verdicts
+    verdict = F.when(F.col("used") < 5, "INSUFFICIENT_DATA").when(F.col("span") < 0.5, "INSUFFICIENT_RANGE").when(F.col("r2") < 0.3, "LOW_R2").when(off < 0.15, "METASTABLE").when(off < 0.30, "WARNING").when(off < 0.50, "CRITICAL").otherwise("COLLAPSE")
     return out.select(*keys, "used", "gamma", "r2", verdict.alias("verdict"))
 
 
+def convergence(df: DataFrame, keys: list[str], order: list[str], value: str, target: float) -> DataFrame:
+    """Whether the distance to a target falls along a series: its median slope, first and last distance.
+
+    A series of fewer than three points is insufficient. All points of a key are in one task, as 16 bytes each.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *order, F.abs(F.col(value) - target).alias("_d"))
+    d = d.withColumn("_i", (F.row_number().over(w) - 1).cast("double")).select(*keys, "_i", "_d")
+    kind = StructType([*(f for f in d.select(*keys).schema), StructField("slope", DoubleType())])
+    names = kind.names
+
+    def slope(t: pa.Table) -> pa.Table:
+        m = median_pair_slope(t.column("_i").to_numpy(), t.column("_d").to_numpy())
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([m], pa.float64())], names)
+
+    s = d.groupBy(*keys).applyInArrow(slope, kind)
+    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("_d", "_i").alias("first_distance"), F.max_by("_d", "_i").alias("last_distance")).join(s, keys)
+    status = F.when(F.col("n") < 3, "INSUFFICIENT").when(F.col("slope") < 0, "CONVERGING").otherwise("NOT_CONVERGING")
+    return g.select(*keys, "n", F.when(F.col("n") >= 3, F.col("slope")).alias("slope"), status.alias("status"), "first_distance", "last_distance")
+
+
+def effect_sizes(df: DataFrame, keys: list[str], group: Column, value: str, z: float = 1.959963984540054) -> DataFrame:
+    """Cohen d and Hedges g with the analytic interval of Hedges and Olkin, and Cliff's delta."""
+    t = two_samples(df, keys, group, value)
+    na, nb = F.col("na"), F.col("nb")
+    half = lambda c: z * F.sqrt((na + nb) / (na * nb) + F.col(c) * F.col(c) / (2 * (na + nb)))
+    d, g = F.col("cohen_d"), F.col("hedges_g")
+    return t.select(*keys, d, (d - half("cohen_d")).alias("d_low"), (d + half("cohen_d")).alias("d_high"), g, (g - half("hedges_g")).alias("g_low"), (g + half("hedges_g")).alias("g_high"), "cliff")
+
+
 def fluctuation(df: DataFrame, keys: list[str], order: list[str], value: str, scales: list[int]) -> DataFrame:
     """Detrended fluctuation exponent: slope of ln of the mean segment residual on ln of the scale."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"))

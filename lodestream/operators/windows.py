@@ -222,6 +222,38 @@ def average_cost(fills: DataFrame, keys: list[str], order: list[str], price: str
     return p.select(*keys, F.aggregate("f", start, step).alias("_s")).select(*keys, "_s.*")
 
 
+def reservations(events: DataFrame, keys: list[str], order: list[str], amount: str, fate: str, start: float) -> DataFrame:
+    """Balance of each key after its reservations, each of which is then released, committed or held.
+
+    A reservation of more than what is available and not reserved is refused and changes nothing.
+    """
+    p = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("q"), F.col(fate).alias("fate")))).alias("p"))
+    zero = F.struct(F.lit(float(start)).alias("available"), F.lit(0.0).alias("reserved"), F.lit(0).cast("long").alias("refused"))
+
+    def step(a, x):
+        ok = x["q"] <= a["available"] - a["reserved"]
+        gone, kept = ok & (x["fate"] == "commit"), ok & (x["fate"] == "hold")
+        return F.struct((a["available"] - F.when(gone, x["q"]).otherwise(0.0)).alias("available"), (a["reserved"] + F.when(kept, x["q"]).otherwise(0.0)).alias("reserved"), (a["refused"] + (~ok).cast("long")).alias("refused"))
+
+    return p.select(*keys, F.aggregate("p", zero, step).alias("_s")).select(*keys, "_s.*")
+
+
+def value_signal(df: DataFrame, keys: list[str], order: list[str], ret: str, gamma: float = 0.99, rate: float = 0.1, decay: float = 0.05, burst: float = 2.0, steep: float = 5.0, middle: float = 0.5) -> DataFrame:
+    """Value of each key learned from its returns by temporal differences, after the last one: value, last error, last
+    burst (2 at most), the level that bursts and gains feed (0 to 1), and the level's logistic signal."""
+    p = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(ret).cast("double").alias("ret")))).alias("p"))
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("rpe"), F.lit(0.0).alias("phasic"), F.lit(0.0).alias("tonic"))
+
+    def step(a, x):
+        rpe = x["ret"] + gamma * a["v"] - a["v"]
+        phasic = F.least(F.lit(2.0), F.greatest(F.lit(0.0), rpe) * burst)
+        tonic = a["tonic"] + decay * (F.greatest(F.lit(0.0), x["ret"]) + phasic - a["tonic"])
+        return F.struct((a["v"] + rate * rpe).alias("v"), rpe.alias("rpe"), phasic.alias("phasic"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), tonic)).alias("tonic"))
+
+    d = p.select(*keys, F.aggregate("p", zero, step).alias("_s")).select(*keys, "_s.*")
+    return d.withColumn("level", 1 / (1 + F.exp(-F.least(F.lit(10.0), F.greatest(F.lit(-10.0), steep * (F.col("tonic") - middle))))))
+
+
 def truth_guard(baseline: Column, observed: Column, confidence: Column, least: float, most: float) -> Column:
     rel = F.abs(observed - baseline) / F.greatest(F.abs(baseline), F.lit(1e-12))
     return F.when(confidence < least, "low confidence").when(rel > most, "drift").otherwise("quiet")

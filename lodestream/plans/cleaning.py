@@ -121,9 +121,9 @@ def f14_redact_keys(spark, d):
     return table(spark, d, "events").select("event_id", C.redact_map(m, "(?i)(password|secret|token|_key)").alias("m")).select("event_id", F.col("m")["api_key"].alias("secret_key"), F.col("m")["k"].alias("k"))
 
 
-@query("SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 16) AS hash FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 16) AS hash FROM documents")
 def f15_text_hash(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", C.text_hash(F.col("text")).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", C.text_hash(F.col("text")).alias("hash"))
 
 
 @query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS hash FROM orders""")

@@ -70,10 +70,10 @@ def j5_common_times(spark, d):
     return J.common_times(t, "name", "ts").select("name", stamp("ts").alias("ts"), "v")
 
 
-@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events)")
 def j6_new_rows(spark, d):
     e = table(spark, d, "events")
-    return J.new_rows(e, e.where("event_type = 'click'"), ["user_id"]).select("event_id", "value")
+    return J.new_rows(e, e, ["user_id"]).select("event_id", "value")
 
 
 @query("""WITH p AS (SELECT c_nationkey AS k, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS position FROM customer GROUP BY ALL), l AS (SELECT s_nationkey AS k, CAST(max(abs(s_acctbal)) AS DOUBLE) * 2 AS lim FROM supplier GROUP BY ALL)
@@ -124,11 +124,11 @@ def j12_triple_barrier(spark, d):
     return J.triple_barrier(ticks(spark, d), ["symbol"], ["ts", "event_id"], "price", 300.0, 200.0, 12).select("event_id", "label")
 
 
-EDGES = "e AS (SELECT DISTINCT user_id AS src, event_id % 50 AS dst FROM events WHERE event_type = 'click')"
+EDGES = "e AS (SELECT DISTINCT user_id AS src, event_id % 50 AS dst FROM events)"
 
 
 def edges(spark, d):
-    return table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst")).distinct()
+    return table(spark, d, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst")).distinct()
 
 
 @query(f"""WITH {EDGES}, o AS (SELECT src AS node, count(*) AS r FROM e GROUP BY src), b AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY dst)

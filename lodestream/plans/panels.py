@@ -28,7 +28,7 @@ def m1_correlation_graph(spark, d):
     return r(M.correlation_graph(corr(spark, d), 0.02))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS a, event_id % 50 AS b FROM events WHERE event_type = 'click'), k AS (SELECT v, count(*) AS k FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY v) SELECT a, b, 4 - x.k - y.k AS curvature FROM e JOIN k x ON a = x.v JOIN k y ON b = y.v""")
+@query("""WITH e AS (SELECT DISTINCT user_id AS a, event_id % 50 AS b FROM events), k AS (SELECT v, count(*) AS k FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY v) SELECT a, b, 4 - x.k - y.k AS curvature FROM e JOIN k x ON a = x.v JOIN k y ON b = y.v""")
 def m3_forman_curvature(spark, d):
     return M.forman_curvature(edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
@@ -45,10 +45,10 @@ def m4_topology_proxy(spark, d):
     return r(M.topology_proxy(corr(spark, d), F.lit(5)))
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey % 97 AS a, 100 + o_orderkey % 89 AS b FROM orders WHERE o_orderkey % 13 = 0), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), w AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v) SELECT v, min(c) AS component FROM w GROUP BY v""")
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey AS a, 10000000000 + o_orderkey AS b FROM orders), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), w AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v) SELECT v, min(c) AS component FROM w GROUP BY v""")
 def m5_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 13 = 0")
-    return M.components(o.select((F.col("o_custkey") % 97).alias("a"), (100 + F.col("o_orderkey") % 89).alias("b")).distinct())
+    o = table(spark, d, "orders")
+    return M.components(o.select(F.col("o_custkey").cast("long").alias("a"), (10_000_000_000 + F.col("o_orderkey")).alias("b")).distinct())
 
 
 @query(f"""WITH {GRAPH}, x AS (SELECT * FROM e WHERE src <> dst), p AS (SELECT a.src AS a, b.dst AS c FROM x a JOIN x b ON a.dst = b.src AND a.src <> b.dst)
@@ -63,9 +63,9 @@ def m8_degree_distance(spark, d):
     return r(M.degree_distance(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey"))
 
 
-@query("SELECT user_id % 20 AS src, event_id % 20 AS dst, round(count(DISTINCT CAST(ts AS DATE)) / 30, 6) AS persistence FROM events WHERE value > 30 GROUP BY ALL")
+@query("SELECT user_id % 20 AS src, event_id % 20 AS dst, round(count(DISTINCT CAST(ts AS DATE)) / 30, 6) AS persistence FROM events GROUP BY ALL")
 def m8_edge_persistence(spark, d):
-    e = table(spark, d, "events").where("value > 30").select((F.col("user_id") % 20).alias("src"), (F.col("event_id") % 20).alias("dst"), F.to_date("ts").alias("day"))
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("src"), (F.col("event_id") % 20).alias("dst"), F.to_date("ts").alias("day"))
     return r(M.edge_persistence(e, "day", 30))
 
 

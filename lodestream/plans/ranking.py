@@ -12,14 +12,14 @@ from .registry import query, table
 from .summing import r
 
 TOK = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')"
-BM = f"""d AS (SELECT doc_id, {TOK} AS t FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), q AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark WHERE item_id % 10 = 0),
+BM = f"""d AS (SELECT doc_id, {TOK} AS t FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), q AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 w AS (SELECT p.doc_id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.6 / (tf + 1.6 * (0.25 + 0.75 * len(t) / mean)) AS w FROM p JOIN f USING (term) JOIN d USING (doc_id), st),
 bs AS (SELECT item_id, doc_id, sum(w) AS score FROM w JOIN q USING (term) GROUP BY ALL)"""
 
 
-def bm(spark, d, k=10):
-    return K.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").where("item_id % 10 = 0"), "item_id", "text", k)
+def bm(spark, d, k=10, extra=None):
+    return K.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", k, extra=extra)
 
 
 @query(f"WITH {BM} SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM bs QUALIFY rank <= 10")
@@ -27,12 +27,12 @@ def k1_bm25(spark, d):
     return r(bm(spark, d))
 
 
-COS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cs AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"""
+COS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cs AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v, v q WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"""
 
 
 def cos(spark, d, k=10):
     e = table(spark, d, "embeddings")
-    return K.cosine_top(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "query_id", k)
+    return K.cosine_top(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "query_id", k)
 
 
 @query(f"WITH {COS} SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM cs QUALIFY rank <= 10")
@@ -52,8 +52,7 @@ def k3_hybrid(spark, d):
 @query(f"""WITH {BM}, j AS (SELECT item_id, doc_id, score * CASE WHEN doc_id % 400 > 365 THEN 0 ELSE pow(0.5, (doc_id % 400) / 90.0) END * CASE WHEN source = 'src0' THEN 0.5 ELSE 1 END * CASE WHEN lang = 'en' THEN 1.15 ELSE 0.8 END * (1 + 0.03 * least(n_chars % 20, 10)) AS s FROM bs JOIN documents USING (doc_id))
 SELECT item_id, doc_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS INT) AS rank FROM j QUALIFY rank <= 10""")
 def k4_rerank(spark, d):
-    docs = table(spark, d, "documents").drop("text")
-    j = bm(spark, d, 1_000_000_000).drop("rank").join(docs, "doc_id")
+    j = bm(spark, d, 0, ["source", "lang", "n_chars"])
     s = K.rerank(F.col("score"), K.freshness(F.col("doc_id") % 400, 90.0, 365), F.when(F.col("source") == "src0", 0.5).otherwise(1.0), F.array("lang"), F.array(F.lit("en")), F.col("n_chars") % 20)
     return r(K.top(j.select("item_id", "doc_id", s.alias("score")), ["item_id"], [F.round("score", 9).desc(), F.col("doc_id")], 10))
 
@@ -73,7 +72,7 @@ def k6_riskiest(spark, d):
 @query()
 def k7_code_neighbours(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", K.sign_code("embedding", 32, 64).alias("code"))
-    near = K.cosine_top(e, "vec_id", "code", e.where("vec_id % 100 = 0"), "query_id", 5)
+    near = K.cosine_top(e, "vec_id", "code", e.where("vec_id % 20 = 0"), "query_id", 5)
     return near.join(e.select("vec_id", "label"), "vec_id")
 
 
@@ -159,9 +158,9 @@ def x11_kl_divergence(spark, d):
     return p.select("vec_id", F.round(X.kl_divergence("v", "w"), 5).alias("kl"))
 
 
-@query("SELECT event_type, round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3, 4) AS skew FROM events GROUP BY ALL")
+@query("SELECT event_type, round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3, 4) AS skew, round(0.5 * (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3 + 0.3 * regr_slope(value, user_id) + 0.2 * (avg(value) - median(value)), 4) AS direction FROM events GROUP BY ALL")
 def x12_skewness(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.skewness("value"), 4).alias("skew"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.skewness("value"), 4).alias("skew"), F.round(X.direction_index(F.skewness("value"), F.regr_slope("value", F.col("user_id").cast("double")), F.avg("value") - F.median("value")), 4).alias("direction"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id, a.e AS x, b.e AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1), k AS (SELECT vec_id, sqrt(list_dot_product(x, x) + list_dot_product(y, y) - 2 * list_dot_product(x, y)) AS l2, sqrt(list_dot_product(x, x)) AS nx, 1 - list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS c FROM p)
@@ -185,6 +184,19 @@ def x15_twap_schedule(spark, d):
     return X.even_schedule(table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("q")), "o_orderkey", "q", 4)
 
 
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS q FROM orders), e AS (SELECT o_orderkey, q, unnest([0, 1, 2, 3]) AS slice FROM s) SELECT o_orderkey, CAST(slice AS INT) AS slice, round(q * [0.4, 0.2, 0.1, 0.3][slice + 1], 4) AS qty FROM e""")
+def x15_vwap_schedule(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("q"))
+    return r(X.profile_schedule(o, "o_orderkey", "q", [40.0, 20.0, 10.0, 30.0]), 4)
+
+
+@query("""WITH e AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS q, unnest([0, 1, 2, 3]) AS slice FROM orders), a AS (SELECT *, least(q, 0.2::DOUBLE * [300000, 100000, 50000, 200000][slice + 1]) AS x FROM e), b AS (SELECT *, sum(x) OVER (PARTITION BY o_orderkey) AS given FROM a)
+SELECT o_orderkey, CAST(slice AS INT) AS slice, round(x + CASE WHEN slice = 3 THEN greatest(0, q - given) ELSE 0 END, 4) AS qty FROM b""")
+def x15_pov_schedule(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("q"))
+    return r(X.profile_schedule(o, "o_orderkey", "q", [300_000.0, 100_000.0, 50_000.0, 200_000.0], 0.2), 4)
+
+
 @query("""WITH p AS (SELECT l_returnflag AS run, l_extendedprice AS x, l_quantity * 1500 AS y FROM lineitem) SELECT run, round(avg((x - y) ** 2), 0) AS mse, round(10 * log10(avg(x * x) / avg((x - y) ** 2)), 5) AS snr, round(10 * log10(max(x) ** 2 / avg((x - y) ** 2)), 5) AS psnr FROM p GROUP BY run""")
 def x16_signal_noise(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 1500).alias("y"))

@@ -36,10 +36,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", F.col("value").alias("price"))
 
 
-MODULES = ("cleaning", "timing", "joining", "summing", "rolling", "ranking", "texts", "statistics", "panels", "modelling", "streams", "ledgers", "scans")
+MODULES = ("cleaning", "timing", "joining", "summing", "rolling", "ranking", "statistics", "panels", "modelling", "streams", "ledgers", "scans")
 for _m in MODULES:
-    try:
-        import_module(f"lodestream.plans.{_m}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"lodestream.plans.{_m}":
-            raise
+    import_module(f"lodestream.plans.{_m}")

@@ -109,11 +109,11 @@ def w13_convergence(spark, d):
     return r(W.convergence(panel(spark, d), "asset", "ts", "v", 3), 6, strength=5).withColumn("ts", stamp("ts"))
 
 
-@query(f"""SELECT event_id, CASE WHEN avg(price) OVER ({ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > avg(price) OVER ({ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) THEN 1 ELSE -1 END AS crossing, CASE WHEN price > 60 THEN 1 WHEN price < 40 THEN -1 ELSE 0 END AS threshold FROM {T} WHERE event_id % 2 = 0""")
+@query(f"""SELECT event_id, CASE WHEN avg(price) OVER ({ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > avg(price) OVER ({ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) THEN 1 ELSE -1 END AS crossing, CASE WHEN price > 60 THEN 1 WHEN price < 40 THEN -1 ELSE 0 END AS threshold FROM {T}""")
 def w14_signals(spark, d):
     w = w_()
     mean = lambda n: F.avg("price").over(w.rowsBetween(-n + 1, 0))
-    x = ticks(spark, d).where("event_id % 2 = 0")
+    x = ticks(spark, d)
     return x.select("event_id", F.when(mean(5) > mean(20), 1).otherwise(-1).alias("crossing"), F.when(F.col("price") > 60, 1).when(F.col("price") < 40, -1).otherwise(0).alias("threshold"))
 
 
@@ -122,14 +122,20 @@ def w15_momentum(spark, d):
     return ticks(spark, d).select("event_id", F.signum(F.col("price") - F.avg("price").over(w_().rowsBetween(-10, -1))).cast("int").alias("momentum"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i, CAST(l_extendedprice / l_quantity AS DOUBLE) AS p, CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS DOUBLE) AS q FROM lineitem),
+f AS (SELECT DISTINCT l_partkey, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl FROM lineitem UNION ALL
+SELECT o.l_partkey, o.i, pos + q, CASE WHEN pos * q >= 0 AND pos + q <> 0 THEN (cost * abs(pos) + p * abs(q)) / abs(pos + q) WHEN pos + q = 0 THEN 0 WHEN pos * (pos + q) < 0 THEN p ELSE cost END, pnl + CASE WHEN pos * q >= 0 THEN 0 ELSE least(abs(pos), abs(q)) * (p - cost) * sign(pos) END FROM f JOIN o ON o.l_partkey = f.l_partkey AND o.i = f.i + 1)
+SELECT l_partkey, round(arg_max(pos, i), 4) AS pos, round(arg_max(cost, i), 4) AS cost, round(arg_max(pnl, i), 4) AS pnl FROM f GROUP BY l_partkey""")
 def w16_average_cost(spark, d):
     li = table(spark, d, "lineitem").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity"))
     q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     return r(W.average_cost(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "p", q), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT symbol, user_id, avg(price) AS m, stddev_pop(price) AS s FROM {T} GROUP BY ALL), o AS (SELECT symbol, user_id, row_number() OVER (PARTITION BY symbol, user_id ORDER BY ts, event_id) AS i, coalesce((price - m) / nullif(s, 0), 0) AS z FROM {T} JOIN m USING (symbol, user_id)),
+f AS (SELECT symbol, user_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS side FROM m UNION ALL
+SELECT symbol, user_id, i, up, dn, CASE WHEN up > 3 THEN 1 WHEN dn > 3 THEN -1 ELSE 0 END FROM (SELECT o.symbol, o.user_id, o.i, greatest(0, CASE WHEN side = 0 THEN up ELSE 0 END + z - 0.25::DOUBLE) AS up, greatest(0, CASE WHEN side = 0 THEN dn ELSE 0 END - z - 0.25::DOUBLE) AS dn FROM f JOIN o ON o.symbol = f.symbol AND o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT symbol, user_id, CAST(i - 1 AS INT) AS at, side FROM f WHERE side <> 0""")
 def w17_cusum(spark, d):
     return W.cusum(ticks(spark, d), ["symbol", "user_id"], ["ts", "event_id"], "price", 0.25, 3.0)
 
@@ -194,12 +200,19 @@ def w29_conservation(spark, d):
     return r(W.conservation(ticks(spark, d), ["symbol"], ["ts", "event_id"], "price", 0.5), 6, worst=4)
 
 
-@query()
+def clamped(delta: str, start: float, low: float, high: float, decay: float) -> str:
+    return f"""WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST({delta} AS DOUBLE) AS v FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST({start} AS DOUBLE) AS level FROM events UNION ALL SELECT o.user_id, o.i, greatest(CAST({low} AS DOUBLE), least(CAST({high} AS DOUBLE), level * CAST({decay} AS DOUBLE) + v)) FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, round(arg_max(level, i), 6) AS level FROM f GROUP BY user_id"""
+
+
+@query(clamped("(value - 50) / 100", 0.0, -1.0, 1.0, 0.9))
 def w30_clamped_valence(spark, d):
     return r(W.clamped_fold(ticks(spark, d), ["user_id"], ["ts", "event_id"], (F.col("price") - 50) / 100, 0.0, -1.0, 1.0, 0.9))
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, event_type AS symbol, value AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE event_id % 5 > 0 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+e AS (SELECT user_id, symbol, round(sum(CASE WHEN i = 1 THEN 1 ELSE 0.2::DOUBLE END * pow(0.8::DOUBLE, n - i) * v), 6) AS ewma FROM o GROUP BY user_id, symbol) SELECT user_id, symbol, ewma FROM (SELECT DISTINCT user_id, event_type AS symbol FROM events) LEFT JOIN e USING (user_id, symbol)""")
 def w22_ewma(spark, d):
     return r(W.ewma_fold(ticks(spark, d), ["user_id", "symbol"], ["ts", "event_id"], F.when(F.col("event_id") % 5 > 0, F.col("price")), 0.2))
 
@@ -211,6 +224,27 @@ def w31_balances(spark, d):
     return e.select("event_id", F.round(b, 4).alias("balance"), (b < 0).alias("rejected"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT l_suppkey AS book, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i, CAST(l_quantity AS DOUBLE) AS q, CASE l_returnflag WHEN 'R' THEN 'release' WHEN 'A' THEN 'commit' ELSE 'hold' END AS fate FROM lineitem),
+f AS (SELECT DISTINCT l_suppkey AS book, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS i, 2000.0::DOUBLE AS available, 0.0::DOUBLE AS reserved, true AS taken FROM lineitem UNION ALL
+SELECT book, id, i, available - CASE WHEN ok AND fate = 'commit' THEN q ELSE 0 END, reserved + CASE WHEN ok AND fate = 'hold' THEN q ELSE 0 END, ok FROM (SELECT o.book, o.id, o.i, q, fate, available, reserved, q <= available - reserved AS ok FROM f JOIN o ON o.book = f.book AND o.i = f.i + 1))
+SELECT book, round(arg_max(available, i), 4) AS available, round(arg_max(reserved, i), 4) AS reserved, count(*) FILTER (NOT taken) AS refused FROM f GROUP BY book""")
+def w31_reservations(spark, d):
+    q, flag = F.col("l_quantity").cast("double"), F.col("l_returnflag")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), "l_orderkey", "l_linenumber", q.alias("q"), F.when(flag == "R", "release").when(flag == "A", "commit").otherwise("hold").alias("fate"))
+    return r(W.reservations(li, ["book"], ["l_orderkey", "l_linenumber"], "q", "fate", 2000.0), 4)
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT symbol, user_id, price / nullif(lag(price) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM {T} WINDOW w AS (PARTITION BY symbol, user_id ORDER BY ts, event_id)), o AS (SELECT symbol, user_id, i, coalesce(greatest(-1, least(1, ret)), 0)::DOUBLE AS ret FROM x),
+f AS (SELECT DISTINCT symbol, user_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS v, 0.0::DOUBLE AS rpe, 0.0::DOUBLE AS phasic, 0.0::DOUBLE AS tonic FROM o UNION ALL
+SELECT symbol, user_id, i, v + 0.1::DOUBLE * rpe, rpe, phasic, greatest(0, least(1, tonic + 0.05::DOUBLE * (greatest(0, ret) + phasic - tonic))) FROM (SELECT *, least(2, greatest(0, rpe) * 2) AS phasic FROM (SELECT o.symbol, o.user_id, o.i, ret, v, tonic, ret + 0.99::DOUBLE * v - v AS rpe FROM f JOIN o ON o.symbol = f.symbol AND o.user_id = f.user_id AND o.i = f.i + 1)))
+SELECT symbol, user_id, round(arg_max(v, i), 6) AS v, round(arg_max(rpe, i), 6) AS rpe, round(arg_max(phasic, i), 6) AS phasic, round(arg_max(tonic, i), 6) AS tonic, round(1 / (1 + exp(-greatest(-10, least(10, 5 * (arg_max(tonic, i) - 0.5))))), 6) AS level FROM f GROUP BY symbol, user_id""")
+def w24_value_signal(spark, d):
+    x = ticks(spark, d)
+    before = F.lag("price").over(W.series(["symbol", "user_id"], ["ts", "event_id"]))
+    ret = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("price") / F.nullif(before, F.lit(0.0)) - 1)), F.lit(0.0))
+    return r(W.value_signal(x.withColumn("ret", ret), ["symbol", "user_id"], ["ts", "event_id"], "ret"))
+
+
 @query("SELECT event_id, round(1 / (1 + exp(-(-1 + value * 0.02 + user_id * 0.001))), 6) AS score FROM events")
 def w32_warning_score(spark, d):
     return table(spark, d, "events").select("event_id", F.round(W.warning_score({"value": 0.02, "user_id": 0.001}, -1.0), 6).alias("score"))
@@ -221,6 +255,6 @@ def w33_truth_guard(spark, d):
     return table(spark, d, "events").select("event_id", W.truth_guard(F.lit(50.0), F.col("value"), (F.col("event_id") % 10) / 10, 0.2, 0.8).alias("state"))
 
 
-@query()
+@query(clamped("CASE WHEN value > 50 THEN 0.1 ELSE -0.1 END", 1.0, 0.0, 1.0, 1.0))
 def w34_support_level(spark, d):
     return r(W.clamped_fold(ticks(spark, d), ["user_id"], ["ts", "event_id"], F.when(F.col("price") > 50, 0.1).otherwise(-0.1), 1.0, 0.0, 1.0))

@@ -69,6 +69,21 @@ def i6_two_samples(spark, d):
     return r(S.two_samples(x, ["k"], F.col("l_linestatus") == "O", "v"), 6, t=5, dof=3)
 
 
+@query(f"""{TWO}, d AS (SELECT k, na, nb, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS c FROM m), g AS (SELECT *, c * (1 - 3 / (4 * (na + nb) - 9)) AS g FROM d)
+SELECT k, round(c, 6) AS cohen_d, round(c - 1.959963984540054 * sqrt((na + nb) / (na * nb) + c * c / (2 * (na + nb))), 6) AS d_low, round(c + 1.959963984540054 * sqrt((na + nb) / (na * nb) + c * c / (2 * (na + nb))), 6) AS d_high,
+round(g, 6) AS hedges_g, round(g - 1.959963984540054 * sqrt((na + nb) / (na * nb) + g * g / (2 * (na + nb))), 6) AS g_low, round(g + 1.959963984540054 * sqrt((na + nb) / (na * nb) + g * g / (2 * (na + nb))), 6) AS g_high, round(2 * u / (na * nb) - 1, 6) AS cliff FROM g JOIN u USING (k)""")
+def i7_effect_sizes(spark, d):
+    x = table(spark, d, "lineitem").where("l_returnflag <> 'X'").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("v"), "l_linestatus")
+    return r(S.effect_sizes(x, ["k"], F.col("l_linestatus") == "O", "v"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, abs(o_totalprice / 100000 - 1) AS d FROM orders), s AS (SELECT a.k, quantile_cont((b.d - a.d) / (b.i - a.i), 0.5) AS slope FROM x a JOIN x b ON a.k = b.k AND a.i < b.i GROUP BY a.k)
+SELECT k, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(any_value(slope), 5) END AS slope, CASE WHEN count(*) < 3 THEN 'INSUFFICIENT' WHEN any_value(slope) < 0 THEN 'CONVERGING' ELSE 'NOT_CONVERGING' END AS status, round(arg_min(d, i), 4) AS first_distance, round(arg_max(d, i), 4) AS last_distance FROM x LEFT JOIN s USING (k) GROUP BY k""")
+def i15_convergence(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey", (F.col("o_totalprice") / 100000).alias("v"))
+    return r(S.convergence(o, ["k"], ["o_orderdate", "o_orderkey"], "v", 1.0), 4, slope=5)
+
+
 @query("""WITH x AS (SELECT o_orderpriority AS f, o_orderkey AS k, (o_custkey * 7919 % 10007 + 1) / 10008.0 / 50 AS p FROM orders), y AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY f) AS m FROM x WINDOW w AS (PARTITION BY f ORDER BY p, k))
 SELECT k, round(least(1, p * m), 9) AS bonferroni, round(least(1, max(p * (m - r + 1)) OVER (PARTITION BY f ORDER BY p, k ROWS UNBOUNDED PRECEDING)), 9) AS holm, round(least(1, min(p * m / r) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS bh FROM y""")
 def i9_corrections(spark, d):
@@ -91,8 +106,8 @@ def i10_auc(spark, d):
     return r(S.auc(x, ["one"], "toxic", "n_chars"))
 
 
-@query("""WITH x AS (SELECT user_id AS k, event_id, ln(1.0 + event_id % 97) AS x, ln(value * 0.1 + 1.0 + event_id % 97) AS y FROM events WHERE value > -1), s AS (SELECT a.k, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM x a JOIN x b ON a.k = b.k AND a.event_id < b.event_id AND a.x <> b.x GROUP BY a.k), c AS (SELECT k, count(*) AS used, max(x) - min(x) AS span, corr(x, y) ** 2 AS r2 FROM x GROUP BY k)
-SELECT k, used, round(-slope, 5) AS gamma, round(r2, 5) AS r2, CASE WHEN used < 5 OR span < 0.5 THEN 'INSUFFICIENT' WHEN r2 < 0.3 THEN 'LOW_R2' WHEN abs(-slope - 1) < 0.15 THEN 'METASTABLE' WHEN abs(-slope - 1) < 0.30 THEN 'WARNING' WHEN abs(-slope - 1) < 0.50 THEN 'CRITICAL' ELSE 'COLLAPSE' END AS verdict FROM c LEFT JOIN s USING (k)""")
+@query("""WITH x AS (SELECT user_id AS k, event_id, ln(1.0 + event_id % 97) AS x, ln(value * 0.1 + 1.0 + event_id % 97) AS y FROM events WHERE value > -1), s AS (SELECT a.k, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM x a JOIN x b ON a.k = b.k AND a.event_id < b.event_id AND a.x <> b.x GROUP BY a.k), c AS (SELECT k, count(*) AS used, max(x) - min(x) AS span, median(x) AS mx, median(y) AS my, avg(y) AS ay FROM x GROUP BY k), f AS (SELECT x.k, CASE WHEN sum((y - ay) ** 2) > 1e-10 THEN 1 - sum((y - my - slope * (x - mx)) ** 2) / sum((y - ay) ** 2) ELSE 0 END AS r2 FROM x JOIN c ON c.k = x.k LEFT JOIN s ON s.k = x.k GROUP BY x.k)
+SELECT k, used, CASE WHEN used >= 5 AND span >= 0.5 THEN round(-slope, 5) END AS gamma, CASE WHEN used >= 5 AND span >= 0.5 THEN round(r2, 5) END AS r2, CASE WHEN used < 5 THEN 'INSUFFICIENT_DATA' WHEN span < 0.5 THEN 'INSUFFICIENT_RANGE' WHEN r2 < 0.3 THEN 'LOW_R2' WHEN abs(-slope - 1) < 0.15 THEN 'METASTABLE' WHEN abs(-slope - 1) < 0.30 THEN 'WARNING' WHEN abs(-slope - 1) < 0.50 THEN 'CRITICAL' ELSE 'COLLAPSE' END AS verdict FROM c LEFT JOIN s USING (k) LEFT JOIN f USING (k)""")
 def i12_theil_sen(spark, d):
     x = table(spark, d, "events").where("value > -1").select(F.col("user_id").alias("k"), "event_id", (1.0 + F.col("event_id") % 97).alias("x"), (F.col("value") * 0.1 + 1.0 + F.col("event_id") % 97).alias("y"))
     return r(S.theil_sen(x, ["k"], "event_id", "x", "y"), 5)

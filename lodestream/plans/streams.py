@@ -11,11 +11,12 @@ from .summing import r
 from .timing import s, stamp
 
 
-@query("SELECT user_id, event_type, count(*) > 0 AS stored FROM events GROUP BY ALL")
+@query("SELECT event_id, user_id, event_type, value + 2 AS value FROM events")
 def st1_materialise(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    out = S.materialise(S.feed(e, "ts"), ["user_id", "event_type"], ["ts", "event_id"])
-    return out.groupBy("user_id", "event_type").agg((F.count("*") == 1).alias("stored"))
+    """Three versions of each event at one time: the last one is stored, once."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    e = e.withColumn("version", F.explode(F.array(*[F.lit(v) for v in (1, 0, 2)]))).withColumn("value", F.col("value") + F.col("version"))
+    return S.materialise(S.feed(e, "ts"), ["event_id"], ["ts", "version"]).select("event_id", "user_id", "event_type", "value")
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(event_id % 60 * 1000000), 3) AS lag FROM events GROUP BY ALL")
@@ -42,14 +43,15 @@ def st5_sequence_gaps(spark, d):
     return S.sequence_gaps(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_orderkey").alias("seq")).distinct(), "book", "seq")
 
 
-@query("SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY ALL")
+@query("""WITH o AS (SELECT event_type AS symbol, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT symbol, n, round(sum(CASE WHEN i = 1 THEN 1 ELSE 0.1::DOUBLE END * pow(0.9::DOUBLE, n - i) * v), 6) AS mean FROM o GROUP BY symbol, n""")
 def st6_running_means(spark, d):
-    stream = S.running_means(S.feed(ticks(spark, d).select("symbol", "event_id", "price", "ts"), "ts"), "symbol", "event_id", "price", 0.1)
+    stream = S.running_means(S.feed(ticks(spark, d).select("symbol", "event_id", "price", "ts"), "ts"), "symbol", ["ts", "event_id"], "price", 0.1)
     from lodestream.sources.files import work_path
 
     out, marks = work_path(spark, "means"), work_path(spark, "marks")
     stream.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("symbol").agg(F.max("n").alias("n"))
+    last = spark.read.parquet(out).groupBy("symbol").agg(F.max(F.struct("n", "mean")).alias("m"))
+    return last.select("symbol", "m.n", F.round("m.mean", 6).alias("mean"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -71,7 +73,9 @@ def st9_rolling_percentile(spark, d):
     return ticks(spark, d).select("event_id", F.round(F.percentile("price", F.lit(0.95)).over(w), 6).alias("p95"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS t, 3.0::DOUBLE AS tokens, true AS ok FROM events UNION ALL SELECT user_id, i, t, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1 FROM (SELECT o.user_id, o.i, o.t, least(3.0::DOUBLE, tokens + coalesce((o.t - f.t) * (1.0::DOUBLE / 3600), 0)) AS have FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id, CAST(count(*) FILTER (i > 0 AND ok) AS INT) AS allowed, CAST(count(*) FILTER (NOT ok) AS INT) AS refused FROM f GROUP BY user_id""")
 def st10_token_bucket(spark, d):
     e = table(spark, d, "events").withColumn("sec", F.unix_micros("ts") / 1e6)
     return S.token_bucket(e, "user_id", ["ts", "event_id"], "sec", 1 / 3600, 3)

@@ -11,10 +11,16 @@ from lodestream.sources.files import work_path
 
 
 def feed(df: DataFrame, by: str, files: int = 4, per_batch: int = 2) -> DataFrame:
-    """A stream of the rows of ``df``, in files cut by range of ``by``."""
+    """A stream of the rows of ``df``, in steps cut by range of ``by`` and written one after the other, so that they arrive
+    in that order; rows without it come first."""
     spark = df.sparkSession
     path = work_path(spark, "feed")
-    df.repartitionByRange(files, by).write.parquet(path)
+    cuts = df.agg(F.percentile_approx(by, [i / files for i in range(1, files)], 10_000)).first()[0] or []
+    low = F.lit(True)
+    for cut in [*sorted(set(cuts)), None]:
+        below = F.lit(True) if cut is None else F.col(by).isNull() | (F.col(by) < F.lit(cut))
+        df.where(low & below).coalesce(1).write.mode("append").parquet(path)
+        low = F.col(by) >= F.lit(cut)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
@@ -63,7 +69,7 @@ def lag_by_source(df: DataFrame, source: str, event: str, arrival: str) -> DataF
     return df.groupBy(source).agg(F.count("*").alias("n"), F.avg(F.unix_micros(arrival) - F.unix_micros(event)).alias("lag"))
 
 
-def running_means(stream: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
+def running_means(stream: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
     """Exponentially weighted mean of each key kept as state; a row for each key and batch, the last one is current."""
 
     def update(k, frames, state: GroupState):
