@@ -146,7 +146,7 @@ def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: flo
 
 
 def search_nearest(
-    rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 20_000, leaf_rows: int = 128, calibrated_recall: float = 0.97, block_rows: int = 4096, test_queries: int = 64
+    rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 20_000, leaf_rows: int = 256, calibrated_recall: float = 0.95, block_rows: int = 4096, test_queries: int = 64
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each query."""
     spark = rows.sparkSession
@@ -195,13 +195,13 @@ def search_nearest(
     right = walked.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), deal("nq").alias("qb"))
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
+        found = [(np.zeros(0, np.int64), np.zeros(0))]
+        qid = np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
             ids, v, qid, q = a.column("id").to_numpy(), matrix(a.column("v")), b.column("id").to_numpy(), matrix(b.column("v"))
-            for i in range(len(qid)):
-                near, far = nearest_rows(ids, v, qid[i], q[i], k)
-                out.append(pa.table({"query_id": np.full(len(near), qid[i]), "vec_id": ids[near], "score": far}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            found += [(ids[near], far) for near, far in (nearest_rows(ids, v, i, x, k) for i, x in zip(qid, q, strict=True))]
+        n = [len(f[0]) for f in found[1:]]
+        return pa.table({"query_id": np.repeat(qid, n), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
 
     key = ["leaf", "rb", "qb"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(join, "query_id long, vec_id long, score double")
