@@ -7,8 +7,9 @@
   branch it is on, until ``visits`` leaves have come out - and further, until they hold ``k`` rows besides its own.
 * ``visits`` is widened against brute force over all rows, for a bounded number of queries, until the mean recall
   reaches ``calibrated_recall``.
-* A leaf is cut into blocks of about ``block_rows`` rows by a hash of the id and vector, and the queries of a leaf
-  likewise, so that a leaf that holds a third of all rows (copies of one vector) is many bounded groups.
+* Queries of neighbouring leaves form blocks of about ``block_queries``.  The rows of all leaves that a block visits are
+  dealt over parts by a hash of the id and vector, so that a leaf that holds a third of all rows (copies of one vector)
+  is in all parts.  A task holds the queries of a block and their ``k`` nearest so far; rows stream past, leaf by leaf.
 
 Distances are Euclidean, in double precision on the original vectors.  Vectors that are null, empty, zero or hold null
 or non-finite components take no part, nor do those of another length than the most common one.  Ties go to the
@@ -30,6 +31,7 @@ from .vectors import clean_vectors, matrix
 
 
 FEWEST = 4
+PARTS, ROWS_A_PART, FLUSH, MOST_BROADCAST = 16, 1_000_000, 1 << 20, 1_000_000
 
 
 class Tree:
@@ -115,6 +117,85 @@ def nearest_rows(ids: np.ndarray, v: np.ndarray, own: int, q: np.ndarray, k: int
     return near, far[near]
 
 
+def query_blocks(leaves: list[int], counts: list[int], most: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(leaf, first block, blocks) of the queries whose nearest leaf it is, and the number of blocks.
+
+    Queries of neighbouring leaves share a block of about ``most``; those of a leaf with more are dealt over several.
+    """
+    out, block, have = [], 0, 0
+    for leaf, n in zip(leaves, counts, strict=True):
+        if have and have + n > most:
+            block, have = block + 1, 0
+        many = -(-n // most)
+        out.append((leaf, block, many))
+        block, have = (block + many, 0) if many > 1 else (block, have + n)
+    return out, block + (have > 0)
+
+
+class Nearest:
+    """The ``k`` nearest rows of each query of a block, from rows that come leaf by leaf in any number."""
+
+    def __init__(self, k: int, n_leaves: int):
+        self.k, self.n_leaves = k, n_leaves
+        self.asked: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.q = None
+
+    def ask(self, ids: np.ndarray, q: np.ndarray, leaves: pa.Array) -> None:
+        self.asked.append((ids, q, leaves))
+
+    def start(self) -> None:
+        self.own = np.concatenate([a[0] for a in self.asked])
+        self.q = np.concatenate([a[1] for a in self.asked])
+        self.norm = (self.q**2).sum(axis=1)
+        n = np.concatenate([a[2].value_lengths().to_numpy() for a in self.asked])
+        leaf = np.concatenate([a[2].flatten().to_numpy() for a in self.asked])
+        order = np.argsort(leaf, kind="stable")
+        self.by_leaf = np.repeat(np.arange(len(n)), n)[order]
+        self.cut = np.searchsorted(leaf[order], np.arange(self.n_leaves + 1))
+        self.bound = np.full(len(self.q), np.inf)
+        self.at, self.far, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.have = 0
+
+    def meet(self, leaf: int, ids: np.ndarray, v: np.ndarray) -> None:
+        if self.q is None:
+            if not self.asked:
+                return
+            self.start()
+        who = self.by_leaf[self.cut[leaf] : self.cut[leaf + 1]]
+        step = max(1, FLUSH // max(1, len(who)))
+        for i in range(0, len(ids) if len(who) else 0, step):
+            x, name = v[i : i + step], ids[i : i + step]
+            norm = (x**2).sum(axis=1)[None, :] + self.norm[who][:, None]
+            # products only rule rows out; what is kept is measured on the differences
+            near = norm - 2 * self.q[who] @ x.T <= (self.bound[who] ** 2)[:, None] + 1e-9 * (norm + 1)
+            near &= name[None, :] != self.own[who][:, None]
+            a, c = np.nonzero(near)
+            far = np.sqrt(((x[c] - self.q[who[a]]) ** 2).sum(axis=1))
+            keep = far <= self.bound[who[a]]
+            self.fresh.append((who[a][keep], far[keep], name[c][keep]))
+            self.have += int(keep.sum())
+            if self.have > FLUSH // 4:
+                self.settle()
+
+    def settle(self) -> None:
+        at, far, name = (np.concatenate([x, *(f[i] for f in self.fresh)]) for i, x in enumerate((self.at, self.far, self.id)))
+        order = np.lexsort((name, far, at))
+        at, far, name = at[order], far[order], name[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = nth < self.k
+        self.at, self.far, self.id = at[keep], far[keep], name[keep]
+        full = nth == self.k - 1
+        self.bound[at[full]] = far[full]
+        self.fresh, self.have = [], 0
+
+    def rows(self):
+        if self.q is None:
+            return
+        self.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(self.own[self.at]), pa.array(self.id), pa.array(self.far)], ["query_id", "vec_id", "score"])
+
+
 def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: float, held: np.ndarray, queries: int) -> int:
     """The fewest leaves that give mean recall ``goal`` over all rows, for ``queries`` queries: (id, v), chosen by hash."""
     some = asked.orderBy(F.xxhash64("id", "v"), "id").limit(queries).toArrow()
@@ -146,7 +227,7 @@ def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: flo
 
 
 def search_nearest(
-    rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 20_000, leaf_rows: int = 256, calibrated_recall: float = 0.95, block_rows: int = 4096, test_queries: int = 64
+    rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, fit_rows: int = 20_000, leaf_rows: int = 256, calibrated_recall: float = 0.95, block_queries: int = 4096, test_queries: int = 64
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each query."""
     spark = rows.sparkSession
@@ -183,28 +264,45 @@ def search_nearest(
             if not b.num_rows:
                 continue
             found = [tree.search(q, visits, held, k + n) for q, n in zip(matrix(b.column(1)), b.column(2).to_pylist(), strict=True)]
-            n = np.array([len(f) for f in found])
-            at = np.repeat(np.arange(b.num_rows), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(found).astype(np.int64))], ["id", "v", "leaf"])
-
-    walked = written(asked.mapInArrow(walk, kind), "ann-queries")
-    parts = lambda df: df.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("n"))
-    blocks = parts(placed).withColumnRenamed("n", "nr").join(parts(walked).withColumnRenamed("n", "nq"), "leaf")
-    deal = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("long")
-    left = placed.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", deal("nr").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
-    right = walked.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), deal("nq").alias("qb"))
-
-    def join(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0))]
-        qid = np.zeros(0, np.int64)
-        if a.num_rows and b.num_rows:
-            ids, v, qid, q = a.column("id").to_numpy(), matrix(a.column("v")), b.column("id").to_numpy(), matrix(b.column("v"))
-            found += [(ids[near], far) for near, far in (nearest_rows(ids, v, i, x, k) for i, x in zip(qid, q, strict=True))]
-        n = [len(f[0]) for f in found[1:]]
-        return pa.table({"query_id": np.repeat(qid, n), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
-
-    key = ["leaf", "rb", "qb"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(join, "query_id long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32())), pa.array([f[0] for f in found], pa.int32())], ["id", "v", "leaves", "first"])
+
+    walked = written(asked.mapInArrow(walk, "id long, v array<double>, leaves array<int>, first int"), "ann-queries")
+    firsts = walked.groupBy("first").count().orderBy("first").toArrow()  # one number a leaf
+    table, n_blocks = query_blocks(firsts.column("first").to_pylist(), firsts.column("count").to_pylist(), block_queries)
+    if not n_blocks:
+        return spark.createDataFrame([], schema)
+    table = spark.createDataFrame(table, "first int, block long, many long")  # a row a leaf at most
+    walked = walked.join(F.broadcast(table), "first").select("id", "v", "leaves", (F.col("block") + F.pmod(F.xxhash64("id"), "many")).alias("block"))
+    # Each block of queries meets the rows in parts of all leaves, so a query gives k rows a part, not a leaf.
+    parts = max(PARTS, -(-size["count"] // (ROWS_A_PART * n_blocks)))
+    wanted = written(walked.select(F.explode("leaves").alias("leaf"), "block").distinct(), "ann-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    left = placed.join(wanted, "leaf").select("block", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"), F.col("leaf").cast("int").alias("leaf"), "id", "v", F.lit(None).cast("array<int>").alias("leaves"))
+    right = walked.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("leaf"), "id", "v", "leaves")
+    met = right.union(left).repartition("block", "part").sortWithinPartitions("block", "part", "leaf")
+
+    def join(batches):
+        at, near = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, part, leaf = (b.column(c).to_numpy() for c in range(3))
+            new = np.append(True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (leaf[1:] != leaf[:-1]))
+            starts = np.flatnonzero(new)
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+                if at != (block[i], part[i]):
+                    if near is not None:
+                        yield from near.rows()
+                    at, near = (block[i], part[i]), Nearest(k, tree.n_leaves)
+                ids, v = b.column(3).slice(i, j - i).to_numpy(), matrix(b.column(4).slice(i, j - i))
+                if leaf[i] < 0:
+                    near.ask(ids, v, b.column(5).slice(i, j - i))
+                else:
+                    near.meet(int(leaf[i]), ids, v)
+        if near is not None:
+            yield from near.rows()
+
+    near = met.mapInArrow(join, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -68,7 +68,7 @@ def vectors(seed=2, n=900, d=12):
 def test_tree_search_reaches_recall_and_exact_scores(spark):
     rows, odd = vectors()
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = ann_tree.search_nearest(df, df.where("vec_id % 10 = 0"), "vec_id", "embedding", block_rows=64).collect()
+    got = ann_tree.search_nearest(df, df.where("vec_id % 10 = 0"), "vec_id", "embedding", block_queries=64).collect()
     x = np.array([v for _, v in rows])
     by = {}
     for r in got:
@@ -89,7 +89,7 @@ def test_tree_search_reaches_recall_and_exact_scores(spark):
     near = [(i, rng.normal(size=12).tolist()) for i in range(300) for _ in range(8)]
     far = [(1000 + i, (np.eye(12)[i] * 1e4).tolist()) for i in range(9)]
     df = spark.createDataFrame(near + far + [(0, [0.5] * 12)] * 400, "vec_id long, embedding array<float>").withColumn("leaf", F.lit(1))
-    got = ann_tree.search_nearest(df, df.where("vec_id >= 1000 OR vec_id % 100 = 0"), "vec_id", "embedding", fit_rows=600, leaf_rows=20, block_rows=16)
+    got = ann_tree.search_nearest(df, df.where("vec_id >= 1000 OR vec_id % 100 = 0"), "vec_id", "embedding", fit_rows=600, leaf_rows=20, block_queries=16)
     assert {(r["query_id"], r["count"]) for r in got.groupBy("query_id").count().collect()} == {(q, 10) for q in (0, 100, 200, *range(1000, 1009))}
     nothing = df.where("vec_id < 0")
     assert ann_tree.search_nearest(nothing, nothing, "vec_id", "embedding").count() == 0
