@@ -9,9 +9,12 @@ from .langid import op5_language_codes
 from .maxscore import OP4_SQL, op4_maxscore_topk
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_best_fit_packing
+from .repair import op11_conversation_repair
+from .secrets import op12_secret_ledger
 from .suffix import op8_suffix_dedup
 from .token_store import op2_token_store
 from .toxicity import op9_toxicity
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +29,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_toxicity,
         op10_best_fit_packing,
+        op11_conversation_repair,
+        op12_secret_ledger,
+        op13_embedding_whitening,
     )
 }
 SQL = {"op3_mix_sources": OP3_SQL, "op4_maxscore_topk": OP4_SQL, "op6_chat_perspectives": OP6_SQL}
