@@ -47,4 +47,4 @@ def test_mixing_counts_and_returns_rows_without_id(spark):
 
 def test_ids_that_are_not_repeated_are_the_keys(spark):
     docs = table(spark, [(3, "x"), (8, "y")])
-    assert {(r["doc_id"], r["row_key"]) for r in corpus_pipeline.keyed(docs).collect()} == {(3, 3), (8, 8)}
+    assert {(r["row"]["doc_id"], r["row_key"]) for r in corpus_pipeline.keyed(docs).collect()} == {(3, 3), (8, 8)}

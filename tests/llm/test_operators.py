@@ -65,6 +65,18 @@ def vectors(seed=2, n=900, d=12):
     return rows, odd
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_that_sums_of_powers_confuse_are_different(spark):
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, f"{a} one two three four"), (4, f"{a.upper()} one two three four")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 1)}
+
+
 def test_tree_search_reaches_recall_and_exact_scores(spark):
     rows, odd = vectors()
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")

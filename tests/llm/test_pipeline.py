@@ -81,3 +81,34 @@ def brute_mix(rows, share=0.8):
                         out.append(i)
                     at += n
     return sorted(out)
+
+
+CLASHING = ("score", "predicted", "n_removed", "n_bytes", "n_spans", "row_key", "again", "copy", "copies", "row", "id", "class", "doc", "domain", "other0", "a.b")
+
+
+def test_clashing_names_nulls_and_long_texts_pass_through_all_stages(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [t for _, t in corpus(5, 30)] + [None, "", " ".join(f"w{rng.randrange(10**6)}" for _ in range(40_000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"src{i % 4}", len(t or ""), *[f"{c}{i}" if i % 3 else None for c in CLASHING]) for i, t in enumerate(texts)]
+    rows += [(None, *rows[12][1:]), (None, *rows[12][1:]), rows[13]]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = {(r[0], *r[5:]) for r in rows}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert got and {(r[0], *r[5:]) for r in got} <= extra, name
+        now = spark.createDataFrame(got, docs.schema)
+    assert corpus_pipeline.pack(spark, now, "").select("doc_id").distinct().count() > 5
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 5
+
+
+def test_empty_table_stays_empty_in_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
