@@ -70,10 +70,11 @@ def j5_common_times(spark, d):
     return J.common_times(t, "name", "ts").select("name", stamp("ts").alias("ts"), "v")
 
 
-@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def j6_new_rows(spark, d):
-    e = table(spark, d, "events")
-    return J.new_rows(e, e, ["user_id"]).select("event_id", "value")
+    """Orders that are not stored among those of returned lines."""
+    stored = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return J.new_rows(table(spark, d, "orders"), stored, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 @query("""WITH p AS (SELECT c_nationkey AS k, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS position FROM customer GROUP BY ALL), l AS (SELECT s_nationkey AS k, CAST(max(abs(s_acctbal)) AS DOUBLE) * 2 AS lim FROM supplier GROUP BY ALL)
@@ -137,9 +138,10 @@ def j13_reference_degrees(spark, d):
     return J.reference_degrees(edges(spark, d)).withColumn("authority", F.round("authority", 6))
 
 
-@query(f"""WITH {EDGES} SELECT DISTINCT user_id AS node FROM events WHERE user_id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)""")
+@query(f"""WITH {EDGES} SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)""")
 def j13_orphans(spark, d):
-    nodes = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct()
+    """Registered customers that no event refers to."""
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
     return J.orphans(nodes, edges(spark, d), "node")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestream.streaming import backlog as B
 from lodestream.streaming import jobs as S
 
 from .registry import query, table, ticks
@@ -19,6 +20,27 @@ def st1_materialise(spark, d):
     return S.materialise(S.feed(e, "ts"), ["event_id"], ["ts", "version"]).select("event_id", "user_id", "event_type", "value")
 
 
+LATE, EXPIRE, IDLE = "6 hours", "1 day", "4 days"
+#: Row i of a key is two moments, 2 i before and 2 i + 1 after it counts; the last moment is the stream's end.
+BACKLOG = """WITH e AS (SELECT user_id, event_type AS source, event_id, epoch_us(ts) AS ev, epoch_us(ts) + CASE WHEN event_id % 7 = 0 THEN 3 * 86400 ELSE event_id % 60 END * 1000000 AS arr FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arr, event_id) AS i FROM e), fin AS (SELECT user_id, max(i) + 1 AS i, (SELECT max(arr) // 1000 * 1000 FROM e) - 3600000000 AS now FROM o GROUP BY user_id),
+x AS (SELECT user_id, i, arr AS now, source, ev, arr FROM o UNION ALL SELECT user_id, i, now, NULL, NULL, NULL FROM fin), s AS (SELECT DISTINCT user_id, source AS s FROM e),
+g AS (SELECT x.user_id, i, now, max(CASE WHEN source = s THEN ev END) OVER up AS new1, max(CASE WHEN source = s THEN arr END) OVER up AS last1, max(CASE WHEN source = s THEN ev END) OVER low AS new0, max(CASE WHEN source = s THEN arr END) OVER low AS last0 FROM x JOIN s ON x.user_id = s.user_id
+WINDOW up AS (PARTITION BY x.user_id, s ORDER BY i ROWS UNBOUNDED PRECEDING), low AS (PARTITION BY x.user_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT user_id, 2 * i AS p, coalesce(min(new0) FILTER (now - last0 <= 4 * 86400000000) - 6 * 3600000000, max(new0)) AS low FROM g GROUP BY ALL UNION ALL SELECT user_id, 2 * i + 1, coalesce(min(new1) FILTER (now - last1 <= 4 * 86400000000) - 6 * 3600000000, max(new1)) FROM g GROUP BY user_id, i),
+w AS (SELECT user_id, p, max(low) OVER (PARTITION BY user_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS wm FROM m), b AS (SELECT o.*, wm FROM o JOIN w ON o.user_id = w.user_id AND p = 2 * i),
+k AS (SELECT b.*, CASE WHEN ev < wm - 86400000000 THEN 'expired' WHEN ev <= wm THEN 'late' ELSE 'in order' END AS status FROM b), r AS (SELECT k.user_id, event_id, ev, status, CASE WHEN status = 'late' THEN 2 * i + 0.5 ELSE min(p) END AS p FROM k JOIN w ON k.user_id = w.user_id AND w.wm >= ev AND w.p > 2 * i WHERE status <> 'expired' GROUP BY k.user_id, event_id, ev, status, i)"""
+
+
+@query(f"""{BACKLOG} SELECT user_id, event_id, status, row_number() OVER (PARTITION BY user_id ORDER BY p, ev, event_id) AS position FROM r UNION ALL SELECT user_id, event_id, status, NULL FROM k WHERE status = 'expired'""")
+def st2_backlog(spark, d):
+    """Each user's events of several types, every seventh three days late, in the order in which they may go on."""
+    delay = F.when(F.col("event_id") % 7 == 0, 3 * 86400).otherwise(F.col("event_id") % 60)
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.timestamp_micros(F.unix_micros("ts") + delay * 1_000_000).alias("arrival"))
+    out = B.released(S.feed(e, "arrival", batches=3), "user_id", "event_type", "ts", "arrival", "event_id", LATE, EXPIRE, IDLE)
+    return S.drain(out, provider=S.ROCKS)
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(event_id % 60 * 1000000), 3) AS lag FROM events GROUP BY ALL")
 def st3_lag(spark, d):
     e = table(spark, d, "events").withColumn("arrival", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 60 * 1_000_000))

@@ -10,25 +10,40 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestream.sources.files import work_path
 
 
-def feed(df: DataFrame, by: str, files: int = 4, per_batch: int = 2) -> DataFrame:
-    """A stream of the rows of ``df``, in steps cut by range of ``by`` and written one after the other, so that they arrive
-    in that order; rows without it come first."""
+def feed(df: DataFrame, by: str, files: int | None = None, batches: int = 2) -> DataFrame:
+    """A stream of the rows of ``df`` in the order of ``by``, rows without it first, in so many ``batches``.
+
+    One job writes the rows, dealt by range; the times of the files are then set in the order of the ranges, which is the
+    order in which a file stream reads them.
+    """
     spark = df.sparkSession
     path = work_path(spark, "feed")
-    cuts = df.agg(F.percentile_approx(by, [i / files for i in range(1, files)], 10_000)).first()[0] or []
-    low = F.lit(True)
-    for cut in [*sorted(set(cuts)), None]:
-        below = F.lit(True) if cut is None else F.col(by).isNull() | (F.col(by) < F.lit(cut))
-        df.where(low & below).coalesce(1).write.mode("append").parquet(path)
-        low = F.col(by) >= F.lit(cut)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    n = files or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(n, by).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(part), 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-len(parts) // batches))).parquet(path)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream to its end into files, and read them."""
+def drain(stream: DataFrame, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """Run a stream to its end into files, and read them; ``provider`` names the state store of this stream alone."""
     spark = stream.sparkSession
     out, marks = work_path(spark, "drained"), work_path(spark, "marks")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if provider:
+            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     return spark.read.schema(stream.schema).parquet(out)
 
 
