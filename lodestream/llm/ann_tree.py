@@ -20,6 +20,7 @@ the vector of its smallest hash.  Empty tables give no rows; columns beside id a
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -107,12 +108,23 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
 
 
+def lengths(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; where squares leave the range of doubles, entries are divided by a power of two first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        far = np.sqrt((d * d).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(far) | (far < 2.0**-500))
+        if len(odd):
+            e = np.frexp(np.abs(d[odd]).max(axis=1, initial=0.0))[1]
+            far[odd] = np.ldexp(np.sqrt((np.ldexp(d[odd], -e[:, None]) ** 2).sum(axis=1)), e)
+    return np.where(np.isnan(far), np.inf, far)
+
+
 def nearest_rows(ids: np.ndarray, v: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the ``k`` nearest rows of another id, ties to the smaller id."""
-    far = np.sqrt(((v - q) ** 2).sum(axis=1))
-    far[ids == own] = np.inf
-    near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
-    near = near[np.isfinite(far[near])]
+    with np.errstate(over="ignore"):
+        far = lengths(v - q)
+    other = np.flatnonzero(ids != own)
+    near = other[far[other] <= np.partition(far[other], k - 1)[k - 1]] if len(other) > k else other
     near = near[np.lexsort((ids[near], far[near]))][:k]
     return near, far[near]
 
@@ -146,7 +158,8 @@ class Nearest:
     def start(self) -> None:
         self.own = np.concatenate([a[0] for a in self.asked])
         self.q = np.concatenate([a[1] for a in self.asked])
-        self.norm = (self.q**2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            self.norm = (self.q**2).sum(axis=1)
         n = np.concatenate([a[2].value_lengths().to_numpy() for a in self.asked])
         leaf = np.concatenate([a[2].flatten().to_numpy() for a in self.asked])
         order = np.argsort(leaf, kind="stable")
@@ -166,12 +179,14 @@ class Nearest:
         step = max(1, FLUSH // max(1, len(who)))
         for i in range(0, len(ids) if len(who) else 0, step):
             x, name = v[i : i + step], ids[i : i + step]
-            norm = (x**2).sum(axis=1)[None, :] + self.norm[who][:, None]
-            # products only rule rows out; what is kept is measured on the differences
-            near = norm - 2 * self.q[who] @ x.T <= (self.bound[who] ** 2)[:, None] + 1e-9 * (norm + 1)
-            near &= name[None, :] != self.own[who][:, None]
-            a, c = np.nonzero(near)
-            far = np.sqrt(((x[c] - self.q[who[a]]) ** 2).sum(axis=1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = (x**2).sum(axis=1)[None, :] + self.norm[who][:, None]
+                # products only rule rows out; what is kept, or is too large for them, is measured on the differences
+                near = norm - 2 * self.q[who] @ x.T <= (self.bound[who] ** 2)[:, None] + 1e-9 * (norm + 1)
+                near |= ~np.isfinite(norm)
+                near &= name[None, :] != self.own[who][:, None]
+                a, c = np.nonzero(near)
+                far = lengths(x[c] - self.q[who[a]])
             keep = far <= self.bound[who[a]]
             self.fresh.append((who[a][keep], far[keep], name[c][keep]))
             self.have += int(keep.sum())
@@ -196,7 +211,7 @@ class Nearest:
         yield pa.RecordBatch.from_arrays([pa.array(self.own[self.at]), pa.array(self.id), pa.array(self.far)], ["query_id", "vec_id", "score"])
 
 
-def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: float, held: np.ndarray, queries: int) -> int:
+def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: float, held: np.ndarray, queries: int, shrink: float = 1.0) -> int:
     """The fewest leaves that give mean recall ``goal`` over all rows, for ``queries`` queries: (id, v), chosen by hash."""
     some = asked.orderBy(F.xxhash64("id", "v"), "id").limit(queries).toArrow()
     qid, q = some.column("id").to_numpy(), matrix(some.column("v"))
@@ -219,7 +234,7 @@ def calibrate(placed: DataFrame, tree: Tree, asked: DataFrame, k: int, goal: flo
     need = []
     at, leaf = found.column("q").to_numpy(), found.column("leaf").to_numpy()
     for i in range(len(qid)):
-        order = tree.search(q[i], tree.n_leaves, held)
+        order = tree.search(q[i] * shrink, tree.n_leaves, held)
         place = dict(zip(order, range(1, len(order) + 1), strict=True))
         need += [place[x] for x in leaf[at == i].tolist()]
     need = np.sort(need)
@@ -239,12 +254,15 @@ def search_nearest(
         return spark.createDataFrame([], schema)
     every, asked = every.where(F.size("v") == size["d"]), asked.where(F.size("v") == size["d"])
     fit = every.orderBy(F.xxhash64("id", "v"), "id").limit(fit_rows)
-    x = matrix(fit.select("v").toArrow().column(0))
+    # the tree sees vectors small enough for squares; distances are those of the vectors as they are
+    top = every.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    shrink = 2.0 ** -max(0, math.frexp(top)[1] - 480)
+    x = matrix(fit.select("v").toArrow().column(0)) * shrink
     tree = Tree(x, leaf_rows=max(FEWEST, round(leaf_rows * len(x) / size["count"])))
 
     def place(batches):
         for b in batches:
-            leaf = tree.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64)
+            leaf = tree.assign(matrix(b.column(1)) * shrink) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], ["id", "v", "leaf"])
 
     kind = "id long, v array<double>, leaf long"
@@ -253,7 +271,7 @@ def search_nearest(
     counts = placed.groupBy("leaf").count().toArrow()
     held = np.zeros(tree.n_leaves, np.int64)
     held[counts.column("leaf").to_numpy()] = counts.column("count").to_numpy()
-    visits = calibrate(placed, tree, asked, k, calibrated_recall, held, test_queries)
+    visits = calibrate(placed, tree, asked, k, calibrated_recall, held, test_queries, shrink)
     # A query has to meet k rows besides those of its own id.
     again = placed.groupBy("id").agg(F.count("*").alias("same")).where("same > 1")
     asked = asked.groupBy("id").agg(F.min(F.struct(F.xxhash64("v"), "v"))["v"].alias("v"))
@@ -263,7 +281,7 @@ def search_nearest(
         for b in batches:
             if not b.num_rows:
                 continue
-            found = [tree.search(q, visits, held, k + n) for q, n in zip(matrix(b.column(1)), b.column(2).to_pylist(), strict=True)]
+            found = [tree.search(q, visits, held, k + n) for q, n in zip(matrix(b.column(1)) * shrink, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32())), pa.array([f[0] for f in found], pa.int32())], ["id", "v", "leaves", "first"])
 
     walked = written(asked.mapInArrow(walk, "id long, v array<double>, leaves array<int>, first int"), "ann-queries")
