@@ -6,7 +6,7 @@ to its siblings first, and only what a whole subtree cannot take is left to the
 then takes whole epochs of its documents and a token prefix of the next epoch, in an order seeded for that epoch.
 
 Defined results: a null text has no tokens; a null lang or source is the leaf ``(none)``; documents without tokens are
-taken while the budget is not used up; repeated rows count as separate rows; an empty table gives an empty result;
+taken while the budget is not used up; rows without doc_id come in the order of a hash of their text; repeated rows count as separate rows; an empty table gives an empty result;
 columns beside doc_id, text, lang, source are ignored by the choice.
 """
 
@@ -86,6 +86,8 @@ def mix_sources(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, seed:
         F.coalesce("lang", F.lit(NONE)).alias("lang_key"),
         F.coalesce("source", F.lit(NONE)).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"),
+        # rows without id are told apart by their texts
+        F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(NONE), F.md5(F.coalesce("text", F.lit(""))))).alias("name"),
     )
     tokens = written(tokens, "mix-tokens")
     leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
@@ -95,7 +97,7 @@ def mix_sources(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, seed:
     #: One row a leaf; its number does not follow the number of documents.
     small = plan.select(*LEVELS, "whole", "rest")
     rows = tokens.join(small, list(LEVELS))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "name"))
     rows = rows.withColumn("key", key).withColumn("slice", F.substring("key", 1, 3))
     slices = rows.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("n"))
     w = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,7 +140,8 @@ def _fill_sql(name: str, source: str, parent: str, child: str) -> str:
 OP3_SQL = f"""WITH tokens AS (SELECT doc_id, lang, source,
   CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) <> '' THEN 'domain' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4 AS VARCHAR) ELSE '(none)' END AS domain,
   coalesce(lang, '(none)') AS lang_key, coalesce(source, '(none)') AS source_key,
-  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens,
+  coalesce(CAST(doc_id AS VARCHAR), '(none)' || md5(coalesce(text, ''))) AS name FROM documents),
 leaf AS (SELECT domain, lang_key, source_key, CAST(sum(n_tokens) AS DOUBLE) AS supply, CAST(sum(n_tokens) AS DOUBLE) * 2 AS cap FROM tokens GROUP BY ALL),
 t1 AS (SELECT domain, sum(cap) AS cap, {_case("domain")} AS w, (SELECT sum(supply) * 0.5 FROM leaf) AS budget FROM leaf GROUP BY domain),
 {_fill_sql("f1", "t1", "", "domain")},
@@ -148,7 +151,7 @@ t3 AS (SELECT leaf.domain, leaf.lang_key, source_key, supply, leaf.cap, CAST(1 A
 {_fill_sql("f3", "t3", "domain, lang_key", "source_key")},
 plan AS (SELECT domain, lang_key, source_key, CASE WHEN supply > 0 THEN CAST(floor(alloc / supply) AS BIGINT) ELSE 0 END AS whole,
   alloc - CASE WHEN supply > 0 THEN floor(alloc / supply) ELSE 0 END * supply AS rest FROM f3),
-r AS (SELECT t.*, whole, rest, md5('7:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '(none)')) AS key FROM tokens t JOIN plan p ON t.domain = p.domain AND t.lang_key = p.lang_key AND t.source_key = p.source_key),
+r AS (SELECT t.*, whole, rest, md5('7:' || whole || ':' || name) AS key FROM tokens t JOIN plan p ON t.domain = p.domain AND t.lang_key = p.lang_key AND t.source_key = p.source_key),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang_key, source_key ORDER BY key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS run FROM r)
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(whole AS INT) AS epoch FROM c WHERE run < rest
 UNION ALL SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT), CAST(e AS INT) FROM (SELECT *, unnest(range(whole)) AS e FROM r)"""
