@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .vectors import clean_vectors, matrix
 
 BLOCK, TOGETHER = 64, 32
@@ -202,7 +203,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int
 
         return every.select("id", "v").mapInArrow(work, "query_id long, vec_id long, score long")
 
-    best = reduce(DataFrame.union, [one_pass(p) for p in range(passes)])
+    # several passes run one after the other, so the driver holds the queries of one at a time
+    best = one_pass(0) if passes == 1 else reduce(DataFrame.union, [written(one_pass(p), "maxscore-pass") for p in range(passes)])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
