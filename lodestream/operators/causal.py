@@ -6,10 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .lags import join_null_safe, lagged, product_sums
-from .primitives import global_position
+from .lags import join_null_safe, lagged, placed, product_sums
 
 
 def lag_models(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, most: int) -> DataFrame:
@@ -56,10 +55,10 @@ def f_value(g: np.ndarray, lag: int, n: int) -> float | None:
 
 
 def multilag(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, most: int = 10, rounds: int = 0, seed: int = 42) -> DataFrame:
-    """(keys, lag, f, bic, n, p): whether x helps to foretell y beyond y's own past.
+    """(keys, lag, f, bic, fs, n, p): whether x helps to foretell y beyond y's own past.
 
     The model y ~ y1..yL + x1..xL (no constant) is fitted for every L up to ``most`` (below a third of the rows); the L of
-    the smallest n ln(rss / n) + 2 L ln n is tested against the model without x.  ``p`` compares with ``rounds``
+    the smallest n ln(rss / n) + 2 L ln n is tested against the model without x; ``bic`` and ``fs`` have the values of every L.  ``p`` compares with ``rounds``
     permutations of x, in the order of a hash of place and round; it is null without rounds.  Pairs with a null or
     non-finite entry are left out first; with fewer than ``most`` + 5 pairs all but n is null.
     """
@@ -67,43 +66,46 @@ def multilag(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, m
     good = df.where(finite(x) & finite(y))
     models = lag_models(good, keys, order, x, y, most)
     names = [f.name for f in df.select(*keys).schema]
-    fitted = StructType([*df.select(*keys).schema]).add("lag", "int").add("f", "double").add("bic", "array<double>").add("n", "long")
+    fitted = StructType([*df.select(*keys).schema]).add("lag", "integer").add("f", "double").add("bic", ArrayType(DoubleType())).add("fs", ArrayType(DoubleType())).add("n", "long")
 
     def choose(frames):
         for t in frames:
             out = []
             for n, core, edge in zip(t["n"], t["core"], t["edge"], strict=True):
                 bic: list[float | None] = []
+                fs: list[float | None] = []
                 for lag in range(1, min(most + 1, n // 3)) if n >= most + 5 else []:
                     rows, k = n - lag, 2 * lag
                     if rows <= k + 2:
                         bic.append(None)
+                        fs.append(None)
                         continue
-                    rss = residual(model_sums(np.asarray(core), list(edge), lag, most), list(range(1, k + 1)))
+                    sums = model_sums(np.asarray(core), list(edge), lag, most)
+                    rss = residual(sums, list(range(1, k + 1)))
+                    fs.append(f_value(sums, lag, rows))
                     bic.append(float(rows * np.log(rss / rows) + k * np.log(rows)) if rss > 0 else float("inf"))
                 known = [(b, i) for i, b in enumerate(bic) if b is not None]
                 if not known:
-                    out.append((None, None, None, n))
+                    out.append((None, None, None, None, n))
                     continue
                 lag = min(known)[1] + 1
-                out.append((lag, f_value(model_sums(np.asarray(core), list(edge), lag, most), lag, n - lag), bic, n - lag))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pd.DataFrame({**{k: t[k] for k in names}, "lag": pd.array(cols[0], "Int32"), "f": pd.array(cols[1], "Float64"), "bic": pd.Series(list(cols[2]), index=t.index, dtype=object), "n": pd.array(cols[3], "Int64")})
+                out.append((lag, fs[lag - 1], bic, fs, n - lag))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pd.DataFrame({**{k: t[k] for k in names}, "lag": pd.array(cols[0], "Int32"), "f": pd.array(cols[1], "Float64"), "bic": pd.Series(list(cols[2]), index=t.index, dtype=object), "fs": pd.Series(list(cols[3]), index=t.index, dtype=object), "n": pd.array(cols[4], "Int64")})
 
     own = models.mapInPandas(choose, fitted)
     if not rounds:
         return own.withColumn("p", F.lit(None).cast("double"))
-    place = lambda d, o, name: local_place(d, keys, o, name)
-    at = place(good.select(*keys, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), order, "_at")
+    at = placed(good.select(*keys, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), keys, order).drop("_pos")
     # every round deals the x values anew; y stays
     each = at.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    dealt = each.withColumn("_h", F.xxhash64(F.lit(seed), "_round", "_at"))
-    dealt = local_place(dealt.select(*keys, "_round", "_h", "_at", "_x"), [*keys, "_round"], ["_h", "_at"], "_to").select(*keys, "_round", F.col("_to").alias("_at"), "_x")
+    dealt = each.select(*keys, "_round", F.md5(F.concat_ws(":", F.lit(seed), "_round", "_at")).alias("_h"), F.col("_at").alias("_from"), "_x")
+    dealt = placed(dealt, [*keys, "_round"], ["_h", "_from"]).select(*keys, "_round", "_at", "_x")
     shuffled = join_null_safe(each.select(*keys, "_round", "_at", "_y"), dealt, [*keys, "_round", "_at"])
     perm = lag_models(shuffled, [*keys, "_round"], ["_at"], "_x", "_y", most)
     lag_of = own.select(*keys, F.col("lag").alias("_lag"), F.col("f").alias("_f"))
     perm = join_null_safe(perm, lag_of, keys).where("_lag IS NOT NULL")
-    tried = StructType([*df.select(*keys).schema]).add("_ge", "int")
+    tried = StructType([*df.select(*keys).schema]).add("_ge", "integer")
 
     def compare(frames):
         for t in frames:
@@ -118,14 +120,7 @@ def multilag(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, m
     q = p.select(*[F.col(k).alias(f"_q{i}") for i, k in enumerate(keys)], "p")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_q{i}"))
-    return own.join(q, on, "left").select(*keys, "lag", "f", "bic", "n", "p")
-
-
-def local_place(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """0-based place of each row in its series, without a window over a whole series."""
-    d = global_position(df, [*keys, *order], "_gp")
-    first = d.groupBy(*keys).agg(F.min("_gp").alias("_g0"))
-    return join_null_safe(d, first, keys).withColumn(name, F.col("_gp") - F.col("_g0")).drop("_gp", "_g0")
+    return own.join(q, on, "left").select(*keys, "lag", "f", "bic", "fs", "n", "p")
 
 
 def cause_graph(panel: DataFrame, name: str, ts: str, value: str, most: int, rounds: int, alpha: float) -> DataFrame:

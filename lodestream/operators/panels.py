@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.sources.files import with_checkpoints
+
 
 def correlation_graph(corr: DataFrame, threshold: float) -> DataFrame:
     return corr.where(F.abs("corr") >= threshold).select("a", "b", F.abs("corr").alias("weight"))
@@ -38,7 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes, some multiple of log2 of the vertices also on long
     paths; should ``most_rounds`` not be enough, an error says so and no labels are given.
     """
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.localCheckpoint())
+    with_checkpoints(edges.sparkSession)
+    cut = lambda df: df.checkpoint()
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):

@@ -36,6 +36,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", F.col("value").alias("price"))
 
 
-MODULES = ("cleaning", "timing", "joining", "summing", "rolling", "ranking", "statistics", "contrasts", "panels", "modelling", "streams", "ledgers", "scans")
+MODULES = ("cleaning", "timing", "joining", "summing", "rolling", "ranking", "statistics", "series", "fields", "contrasts", "panels", "modelling", "streams", "ledgers", "scans")
 for _m in MODULES:
     import_module(f"lodestream.plans.{_m}")

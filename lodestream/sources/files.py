@@ -21,6 +21,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodestream/{name}-{uuid.uuid4().hex}"
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write below a folder of our own where the session names none."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_path(spark, "checkpoints"))
+
+
 def read_tick_csv(spark: SparkSession, path: str, schema: StructType | str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Good rows by an explicit schema, and the raw text of rows that do not fit it or miss a required value."""
     s = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
