@@ -46,6 +46,11 @@ def held(key, make):
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Give the table that this worker process keeps back; work that needs memory of its own begins with it."""
+    _HELD.clear()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null counts as empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

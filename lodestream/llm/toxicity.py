@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import held, written
+from .common import held, let_go, written
 from .langid import fold
 
 #: Letters that a digit or symbol may stand for.
@@ -41,6 +41,8 @@ LEET = {
     "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ñ": "n", "ç": "c", "v": "u", "ß": "b",
 }
 SEPARATORS = set(".-_*'`~^,:;/\\ ​‌‍﻿­·")
+#: Answers that a worker keeps, for its speed alone.
+KEPT = 120_000
 LETTERS = 28  # boundary, a to z, any other
 _PLAIN = re.compile(r"[a-zà-öø-ÿ]+\Z")
 _RUN = re.compile(r"(.)\1\1")
@@ -72,19 +74,33 @@ class CharModel:
 
 def word_counts(batches):
     """4-gram counts of one task."""
+    let_go()
     code = np.full(256, 27, np.int64)
     code[97:123] = np.arange(1, 27)
     code[65:91] = np.arange(1, 27)
     total = np.zeros(LETTERS**4, np.int64)
-    for b in batches:
-        text = " ".join(t for t in b.column(0).to_pylist() if t)
-        for s in range(0, len(text), 1 << 20):
-            x = np.frombuffer(re.sub(r"[^a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+", " ", text[s : s + (1 << 20)]).encode("latin-1", "replace"), np.uint8)
+
+    def count(text: str) -> None:
+        for s in range(0, len(text), 1 << 18):
+            x = np.frombuffer(re.sub(r"[^a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+", " ", text[s : s + (1 << 18)]).encode("latin-1", "replace"), np.uint8)
             c = code[x]
             c[x == 32] = 0
             c = np.concatenate([[0, 0, 0], c, [0]])
             g = ((c[:-3] * LETTERS + c[1:-2]) * LETTERS + c[2:-1]) * LETTERS + c[3:]
-            total += np.bincount(g, minlength=LETTERS**4)
+            np.add(total, np.bincount(g, minlength=LETTERS**4), out=total)
+
+    for b in batches:
+        some, size = [], 0
+        for t in b.column(0):  # a few texts at a time, as one of them may need four bytes a character
+            t = t.as_py()
+            if t:
+                some.append(t)
+                size += len(t)
+                if size > 1 << 18:
+                    count(" ".join(some))
+                    some, size = [], 0
+        if some:
+            count(" ".join(some))
     k = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["gram", "n"])
 
@@ -208,7 +224,7 @@ class Channel:
             got = self.known.get(w)
             if got is None:
                 got = self.restore(w, listed)
-                if len(self.known) < 200_000:
+                if len(self.known) < KEPT:
                     self.known[w] = got
             out.update(got)
         for joined in self.spaced(text):
@@ -287,7 +303,7 @@ class Scorer:
             got = self.known.get(w)
             if got is None:
                 got = self._token(w, ch)
-                if len(self.known) < 300_000:
+                if len(self.known) < KEPT:
                     self.known[w] = got
             if got:
                 hit.update(got)
