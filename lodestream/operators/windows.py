@@ -112,23 +112,6 @@ def convergence(signals: DataFrame, name: str, ts: str, value: str, smooth: int)
     return g.select(ts, (F.greatest("u", "d") / F.col("n")).alias("support"), F.when(F.col("u") >= F.col("d"), a - b).otherwise(b - a).alias("strength"))
 
 
-def cusum(df: DataFrame, keys: list[str], order: list[str], value: str, drift: float, threshold: float) -> DataFrame:
-    """Alarms of the two-sided cumulative sum of z-scores, reset at each alarm: (keys, position, side)."""
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    z = df.join(stats, keys).withColumn("_z", F.coalesce((F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0)))
-    path = z.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("_z").alias("z")))).alias("p"))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("dn"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,side:int>>").alias("hits"))
-
-    def step(a, x):
-        up, dn = F.greatest(F.lit(0.0), a["up"] + x["z"] - drift), F.greatest(F.lit(0.0), a["dn"] - x["z"] - drift)
-        side = F.when(up > threshold, 1).when(dn > threshold, -1).otherwise(0)
-        hit = F.array(F.struct(a["i"].alias("at"), side.alias("side")))
-        return F.struct(F.when(side != 0, 0.0).otherwise(up).alias("up"), F.when(side != 0, 0.0).otherwise(dn).alias("dn"), (a["i"] + 1).alias("i"), F.when(side != 0, F.concat(a["hits"], hit)).otherwise(a["hits"]).alias("hits"))
-
-    hits = path.select(*keys, F.aggregate("p", start, step, lambda a: a["hits"]).alias("h"))
-    return hits.select(*keys, F.explode("h").alias("x")).select(*keys, "x.at", "x.side")
-
-
 def volatility_shock(df: DataFrame, keys: list[str], order: list[str], ret: str, n: int) -> DataFrame:
     """Sd of the last n returns over that of the first n."""
     w = Window.partitionBy(*keys)
@@ -154,13 +137,6 @@ def change_point(steps: DataFrame, run: str, step: str) -> DataFrame:
     return g.withColumn("score", 1 / (1 + F.exp(-(F.col("z") - 3))))
 
 
-def ewma_fold(df: DataFrame, keys: list[str], order: list[str], value: Column, alpha: float) -> DataFrame:
-    """Last exponentially weighted mean of each key; NULL steps carry it along."""
-    p = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value.cast("double").alias("v")))).alias("p"))
-    m = F.aggregate("p", F.lit(None).cast("double"), lambda a, x: F.when(x["v"].isNull(), a).when(a.isNull(), x["v"]).otherwise(a + alpha * (x["v"] - a)))
-    return p.select(*keys, m.alias("ewma"))
-
-
 def avalanches(counts: DataFrame, run: str, step: str, count: str, silence: int = 1) -> DataFrame:
     """Runs of activity parted by at least ``silence`` quiet steps: start, duration, size."""
     w = Window.partitionBy(run).orderBy(step)
@@ -198,62 +174,6 @@ def conservation(df: DataFrame, keys: list[str], order: list[str], value: str, t
     return df.withColumn("_e", rel).where("_e IS NOT NULL").groupBy(*keys).agg(F.count_if(F.col("_e") > tolerance).alias("violations"), F.avg((F.col("_e") > tolerance).cast("int")).alias("rate"), F.max("_e").alias("worst"))
 
 
-def clamped_fold(df: DataFrame, keys: list[str], order: list[str], delta: Column, start: float, low: float, high: float, decay: float = 1.0) -> DataFrame:
-    """Level after all steps: decayed, moved by delta, clamped each time."""
-    p = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, delta.cast("double").alias("v")))).alias("p"))
-    level = F.aggregate("p", F.lit(start), lambda a, x: F.greatest(F.lit(low), F.least(F.lit(high), a * decay + F.coalesce(x["v"], F.lit(0.0)))))
-    return p.select(*keys, level.alias("level"))
-
-
-def average_cost(fills: DataFrame, keys: list[str], order: list[str], price: str, signed: Column) -> DataFrame:
-    """Position, mean cost and realised profit after all fills of a key, by average cost."""
-    p = fills.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(price).cast("double").alias("p"), signed.cast("double").alias("q")))).alias("f"))
-    start = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
-
-    def step(a, x):
-        same = (a["pos"] * x["q"]) >= 0
-        closed = F.least(F.abs(a["pos"]), F.abs(x["q"]))
-        pos = a["pos"] + x["q"]
-        flipped = (a["pos"] * pos) < 0
-        pnl = a["pnl"] + F.when(same, 0.0).otherwise(closed * (x["p"] - a["cost"]) * F.signum(a["pos"]))
-        cost = F.when(same & (pos != 0), (a["cost"] * F.abs(a["pos"]) + x["p"] * F.abs(x["q"])) / F.abs(pos)).when(pos == 0, 0.0).when(flipped, x["p"]).otherwise(a["cost"])
-        return F.struct(pos.alias("pos"), cost.alias("cost"), pnl.alias("pnl"))
-
-    return p.select(*keys, F.aggregate("f", start, step).alias("_s")).select(*keys, "_s.*")
-
-
-def reservations(events: DataFrame, keys: list[str], order: list[str], amount: str, fate: str, start: float) -> DataFrame:
-    """Balance of each key after its reservations, each of which is then released, committed or held.
-
-    A reservation of more than what is available and not reserved is refused and changes nothing.
-    """
-    p = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("q"), F.col(fate).alias("fate")))).alias("p"))
-    zero = F.struct(F.lit(float(start)).alias("available"), F.lit(0.0).alias("reserved"), F.lit(0).cast("long").alias("refused"))
-
-    def step(a, x):
-        ok = x["q"] <= a["available"] - a["reserved"]
-        gone, kept = ok & (x["fate"] == "commit"), ok & (x["fate"] == "hold")
-        return F.struct((a["available"] - F.when(gone, x["q"]).otherwise(0.0)).alias("available"), (a["reserved"] + F.when(kept, x["q"]).otherwise(0.0)).alias("reserved"), (a["refused"] + (~ok).cast("long")).alias("refused"))
-
-    return p.select(*keys, F.aggregate("p", zero, step).alias("_s")).select(*keys, "_s.*")
-
-
-def value_signal(df: DataFrame, keys: list[str], order: list[str], ret: str, gamma: float = 0.99, rate: float = 0.1, decay: float = 0.05, burst: float = 2.0, steep: float = 5.0, middle: float = 0.5) -> DataFrame:
-    """Value of each key learned from its returns by temporal differences, after the last one: value, last error, last
-    burst (2 at most), the level that bursts and gains feed (0 to 1), and the level's logistic signal."""
-    p = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(ret).cast("double").alias("ret")))).alias("p"))
-    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("rpe"), F.lit(0.0).alias("phasic"), F.lit(0.0).alias("tonic"))
-
-    def step(a, x):
-        rpe = x["ret"] + gamma * a["v"] - a["v"]
-        phasic = F.least(F.lit(2.0), F.greatest(F.lit(0.0), rpe) * burst)
-        tonic = a["tonic"] + decay * (F.greatest(F.lit(0.0), x["ret"]) + phasic - a["tonic"])
-        return F.struct((a["v"] + rate * rpe).alias("v"), rpe.alias("rpe"), phasic.alias("phasic"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), tonic)).alias("tonic"))
-
-    d = p.select(*keys, F.aggregate("p", zero, step).alias("_s")).select(*keys, "_s.*")
-    return d.withColumn("level", 1 / (1 + F.exp(-F.least(F.lit(10.0), F.greatest(F.lit(-10.0), steep * (F.col("tonic") - middle))))))
-
-
 def truth_guard(baseline: Column, observed: Column, confidence: Column, least: float, most: float) -> Column:
     rel = F.abs(observed - baseline) / F.greatest(F.abs(baseline), F.lit(1e-12))
     return F.when(confidence < least, "low confidence").when(rel > most, "drift").otherwise("quiet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestream.operators import folds as O
 from lodestream.operators import windows as W
 
 from .joining import panel
@@ -129,7 +130,7 @@ SELECT l_partkey, round(arg_max(pos, i), 4) AS pos, round(arg_max(cost, i), 4) A
 def w16_average_cost(spark, d):
     li = table(spark, d, "lineitem").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity"))
     q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return r(W.average_cost(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "p", q), 4)
+    return r(O.average_cost(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "p", q), 4)
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT symbol, user_id, avg(price) AS m, stddev_pop(price) AS s FROM {T} GROUP BY ALL), o AS (SELECT symbol, user_id, row_number() OVER (PARTITION BY symbol, user_id ORDER BY ts, event_id) AS i, coalesce((price - m) / nullif(s, 0), 0) AS z FROM {T} JOIN m USING (symbol, user_id)),
@@ -137,7 +138,7 @@ f AS (SELECT symbol, user_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS up, 0.0::DO
 SELECT symbol, user_id, i, up, dn, CASE WHEN up > 3 THEN 1 WHEN dn > 3 THEN -1 ELSE 0 END FROM (SELECT o.symbol, o.user_id, o.i, greatest(0, CASE WHEN side = 0 THEN up ELSE 0 END + z - 0.25::DOUBLE) AS up, greatest(0, CASE WHEN side = 0 THEN dn ELSE 0 END - z - 0.25::DOUBLE) AS dn FROM f JOIN o ON o.symbol = f.symbol AND o.user_id = f.user_id AND o.i = f.i + 1))
 SELECT symbol, user_id, CAST(i - 1 AS INT) AS at, side FROM f WHERE side <> 0""")
 def w17_cusum(spark, d):
-    return W.cusum(ticks(spark, d), ["symbol", "user_id"], ["ts", "event_id"], "price", 0.25, 3.0)
+    return O.cusum(ticks(spark, d), ["symbol", "user_id"], ["ts", "event_id"], "price", 0.25, 3.0)
 
 
 @query(f"""WITH x AS (SELECT *, row_number() OVER ({ORDER}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({RETURNS}) WHERE ret IS NOT NULL)
@@ -208,13 +209,13 @@ SELECT user_id, round(arg_max(level, i), 6) AS level FROM f GROUP BY user_id"""
 
 @query(clamped("(value - 50) / 100", 0.0, -1.0, 1.0, 0.9))
 def w30_clamped_valence(spark, d):
-    return r(W.clamped_fold(ticks(spark, d), ["user_id"], ["ts", "event_id"], (F.col("price") - 50) / 100, 0.0, -1.0, 1.0, 0.9))
+    return r(O.clamped(ticks(spark, d), ["user_id"], ["ts", "event_id"], (F.col("price") - 50) / 100, 0.0, -1.0, 1.0, 0.9))
 
 
 @query("""WITH o AS (SELECT user_id, event_type AS symbol, value AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE event_id % 5 > 0 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
 e AS (SELECT user_id, symbol, round(sum(CASE WHEN i = 1 THEN 1 ELSE 0.2::DOUBLE END * pow(0.8::DOUBLE, n - i) * v), 6) AS ewma FROM o GROUP BY user_id, symbol) SELECT user_id, symbol, ewma FROM (SELECT DISTINCT user_id, event_type AS symbol FROM events) LEFT JOIN e USING (user_id, symbol)""")
 def w22_ewma(spark, d):
-    return r(W.ewma_fold(ticks(spark, d), ["user_id", "symbol"], ["ts", "event_id"], F.when(F.col("event_id") % 5 > 0, F.col("price")), 0.2))
+    return r(O.ewma(ticks(spark, d), ["user_id", "symbol"], ["ts", "event_id"], F.when(F.col("event_id") % 5 > 0, F.col("price")), 0.2))
 
 
 @query("""WITH x AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS v FROM events), y AS (SELECT *, sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM x) SELECT event_id, round(b, 4) AS balance, b < 0 AS rejected FROM y""")
@@ -224,25 +225,33 @@ def w31_balances(spark, d):
     return e.select("event_id", F.round(b, 4).alias("balance"), (b < 0).alias("rejected"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT l_suppkey AS book, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i, CAST(l_quantity AS DOUBLE) AS q, CASE l_returnflag WHEN 'R' THEN 'release' WHEN 'A' THEN 'commit' ELSE 'hold' END AS fate FROM lineitem),
-f AS (SELECT DISTINCT l_suppkey AS book, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS i, 2000.0::DOUBLE AS available, 0.0::DOUBLE AS reserved, true AS taken FROM lineitem UNION ALL
-SELECT book, id, i, available - CASE WHEN ok AND fate = 'commit' THEN q ELSE 0 END, reserved + CASE WHEN ok AND fate = 'hold' THEN q ELSE 0 END, ok FROM (SELECT o.book, o.id, o.i, q, fate, available, reserved, q <= available - reserved AS ok FROM f JOIN o ON o.book = f.book AND o.i = f.i + 1))
-SELECT book, round(arg_max(available, i), 4) AS available, round(arg_max(reserved, i), 4) AS reserved, count(*) FILTER (NOT taken) AS refused FROM f GROUP BY book""")
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS book, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, CAST(l_shipdate AS DATE) AS day, 1 AS nth, 'reserve' AS act, CAST(l_quantity AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) / 1000 AS q FROM lineitem
+UNION ALL SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey, CAST(l_shipdate AS DATE) + CAST(1 + l_orderkey % 30 AS INT), 0, CASE l_returnflag WHEN 'A' THEN 'commit' ELSE 'release' END, CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE) / 1000 FROM lineitem WHERE l_returnflag <> 'N'),
+o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY day, nth, id, act, b, q) AS i FROM e), f AS (SELECT DISTINCT book, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS id, '' AS status, 3000.0::DOUBLE AS hb, 0.0::DOUBLE AS rb, 5000.0::DOUBLE AS hq, 0.0::DOUBLE AS rq, []::BIGINT[] AS open FROM e UNION ALL
+SELECT book, i, id, CASE WHEN take THEN 'reserved' WHEN act = 'reserve' OR NOT has AND act = 'commit' THEN 'refused' WHEN NOT has THEN 'unknown' WHEN act = 'release' THEN 'released' ELSE 'committed' END, CASE WHEN has AND act = 'commit' THEN hb - b ELSE hb END, CASE WHEN take THEN rb + b WHEN has AND act <> 'reserve' THEN rb - b ELSE rb END,
+CASE WHEN has AND act = 'commit' THEN hq - q ELSE hq END, CASE WHEN take THEN rq + q WHEN has AND act <> 'reserve' THEN rq - q ELSE rq END, CASE WHEN take THEN list_append(open, id) WHEN has AND act <> 'reserve' THEN list_filter(open, lambda x: x <> id) ELSE open END
+FROM (SELECT o.book, o.i, o.id, act, b, q, hb, rb, hq, rq, open, list_contains(open, o.id) AS has, act = 'reserve' AND NOT list_contains(open, o.id) AND b <= hb - rb AND q <= hq - rq AS take FROM f JOIN o ON o.book = f.book AND o.i = f.i + 1))
+SELECT book, id, status, round(hb, 4) AS base, round(rb, 4) AS base_reserved, round(hq, 4) AS quote, round(rq, 4) AS quote_reserved FROM f WHERE i > 0""")
 def w31_reservations(spark, d):
+    """A reservation a line, settled some days later by its id, or held."""
     q, flag = F.col("l_quantity").cast("double"), F.col("l_returnflag")
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), "l_orderkey", "l_linenumber", q.alias("q"), F.when(flag == "R", "release").when(flag == "A", "commit").otherwise("hold").alias("fate"))
-    return r(W.reservations(li, ["book"], ["l_orderkey", "l_linenumber"], "q", "fate", 2000.0), 4)
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.to_date("l_shipdate").alias("day"), q.alias("b"), (F.col("l_extendedprice").cast("double") / 1000).alias("q"), flag.alias("flag"), (1 + F.col("l_orderkey") % 30).cast("int").alias("wait"))
+    made = li.select("book", "id", "day", F.lit(1).alias("nth"), F.lit("reserve").alias("act"), "b", "q")
+    ends = li.where("flag <> 'N'").select("book", "id", F.date_add("day", F.col("wait")).alias("day"), F.lit(0).alias("nth"), F.when(F.col("flag") == "A", "commit").otherwise("release").alias("act"), "b", "q")
+    return r(O.reservation_log(made.union(ends), ["book"], ["day", "nth", "id"], "act", "id", "b", "q", 3000.0, 5000.0).drop("day", "nth"), 4)
 
 
-@query(f"""WITH RECURSIVE x AS (SELECT symbol, user_id, price / nullif(lag(price) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM {T} WINDOW w AS (PARTITION BY symbol, user_id ORDER BY ts, event_id)), o AS (SELECT symbol, user_id, i, coalesce(greatest(-1, least(1, ret)), 0)::DOUBLE AS ret FROM x),
-f AS (SELECT DISTINCT symbol, user_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS v, 0.0::DOUBLE AS rpe, 0.0::DOUBLE AS phasic, 0.0::DOUBLE AS tonic FROM o UNION ALL
-SELECT symbol, user_id, i, v + 0.1::DOUBLE * rpe, rpe, phasic, greatest(0, least(1, tonic + 0.05::DOUBLE * (greatest(0, ret) + phasic - tonic))) FROM (SELECT *, least(2, greatest(0, rpe) * 2) AS phasic FROM (SELECT o.symbol, o.user_id, o.i, ret, v, tonic, ret + 0.99::DOUBLE * v - v AS rpe FROM f JOIN o ON o.symbol = f.symbol AND o.user_id = f.user_id AND o.i = f.i + 1)))
-SELECT symbol, user_id, round(arg_max(v, i), 6) AS v, round(arg_max(rpe, i), 6) AS rpe, round(arg_max(phasic, i), 6) AS phasic, round(arg_max(tonic, i), 6) AS tonic, round(1 / (1 + exp(-greatest(-10, least(10, 5 * (arg_max(tonic, i) - 0.5))))), 6) AS level FROM f GROUP BY symbol, user_id""")
+@query(f"""WITH RECURSIVE x AS (SELECT symbol, user_id, event_id, price / nullif(lag(price) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM {T} WINDOW w AS (PARTITION BY symbol, user_id ORDER BY ts, event_id)), o AS (SELECT symbol, user_id, event_id, i, coalesce(greatest(-1, least(1, ret)), 0)::DOUBLE AS ret, (event_id % 10)::DOUBLE AS new FROM x),
+f AS (SELECT DISTINCT symbol, user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS v, 0.0::DOUBLE AS rpe, 0.0::DOUBLE AS phasic, 0.0::DOUBLE AS tonic FROM o UNION ALL
+SELECT symbol, user_id, event_id, i, v + 0.1::DOUBLE * rpe, rpe, phasic, greatest(0, least(1, tonic + 0.05::DOUBLE * (greatest(0, ret + 0.1::DOUBLE * new) + phasic - tonic))) FROM (SELECT *, least(2, greatest(0, rpe) * 2) AS phasic FROM (SELECT o.symbol, o.user_id, o.event_id, o.i, ret, new, v, tonic, ret + 0.99::DOUBLE * v - v AS rpe FROM f JOIN o ON o.symbol = f.symbol AND o.user_id = f.user_id AND o.i = f.i + 1)))
+SELECT event_id, round(rpe, 6) AS rpe, round(phasic, 6) AS phasic, round(tonic, 6) AS tonic, round(1 / (1 + exp(-greatest(-10, least(10, 5 * (tonic - 0.5))))), 6) AS level FROM f WHERE i > 0""")
 def w24_value_signal(spark, d):
+    """Error, burst, level and signal at every step; the last digit of an event stands for its novelty."""
     x = ticks(spark, d)
     before = F.lag("price").over(W.series(["symbol", "user_id"], ["ts", "event_id"]))
     ret = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("price") / F.nullif(before, F.lit(0.0)) - 1)), F.lit(0.0))
-    return r(W.value_signal(x.withColumn("ret", ret), ["symbol", "user_id"], ["ts", "event_id"], "ret"))
+    out = O.value_series(x.withColumn("ret", ret), ["symbol", "user_id"], ["ts", "event_id"], "ret", F.col("event_id") % 10)
+    return r(out.select("event_id", "rpe", "phasic", "tonic", "level"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(-1 + value * 0.02 + user_id * 0.001))), 6) AS score FROM events")
@@ -257,4 +266,4 @@ def w33_truth_guard(spark, d):
 
 @query(clamped("CASE WHEN value > 50 THEN 0.1 ELSE -0.1 END", 1.0, 0.0, 1.0, 1.0))
 def w34_support_level(spark, d):
-    return r(W.clamped_fold(ticks(spark, d), ["user_id"], ["ts", "event_id"], F.when(F.col("price") > 50, 0.1).otherwise(-0.1), 1.0, 0.0, 1.0))
+    return r(O.clamped(ticks(spark, d), ["user_id"], ["ts", "event_id"], F.when(F.col("price") > 50, 0.1).otherwise(-0.1), 1.0, 0.0, 1.0))

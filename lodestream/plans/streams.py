@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestream.operators import folds as O
 from lodestream.streaming import backlog as B
 from lodestream.streaming import jobs as S
+from lodestream.streaming import keyed as K
 
 from .registry import query, table, ticks
 from .summing import r
@@ -60,6 +62,16 @@ def st5_book_state(spark, d):
     return S.book_state(x.where("seq % 97 <> 0"), x.where("seq % 97 = 0"), "book", "side", "price", "qty", "seq")
 
 
+@query("""WITH x AS (SELECT l_suppkey AS book, CASE WHEN l_linenumber % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, (l_partkey % 50)::DOUBLE AS price, l_quantity - 10 AS qty, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), l AS (SELECT book, max(seq) AS s FROM x WHERE seq % 97 = 0 GROUP BY book),
+u AS (SELECT x.* FROM x JOIN l USING (book) WHERE seq >= s), g AS (SELECT book, side, price, arg_max(qty, (seq, qty)) AS qty FROM u GROUP BY ALL) SELECT * FROM g WHERE qty > 0""")
+def st5_book_levels(spark, d):
+    """Books fed in three batches, as their levels stand at the end."""
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), F.when(F.col("l_linenumber") % 2 == 0, "bid").otherwise("ask").alias("side"), (F.col("l_partkey") % 50).alias("price"), (F.col("l_quantity") - 10).alias("qty"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    x = x.withColumn("snapshot", F.col("seq") % 97 == 0)
+    out = S.drain(K.book_levels(S.feed(x, "seq", batches=3), "book", "side", "price", "qty", "seq", "snapshot"), "update", S.ROCKS)
+    return out.groupBy("book", "side", "price").agg(F.max_by("qty", F.struct("seq", "batch")).alias("qty")).where("qty > 0")
+
+
 @query("""WITH x AS (SELECT DISTINCT l_suppkey AS book, l_orderkey AS seq FROM lineitem), y AS (SELECT book, seq, lag(seq) OVER (PARTITION BY book ORDER BY seq) AS b FROM x) SELECT book, b + 1 AS "from", seq - 1 AS "to" FROM y WHERE seq > b + 1""")
 def st5_sequence_gaps(spark, d):
     return S.sequence_gaps(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_orderkey").alias("seq")).distinct(), "book", "seq")
@@ -87,12 +99,28 @@ def st8_dead_letters(spark, d):
     return S.dead_letters(table(spark, d, "events"), "event_id", "props", F.col("value") < 30, 5)
 
 
-@query("SELECT event_id, round(quantile_cont(value, 0.95) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW), 6) AS p95 FROM events")
+@query("SELECT event_id, round(quantile_cont(value, 0.95) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2047 PRECEDING AND CURRENT ROW), 6) AS p95 FROM events")
 def st9_rolling_percentile(spark, d):
-    from pyspark.sql import Window
+    return O.rolling_percentile(ticks(spark, d), ["symbol"], ["ts", "event_id"], "price", 0.95).select("event_id", F.round("p", 6).alias("p95"))
+
+
+@query("""WITH o AS (SELECT event_id % 3 AS part, value, row_number() OVER (PARTITION BY event_id % 3 ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY event_id % 3) AS seen FROM events)
+SELECT part, seen, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM o WHERE back <= 2048 GROUP BY part, seen""")
+def st9_latency_windows(spark, d):
+    """The last 2,048 values of three streams, as they stand after the last batch."""
+    e = table(spark, d, "events").select((F.col("event_id") % 3).alias("part"), "ts", "event_id", "value")
+    out = S.drain(K.latency_windows(S.feed(e, "ts", batches=3), "part", "ts", "event_id", "value"), "update", S.ROCKS)
+    last = out.groupBy("part").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("part", "batch")]), "seen").alias("r"))
+    return r(last.select("part", "r.*"))
+
 
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(-63, 0)
-    return ticks(spark, d).select("event_id", F.round(F.percentile("price", F.lit(0.95)).over(w), 6).alias("p95"))
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS t, 2.0::DOUBLE AS tokens, true AS ok FROM events UNION ALL SELECT user_id, event_id, i, t, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1 FROM (SELECT o.user_id, o.event_id, o.i, o.t, least(2.0::DOUBLE, tokens + coalesce((o.t - f.t) * (1.0::DOUBLE / 36000), 0)) AS have FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id, event_id, ok AS allowed, round(tokens, 6) AS tokens FROM f WHERE i > 0""")
+def st10_buckets(spark, d):
+    """Every request against a bucket that refills in ten hours a token."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return r(S.drain(K.token_buckets(S.feed(e, "ts", batches=3), "user_id", "ts", "event_id", 1 / 36000, 2), provider=S.ROCKS))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -100,7 +128,7 @@ f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS t
 SELECT user_id, CAST(count(*) FILTER (i > 0 AND ok) AS INT) AS allowed, CAST(count(*) FILTER (NOT ok) AS INT) AS refused FROM f GROUP BY user_id""")
 def st10_token_bucket(spark, d):
     e = table(spark, d, "events").withColumn("sec", F.unix_micros("ts") / 1e6)
-    return S.token_bucket(e, "user_id", ["ts", "event_id"], "sec", 1 / 3600, 3)
+    return O.token_bucket(e, "user_id", ["ts", "event_id"], "sec", 1 / 3600, 3)
 
 
 @query(f"SELECT event_id, {s('ts')} AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-20'")

@@ -33,18 +33,26 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def drain(stream: DataFrame, mode: str = "append", provider: str | None = None) -> DataFrame:
-    """Run a stream to its end into files, and read them; ``provider`` names the state store of this stream alone."""
+    """Run a stream to its end into files, and read them; ``provider`` names the state store of this stream alone.
+
+    In update mode a batch's rows are written under its number, so a batch that runs again replaces what it wrote.
+    """
     spark = stream.sparkSession
     out, marks = work_path(spark, "drained"), work_path(spark, "marks")
     before = spark.conf.get(PROVIDER, None)
     if provider:
         spark.conf.set(PROVIDER, provider)
     try:
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        write = stream.writeStream
+        if mode == "update":
+            write = write.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+        else:
+            write = write.format("parquet").option("path", out)
+        write.option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     finally:
         if provider:
             spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema.add("batch", "long") if mode == "update" else stream.schema).parquet(out)
 
 
 def materialise(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,19 +108,6 @@ def running_means(stream: DataFrame, key: str, order: list[str], value: str, alp
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {t}, mean double, n long", "mean double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def token_bucket(df: DataFrame, client: str, order: list[str], seconds: str, rate: float, capacity: float) -> DataFrame:
-    """Allowed and refused requests of each client: a fold over its times (the batch twin of a state per client)."""
-    p = df.groupBy(client).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(seconds).cast("double").alias("t")))).alias("p"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(float(capacity)).alias("tokens"), F.lit(0).alias("ok"), F.lit(0).alias("no"))
-
-    def step(a, x):
-        have = F.least(F.lit(float(capacity)), a["tokens"] + F.coalesce((x["t"] - a["t"]) * rate, F.lit(0.0)))
-        go = have >= 1
-        return F.struct(x["t"].alias("t"), F.when(go, have - 1).otherwise(have).alias("tokens"), (a["ok"] + go.cast("int")).alias("ok"), (a["no"] + (~go).cast("int")).alias("no"))
-
-    return p.select(client, F.aggregate("p", start, step).alias("s")).select(client, F.col("s.ok").alias("allowed"), F.col("s.no").alias("refused"))
-
-
 def dead_letters(df: DataFrame, key: str, payload: str, failed, toxic: int) -> DataFrame:
     """Failed payloads with their digest, number of failures and whether they are toxic."""
     return df.where(failed).groupBy(F.sha2(payload, 256).alias("digest")).agg(F.count("*").alias("failures"), F.min(key).alias("first")).withColumn("toxic", F.col("failures") >= toxic)
