@@ -225,20 +225,20 @@ def w31_balances(spark, d):
     return e.select("event_id", F.round(b, 4).alias("balance"), (b < 0).alias("rejected"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS book, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, CAST(l_shipdate AS DATE) AS day, 1 AS nth, 'reserve' AS act, CAST(l_quantity AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) / 1000 AS q FROM lineitem
-UNION ALL SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey, CAST(l_shipdate AS DATE) + CAST(1 + l_orderkey % 30 AS INT), 0, CASE l_returnflag WHEN 'A' THEN 'commit' ELSE 'release' END, CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE) / 1000 FROM lineitem WHERE l_returnflag <> 'N'),
-o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY day, nth, id, act, b, q) AS i FROM e), f AS (SELECT DISTINCT book, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS id, '' AS status, 3000.0::DOUBLE AS hb, 0.0::DOUBLE AS rb, 5000.0::DOUBLE AS hq, 0.0::DOUBLE AS rq, []::BIGINT[] AS open FROM e UNION ALL
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS book, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, CAST(l_shipdate AS DATE) AS day, 1 AS nth, 'reserve' AS act, CAST(l_quantity AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) AS q FROM lineitem
+UNION ALL SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey, CAST(l_shipdate AS DATE) + CAST(1 + l_orderkey % 30 AS INT), 0, CASE l_returnflag WHEN 'A' THEN 'commit' ELSE 'release' END, CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE) FROM lineitem WHERE l_returnflag <> 'N'),
+o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY day, nth, id, act, b, q) AS i FROM e), f AS (SELECT DISTINCT book, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS id, '' AS status, 3000.0::DOUBLE AS hb, 0.0::DOUBLE AS rb, 5000000.0::DOUBLE AS hq, 0.0::DOUBLE AS rq, []::BIGINT[] AS open FROM e UNION ALL
 SELECT book, i, id, CASE WHEN take THEN 'reserved' WHEN act = 'reserve' OR NOT has AND act = 'commit' THEN 'refused' WHEN NOT has THEN 'unknown' WHEN act = 'release' THEN 'released' ELSE 'committed' END, CASE WHEN has AND act = 'commit' THEN hb - b ELSE hb END, CASE WHEN take THEN rb + b WHEN has AND act <> 'reserve' THEN rb - b ELSE rb END,
 CASE WHEN has AND act = 'commit' THEN hq - q ELSE hq END, CASE WHEN take THEN rq + q WHEN has AND act <> 'reserve' THEN rq - q ELSE rq END, CASE WHEN take THEN list_append(open, id) WHEN has AND act <> 'reserve' THEN list_filter(open, lambda x: x <> id) ELSE open END
 FROM (SELECT o.book, o.i, o.id, act, b, q, hb, rb, hq, rq, open, list_contains(open, o.id) AS has, act = 'reserve' AND NOT list_contains(open, o.id) AND b <= hb - rb AND q <= hq - rq AS take FROM f JOIN o ON o.book = f.book AND o.i = f.i + 1))
-SELECT book, id, status, round(hb, 4) AS base, round(rb, 4) AS base_reserved, round(hq, 4) AS quote, round(rq, 4) AS quote_reserved FROM f WHERE i > 0""")
+SELECT book, id, status, round(hb, 2) AS base, round(rb, 2) + 0 AS base_reserved, round(hq, 2) AS quote, round(rq, 2) + 0 AS quote_reserved FROM f WHERE i > 0""")
 def w31_reservations(spark, d):
     """A reservation a line, settled some days later by its id, or held."""
     q, flag = F.col("l_quantity").cast("double"), F.col("l_returnflag")
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.to_date("l_shipdate").alias("day"), q.alias("b"), (F.col("l_extendedprice").cast("double") / 1000).alias("q"), flag.alias("flag"), (1 + F.col("l_orderkey") % 30).cast("int").alias("wait"))
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.to_date("l_shipdate").alias("day"), q.alias("b"), F.col("l_extendedprice").cast("double").alias("q"), flag.alias("flag"), (1 + F.col("l_orderkey") % 30).cast("int").alias("wait"))
     made = li.select("book", "id", "day", F.lit(1).alias("nth"), F.lit("reserve").alias("act"), "b", "q")
     ends = li.where("flag <> 'N'").select("book", "id", F.date_add("day", F.col("wait")).alias("day"), F.lit(0).alias("nth"), F.when(F.col("flag") == "A", "commit").otherwise("release").alias("act"), "b", "q")
-    return r(O.reservation_log(made.union(ends), ["book"], ["day", "nth", "id"], "act", "id", "b", "q", 3000.0, 5000.0).drop("day", "nth"), 4)
+    return r(O.reservation_log(made.union(ends), ["book"], ["day", "nth", "id"], "act", "id", "b", "q", 3000.0, 5_000_000.0).drop("day", "nth"), 2)
 
 
 @query(f"""WITH RECURSIVE x AS (SELECT symbol, user_id, event_id, price / nullif(lag(price) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM {T} WINDOW w AS (PARTITION BY symbol, user_id ORDER BY ts, event_id)), o AS (SELECT symbol, user_id, event_id, i, coalesce(greatest(-1, least(1, ret)), 0)::DOUBLE AS ret, (event_id % 10)::DOUBLE AS new FROM x),
