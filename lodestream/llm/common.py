@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -41,14 +43,34 @@ _HELD: dict = {}
 def held(key, make):
     """A large table that a worker process keeps between tasks. There is one at a time: another key lets the last one go."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, then the C library's heap, where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def let_go() -> None:
-    """Give the table that this worker process keeps back; work that needs memory of its own begins with it."""
+    """Give back the table that this worker process keeps; work that needs memory of its own begins with it."""
     _HELD.clear()
+    give_back()
+
+
+def slim(work):
+    """``work`` on batches, after which an idle worker process is no larger than what it keeps."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SECOND_BASE, mix, names, prefix_hash, spans, utf8, written
+from .common import SECOND_BASE, mix, names, prefix_hash, slim, spans, utf8, written
 
 LENGTH, GRAM, BIN = 200, 32, 16
 _LOW = np.uint64((1 << 24) - 1)
@@ -152,7 +152,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 r = r[k]
                 yield name[k].view(np.int64), stretch[k].view(np.int64), ids[r].astype(np.int64), first[k] + base, ((last - first) * 256 + lead)[k], w[r]
 
-    return docs.mapInArrow(lambda batches: _settled(parts(batches)), "name long, stretch long, doc long, first int, more int, weight int")
+    return docs.mapInArrow(slim(lambda batches: _settled(parts(batches))), "name long, stretch long, doc long, first int, more int, weight int")
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
             yield told(held, parted is None or parted != held[0][0])
 
     parts = rows.repartition("name").sortWithinPartitions("name", "stretch", "doc", "first")
-    return parts.mapInArrow(work, "doc long, first int, more int, kind int")
+    return parts.mapInArrow(slim(work), "doc long, first int, more int, kind int")
 
 
 def bin_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -249,7 +249,7 @@ def bin_rows(texts: DataFrame, length: int) -> DataFrame:
                 whole = names(h, base + begin, base + end + length)
                 yield core.view(np.int64), whole.view(np.int64), ids[r[at]].astype(np.int64), begin, (end - begin) * 256, w[at]
 
-    return texts.mapInArrow(lambda batches: _settled(parts(batches)), "name long, stretch long, doc long, first int, more int, weight int")
+    return texts.mapInArrow(slim(lambda batches: _settled(parts(batches))), "name long, stretch long, doc long, first int, more int, weight int")
 
 
 def _todo(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -299,7 +299,7 @@ def start_names(texts: DataFrame, length: int) -> DataFrame:
                 a = np.where(w < 0, spread, a)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d, pa.int64()), pa.array(s.astype(np.int32)), pa.array(w.astype(np.int32))], ["n1", "n2", "doc", "start", "weight"])
 
-    return texts.mapInArrow(work, "n1 long, n2 long, doc long, start int, weight int")
+    return texts.mapInArrow(slim(work), "n1 long, n2 long, doc long, start int, weight int")
 
 
 def compare_starts(rows: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def compare_starts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(start[hit])], ["doc", "first"])
 
     parts = rows.repartition("n1").sortWithinPartitions("n1", "n2")
-    return parts.mapInArrow(work, "doc long, first int")
+    return parts.mapInArrow(slim(work), "doc long, first int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             kind = kind.add(f"other{i}", given.schema[c].dataType)
     schema_names = kind.names
     joined = docs.join(marks, "doc", "left").select("doc", "text", "gone", "copied", "doc_id", *[f"other{i}" for i in range(len(others))])
-    out = joined.mapInArrow(work, kind)
+    out = joined.mapInArrow(slim(work), kind)
     if not keep_text:
         return out
     back = {c: f"other{i}" for i, c in enumerate(others)}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import held, let_go, written
+from .common import held, let_go, slim, written
 from .langid import fold
 
 #: Letters that a digit or symbol may stand for.
@@ -106,7 +106,7 @@ def word_counts(batches):
 
 
 def char_model(docs: DataFrame) -> CharModel:
-    t = docs.select("text").mapInArrow(word_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    t = docs.select("text").mapInArrow(slim(word_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**4)
     counts[t.column("gram").to_numpy()] = t.column("n").to_numpy()
     return CharModel(counts)
@@ -275,7 +275,7 @@ def feature_counts(rows: DataFrame, model: CharModel) -> DataFrame:
         if seen:
             yield flush()
 
-    return rows.mapInArrow(work, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.mapInArrow(slim(work), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 class Scorer:
@@ -335,7 +335,7 @@ def learn_scorer(rows: DataFrame, model: CharModel, candidates: int = 3000, rati
             got = [sorted({at[f] for w in ch.words(t or "") for f in features(w) if f in at}) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(got, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    fit = rows.select("text", "toxic").mapInArrow(present, "toxic int, found array<int>").toArrow()
+    fit = rows.select("text", "toxic").mapInArrow(slim(present), "toxic int, found array<int>").toArrow()
     y = fit.column("toxic").to_numpy()
     x = np.zeros((len(y), len(found)), bool)
     for i, ks in enumerate(fit.column("found").to_pylist()):
@@ -387,7 +387,7 @@ def score(docs: DataFrame, model: CharModel, scorer: Scorer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*cols, "score", "predicted"])
 
     kind = StructType([*docs.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.mapInArrow(work, kind)
+    return docs.mapInArrow(slim(work), kind)
 
 
 def op9_toxicity(spark, sf_dir):
