@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,16 @@ def tail_risk(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataF
     return t.groupBy(*keys).agg((-F.first("q")).alias("var"), (-F.avg(value)).alias("es"))
 
 
-def sharpe_drawdown(df: DataFrame, keys: list[str], order: list[str], ret: str) -> DataFrame:
-    """Mean over sd, and the deepest fall of the running sum below its maximum so far."""
+def sharpe_drawdown(df: DataFrame, keys: list[str], order: list[str], ret: str, trials: int = 50, periods: int = 252) -> DataFrame:
+    """Mean over sd, the deepest fall of the running sum below its maximum so far, and the deflated ratio: the yearly one
+    less the highest that ``trials`` tries without skill are expected to reach, 0 for two returns or fewer."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("_c", F.sum(ret).over(w)).withColumn("_top", F.greatest(F.lit(0.0), F.max("_c").over(w)))
     g = d.groupBy(*keys).agg(F.avg(ret).alias("m"), F.stddev_samp(ret).alias("sd"), F.max(F.col("_top") - F.col("_c")).alias("drawdown"), F.count(ret).alias("n"))
-    return g.withColumn("sharpe", F.when(F.col("sd") > 0, F.col("m") / F.col("sd")).otherwise(0.0)).drop("m", "sd")
+    g = g.withColumn("sharpe", F.when(F.col("sd") > 0, F.col("m") / F.col("sd")).otherwise(0.0)).drop("m", "sd")
+    root = math.sqrt(2 * math.log(trials))
+    luck = root - (math.log(math.log(trials)) + math.log(4 * math.pi)) / (2 * root)
+    return g.withColumn("deflated", F.when(F.col("n") > 2, (F.abs(F.col("sharpe")) * math.sqrt(periods) - luck) * F.sqrt((F.col("n") - 1) / (F.col("n") - 2))).otherwise(0.0))
 
 
 def kelly_size(edge: Column, variance: Column, shrink: Column, cap: float) -> Column:

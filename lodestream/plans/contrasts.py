@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.operators import contrasts as C
+from lodestream.operators import resampling as E
 
 from .registry import query, table, ticks
 from .summing import r
@@ -56,3 +57,29 @@ def i8_bootstrap_difference(spark, d):
 v AS (SELECT item_id, CAST('0x' || substr(h, pos, 2) AS INTEGER) % 384 AS place, sum(n * CAST('0x' || substr(h, pos + 2, 2) AS INTEGER)) AS x FROM b GROUP BY ALL) SELECT item_id, place, round(CAST(x AS DOUBLE) / sqrt(CAST(sum(x * x) OVER (PARTITION BY item_id) AS DOUBLE)), 6) AS weight FROM v WHERE x > 0""")
 def e6_term_vectors(spark, d):
     return r(C.term_vectors(table(spark, d, "benchmark"), "item_id", "text"))
+
+
+LINES = "(SELECT l_returnflag AS k, l_linestatus = 'O' AS g, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey AS id, l_quantity AS v FROM lineitem)"
+
+
+def lines(spark, d):
+    li = table(spark, d, "lineitem")
+    row = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey")
+    return li.select(F.col("l_returnflag").alias("k"), (F.col("l_linestatus") == "O").alias("g"), row.alias("id"), F.col("l_quantity").cast("double").alias("v"))
+
+
+@query(f"SELECT k, count(v) AS n, round(avg(v), 6) AS mean, round((avg(v) - 25) / sqrt(var_samp(v) / count(v)), 5) AS t, (count(v) - 1)::DOUBLE AS dof FROM {LINES} GROUP BY k")
+def i6_one_sample(spark, d):
+    return r(E.one_sample_t(lines(spark, d), ["k"], "v", 25.0).drop("p"), 6, t=5)
+
+
+@query(f"""WITH x AS {LINES}, n AS (SELECT k, count(*) FILTER (g) AS na, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS s FROM x GROUP BY k), p AS (SELECT k, round, v, row_number() OVER (PARTITION BY k, round ORDER BY md5('42:' || round || ':' || id), id) AS i FROM x, (SELECT unnest(range(1, 20)) AS round)),
+q AS (SELECT p.k, round, avg(v) FILTER (i <= na) - avg(v) FILTER (i > na) AS s FROM p JOIN n USING (k) GROUP BY ALL) SELECT n.k, round(any_value(n.s), 6) AS statistic, count(*) FILTER (abs(q.s) >= abs(n.s)) AS extreme, round((count(*) FILTER (abs(q.s) >= abs(n.s)) + 1) / 20, 6) AS p FROM q JOIN n USING (k) GROUP BY n.k""")
+def i6_permutation(spark, d):
+    return r(E.permutation_test(lines(spark, d), ["k"], "id", "g", "v", rounds=19))
+
+
+@query()
+def i8_bootstrap_statistic(spark, d):
+    """The standardised difference, as one of the statistics that can be given."""
+    return r(E.bootstrap_interval(lines(spark, d), ["k"], "id", "g", "v", rounds=100), 5)

@@ -108,10 +108,10 @@ def g11_tail_risk(spark, d):
 
 @query(f"""WITH x AS (SELECT *, least(1, greatest(-1, ret)) AS x FROM ({RETURNS}) WHERE ret IS NOT NULL), c AS (SELECT *, sum(x) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM x),
 t AS (SELECT *, greatest(0, max(c) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS top FROM c)
-SELECT symbol, round(max(top - c), 6) AS drawdown, count(x) AS n, round(avg(x) / stddev_samp(x), 6) AS sharpe FROM t GROUP BY symbol""")
+SELECT symbol, round(max(top - c), 6) AS drawdown, count(x) AS n, round(avg(x) / stddev_samp(x), 6) AS sharpe, round((abs(avg(x) / stddev_samp(x)) * sqrt(252) - (sqrt(2 * ln(50)) - (ln(ln(50)) + ln(4 * pi())) / (2 * sqrt(2 * ln(50))))) * sqrt((count(x) - 1) / (count(x) - 2)), 5) AS deflated FROM t GROUP BY symbol""")
 def g12_sharpe_drawdown(spark, d):
     x = returns(spark, d).withColumn("x", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("ret"))))
-    return r(A.sharpe_drawdown(x, ["symbol"], ["ts", "event_id"], "x"))
+    return r(A.sharpe_drawdown(x, ["symbol"], ["ts", "event_id"], "x"), deflated=5)
 
 
 @query("SELECT c_custkey, round(greatest(-0.5, least(0.5, coalesce((c_acctbal / 10000) / nullif(abs(c_nationkey - 3.0), 0), 0) * 0.5)) + 1e-11, 9) AS size FROM customer")

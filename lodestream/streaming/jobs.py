@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from lodestream.sources.files import work_path
 
@@ -52,7 +53,7 @@ def drain(stream: DataFrame, mode: str = "append", provider: str | None = None)
     finally:
         if provider:
             spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.read.schema(stream.schema.add("batch", "long") if mode == "update" else stream.schema).parquet(out)
+    return spark.read.schema(StructType([*stream.schema]).add("batch", "long") if mode == "update" else stream.schema).parquet(out)
 
 
 def materialise(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
