@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import joins as J
@@ -12,7 +13,8 @@ from .registry import query, table, ticks
 from .summing import r
 
 CORR = """p AS (SELECT event_type AS asset, time_bucket(INTERVAL 6 HOUR, ts) AS b, avg(value) AS v FROM events GROUP BY ALL), c AS (SELECT x.asset AS a, y.asset AS b, corr(x.v, y.v) AS corr FROM p x JOIN p y ON x.b = y.b AND x.asset < y.asset GROUP BY ALL)"""
-GRAPH = "e AS (SELECT DISTINCT user_id % 40 AS src, event_id % 37 AS dst FROM events WHERE value > 60)"
+#: Users, joined to the user of the next event of the same type.
+GRAPH = "e AS (SELECT DISTINCT * FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
 
 
 def corr(spark, d):
@@ -20,7 +22,8 @@ def corr(spark, d):
 
 
 def graph(spark, d):
-    return table(spark, d, "events").where("value > 60").select((F.col("user_id") % 40).alias("src"), (F.col("event_id") % 37).alias("dst")).distinct()
+    then = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select(F.col("user_id").alias("src"), then.alias("dst")).where("dst IS NOT NULL").distinct()
 
 
 @query(f"WITH {CORR} SELECT a, b, round(abs(corr), 6) AS weight FROM c WHERE abs(corr) >= 0.02")

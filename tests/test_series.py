@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from lodestream.operators import causal, lags, nulls, quantiles, replicates, splines
+from lodestream.operators import causal, lags, nulls, quantiles, recurrences, replicates, splines
 
 
 def test_lags_and_sums_do_not_depend_on_slices(spark):
@@ -221,3 +221,24 @@ def test_slopes_follow_cubics(size):
     t = np.cumsum(np.arange(1, size + 1) ** 0.5)
     k = splines.slopes(t, t**2, True, True)
     assert np.allclose(k, 2 * t)
+
+
+def test_recurrence_against_the_whole_matrix(spark):
+    rng = np.random.default_rng(9)
+    series = {"wave": np.sin(np.arange(90) * 0.4) + rng.normal(size=90) * 0.05, None: np.round(rng.normal(size=60), 1), "flat": np.ones(30)}
+    df = spark.createDataFrame([(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)] + [("few", t, 1.0) for t in range(9)] + [("wave", 500, None)], "k string, t long, v double").repartition(4)
+    got = {r["k"]: r for r in recurrences.recurrence_quantification(df, ["k"], ["t"], "v", 2, 3, 0.3).collect()}
+    assert set(got) == set(series)
+    for k, x in series.items():
+        p = np.column_stack([x[:-4], x[2:-2], x[4:]])
+        n = len(p)
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+        eps = max(0.3 * np.percentile(d[:: max(1, n // 50)].ravel(), 95), 1e-10)
+        m = (d < eps).astype(int)
+        np.fill_diagonal(m, 0)
+        runs = lambda line: [len(list(g)) for v, g in itertools.groupby(line) if v]
+        diagonal = [c for o in range(1, n) for c in runs(np.diag(m, o)) if c > 1]
+        vertical = [c for j in range(n) for c in runs(m[:, j]) if c > 1]
+        share = np.array(diagonal) / max(1, sum(diagonal))
+        want = (eps, m.sum() / (n * (n - 1)), sum(diagonal) / m.sum(), sum(vertical) / m.sum(), -float((share * np.log2(share + 1e-15)).sum()))
+        assert np.allclose([got[k][c] for c in ("eps", "rr", "det", "lam", "ent")], want, atol=1e-9), k
