@@ -24,19 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoded
+from .tokens import PIECES, ROOM, encoded
 
 END_ID = 2
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = END_ID, glued: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = END_ID, glued: bool = True, most: int = PIECES, room: int = ROOM) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document; ``most`` and ``room`` bound a worker's memory."""
 
     def cut(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
             rows: list[tuple] = []
-            for i, x in encoded(b.column(1).to_pylist(), path, glued):
+            for i, x in encoded(b.column(1).to_pylist(), path, glued, most=most, room=room):
                 x = np.append(x, end_id).astype("<u4")
                 first = len(x) % capacity or capacity
                 ends = np.arange(first, len(x) + 1, capacity)
