@@ -13,6 +13,16 @@ from lodestream.llm import jaccard, mixing, packing, suffix, toxicity
 from lodestream.llm.common import written
 
 
+#: Rows in a batch for Python, most of which are whole documents; the default of 10,000 is 33 MB of usual ones.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """(row, text): every column but the text in one struct, so that no name of theirs meets one of an operator's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
@@ -29,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty and stays; without labels, or in an empty table, nothing goes; rows without doc_id or that
     repeat one are scored like others; columns of any name come through unchanged.
     """
+    small_batches(spark)
     model, scorer = toxicity.learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return released(toxicity.score(carried(docs), model, scorer).where("predicted = 0"), docs)
 
@@ -60,6 +71,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Every row counts as a document of its own. Texts without words are linked with nothing; of those only rows that
     repeat a doc_id are one class. An empty table stays empty; columns of any name come through unchanged.
     """
+    small_batches(spark)
     rows = keyed(docs)
     found = jaccard.jaccard_components(rows.select(F.col("row_key").alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id")
@@ -76,6 +88,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes the empty one and stays; rows without doc_id, and rows that repeat one, are judged by their texts;
     ``n_chars`` follows the text where something went; an empty table stays empty; other columns come through unchanged.
     """
+    small_batches(spark)
     rows = carried(docs).select("row", "text", F.col("row.doc_id").alias("doc_id"))
     out = suffix.remove_repeats(rows, keep_text=True).where("n_removed = 0 OR n_removed < n_bytes")
     changed = {}
@@ -101,7 +114,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id or that repeat one are packed like others; an empty table gives no rows."""
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    small_batches(spark)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), most=250_000, room=1_000_000))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_near_duplicates), ("repeated_passages", cut_repeats), ("mixing", mix), ("packing", pack)]
