@@ -76,7 +76,8 @@ def size_law(sizes: DataFrame, keys: list[str]) -> DataFrame:
     d = join_null_safe(per, total, keys).withColumn("_x", F.ln("size")).withColumn("_y", F.ln(F.col("_n") / F.col("clusters")))
     g = d.groupBy(*keys).agg(F.first("clusters").alias("clusters"), F.first("_distinct").alias("_distinct"), (-F.regr_slope("_y", "_x")).alias("_t"), F.regr_r2("_y", "_x").alias("_q"), F.var_pop("_y").alias("_vy"))
     ok = (F.col("clusters") >= 5) & (F.col("_distinct") >= 3)
-    return g.select(*keys, "clusters", F.when(ok, F.col("_t")).otherwise(0.0).alias("exponent"), F.when(ok & (F.col("_vy") > 0), F.col("_q")).otherwise(0.0).alias("r2"))
+    spread = F.col("_vy") * F.col("_distinct")
+    return g.select(*keys, "clusters", F.when(ok, F.col("_t")).otherwise(0.0).alias("exponent"), F.when(ok, F.greatest(F.lit(0.0), 1 - spread * (1 - F.coalesce("_q", F.lit(1.0))) / (spread + 1e-12))).otherwise(0.0).alias("r2"))
 
 
 def correlation_lengths(cells: DataFrame, keys: list[str], r: str, c: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestream.operators import clean, joins, modelling, resample, stats, windows
+from lodestream.operators import clean, folds, joins, modelling, resample, stats
 from lodestream.operators.primitives import asof, asof_sliced, global_position, islands
 
 T0 = dt.datetime(2024, 1, 1)
@@ -94,7 +94,7 @@ def test_islands_and_average_cost(spark):
     out = islands(df, ["k"], ["i"], F.col("v") != F.lag("v").over(Window.partitionBy("k").orderBy("i")))
     assert [r["island"] for r in out.orderBy("i").collect()] == [0, 0, 1, 1, 2]
     fills = spark.createDataFrame([("s", 1, 10.0, 2.0), ("s", 2, 20.0, 2.0), ("s", 3, 30.0, -1.0), ("s", 4, 5.0, -5.0)], "s string, i int, p double, q double")
-    r = windows.average_cost(fills, ["s"], ["i"], "p", F.col("q")).first()
+    r = folds.average_cost(fills, ["s"], ["i"], "p", F.col("q")).first()
     assert (r["pos"], r["cost"], r["pnl"]) == (-2.0, 5.0, 15.0 - 30.0)
 
 
