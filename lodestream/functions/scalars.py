@@ -14,6 +14,18 @@ def lexicon_score(text: Column, positive: list[str], negative: list[str], boost:
     return F.when(text.isNotNull(), (p + bonus * n(boost) - m) / F.greatest(p + m, F.lit(1)))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: an infinity or NaN over 0, where ANSI division is an error."""
+    x = a.cast("double")
+    over_zero = F.when(F.isnan(x) | (x == 0), float("nan")).when(x > 0, float("inf")).when(x < 0, float("-inf"))
+    return F.when(b == 0, over_zero).otherwise(x / F.nullif(b, F.lit(0.0)))
+
+
+def logarithm(x: Column) -> Column:
+    """ln as floating point has it: minus infinity at 0, NaN below, where Spark gives NULL."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
 def engagement(counts: Column) -> Column:
     return F.log1p(F.aggregate(F.map_values(counts), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestream.functions.scalars import ratio
 from lodestream.operators import aggregates as A
 
 from .registry import query, table, ticks
@@ -97,7 +98,8 @@ def returns(spark, d):
     from pyspark.sql import Window
 
     t = ticks(spark, d)
-    return t.withColumn("ret", F.col("price") / F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "event_id")) - 1).where("ret IS NOT NULL")
+    before = F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "event_id"))
+    return t.withColumn("_before", before).withColumn("ret", ratio(F.col("price"), F.col("_before")) - 1).drop("_before").where("ret IS NOT NULL")
 
 
 @query(f"""WITH x AS (SELECT * FROM ({RETURNS}) WHERE ret IS NOT NULL), q AS (SELECT symbol, quantile_cont(ret, 1 - 0.95) AS q FROM x GROUP BY ALL)
