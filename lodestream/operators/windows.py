@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lodestream.functions.scalars import logarithm, ratio
+
 from .primitives import islands
 
 
@@ -71,7 +73,7 @@ def fracdiff(c: str, w: WindowSpec, d: float, floor: float = 1e-5, most: int = 2
 
 def realised_volatility(df: DataFrame, w: WindowSpec, price: str, n: int) -> DataFrame:
     f = w.rowsBetween(-n + 1, 0)
-    d = df.withColumn("_r", F.ln(F.col(price) / F.lag(price).over(w)))
+    d = df.withColumn("_b", F.lag(price).over(w)).withColumn("_q", ratio(F.col(price), F.col("_b"))).withColumn("_r", logarithm(F.col("_q"))).drop("_b", "_q")
     d = d.withColumn("rv", F.sqrt(F.sum(F.col("_r") * F.col("_r")).over(f)))
     return d.withColumn("vov", F.stddev_samp("rv").over(f)).drop("_r")
 
