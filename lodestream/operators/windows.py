@@ -119,7 +119,7 @@ def volatility_shock(df: DataFrame, keys: list[str], order: list[str], ret: str,
     w = Window.partitionBy(*keys)
     d = df.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
     g = d.groupBy(*keys).agg(F.stddev_pop(F.when(F.col("_i") <= n, F.col(ret))).alias("first"), F.stddev_pop(F.when(F.col("_i") > F.col("_n") - n, F.col(ret))).alias("last"))
-    return g.withColumn("shock", F.when(F.col("first") > 0, F.col("last") / F.col("first")))
+    return g.withColumn("shock", ratio(F.col("last"), F.col("first")))
 
 
 def step_changes(cells: DataFrame, run: str, step: str, cell: list[str], value: str) -> DataFrame:

@@ -43,6 +43,6 @@ def agrees(spark, folder, name, **tables):
 ZEROS = [(10.0 + i % 7 + i / 3,) for i in range(30)] + [(0.0, 0.0), (5.0,), (0.0,), (9.0, 9.0)] + [(20.0 + i % 5 + i / 7,) for i in range(70)]
 
 
-@pytest.mark.parametrize("name", ["g11_tail_risk", "g12_sharpe_drawdown", "i36_branch_rollup", "n9_guardrails", "w8_realised_volatility"])
+@pytest.mark.parametrize("name", ["g11_tail_risk", "g12_sharpe_drawdown", "i36_branch_rollup", "n9_guardrails", "w8_realised_volatility", "w18_volatility_shock"])
 def test_returns_over_zero_prices(spark, tmp_path, name):
     agrees(spark, tmp_path, name, events=events(ZEROS))
