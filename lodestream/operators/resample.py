@@ -36,10 +36,10 @@ def interpolate(df: DataFrame, keys: list[str], order: list[str], cols: list[str
     """Linear by row position; leading and trailing NULLs take the nearest value."""
     w = Window.partitionBy(*keys).orderBy(*order)
     d = df.withColumn("_i", F.row_number().over(w))
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    up, down = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy(*keys).orderBy(F.desc("_i"))))  # a frame that ends with the key is read anew for each row
     for c in cols:
         at = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
-        a, b = F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down)
+        a, b = F.last(at, ignorenulls=True).over(up), F.last(at, ignorenulls=True).over(down)
         d = d.withColumn("_a", a).withColumn("_b", b)
         between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
         d = d.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(between))

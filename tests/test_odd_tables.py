@@ -46,3 +46,14 @@ ZEROS = [(10.0 + i % 7 + i / 3,) for i in range(30)] + [(0.0, 0.0), (5.0,), (0.0
 @pytest.mark.parametrize("name", ["g11_tail_risk", "g12_sharpe_drawdown", "i36_branch_rollup", "n9_guardrails", "w8_realised_volatility", "w18_volatility_shock"])
 def test_returns_over_zero_prices(spark, tmp_path, name):
     agrees(spark, tmp_path, name, events=events(ZEROS))
+
+
+def frames(df):
+    """The optimised plan, whose frames up to a key's end would be read anew for each row."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cleaning_reads_a_key_once(spark, tmp_path):
+    e = events([(float(i % 11),) for i in range(60)])
+    agrees(spark, tmp_path, "f1_clean_frame", events=e)
+    assert "unboundedfollowing" not in frames(registry.QUERIES["f1_clean_frame"](spark, str(tmp_path)))
