@@ -67,7 +67,7 @@ def corrected(df: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
     order = w.orderBy(p, tie)
     d = df.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(w))
     up = order.rowsBetween(Window.unboundedPreceding, 0)
-    down = order.rowsBetween(0, Window.unboundedFollowing)
+    down = w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that ends with the family is read anew for each row
     one = F.lit(1.0)
     d = d.withColumn("bonferroni", F.least(one, F.col(p) * F.col("_m"))).withColumn("holm", F.least(one, F.max(F.col(p) * (F.col("_m") - F.col("_r") + 1)).over(up)))
     return d.withColumn("bh", F.least(one, F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")

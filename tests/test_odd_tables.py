@@ -57,3 +57,13 @@ def test_cleaning_reads_a_key_once(spark, tmp_path):
     e = events([(float(i % 11),) for i in range(60)])
     agrees(spark, tmp_path, "f1_clean_frame", events=e)
     assert "unboundedfollowing" not in frames(registry.QUERIES["f1_clean_frame"](spark, str(tmp_path)))
+
+
+def test_corrections_read_a_family_once(spark):
+    from lodestream.operators import stats
+
+    p = [0.01, 0.04, 0.03, 0.04, 0.5]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(p)], "f string, i int, p double")
+    out = stats.corrected(df, ["f"], "p", "i")
+    assert "unboundedfollowing" not in frames(out)
+    assert [round(r["bh"], 9) for r in out.orderBy("i").collect()] == [0.05, 0.05, 0.05, 0.05, 0.5]
