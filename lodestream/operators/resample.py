@@ -94,9 +94,9 @@ def uniform_grid(series: DataFrame, keys: list[str], ts: str, value: str, second
     g = grid(series.withColumn("g", bucket(ts, seconds)), keys, "g", seconds).select(*keys, F.col("g").alias("t"), F.lit(None).cast("double").alias("v"))
     r = series.groupBy(*keys, F.col(ts).alias("t")).agg(F.avg(value).alias("v"))
     both = r.withColumn("is_grid", F.lit(False)).unionByName(g.withColumn("is_grid", F.lit(True)))
-    w = Window.partitionBy(*keys).orderBy("t", "is_grid")
+    up, down = (Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (["t", "is_grid"], [F.desc("t"), F.desc("is_grid")]))
     at = F.when(F.col("v").isNotNull(), F.struct(F.unix_micros("t").alias("t"), "v"))
-    both = both.withColumn("a", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("a", F.last(at, ignorenulls=True).over(up)).withColumn("b", F.last(at, ignorenulls=True).over(down))
     x = F.unix_micros("t")
     out = F.when(F.col("a").isNull() | F.col("b").isNull(), None).when(F.col("a.t") == x, F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (x - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
     return both.where("is_grid").select(*keys, F.col("t").alias(ts), out.alias(value)).where(F.col(value).isNotNull())

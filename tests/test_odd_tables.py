@@ -67,3 +67,9 @@ def test_corrections_read_a_family_once(spark):
     out = stats.corrected(df, ["f"], "p", "i")
     assert "unboundedfollowing" not in frames(out)
     assert [round(r["bh"], 9) for r in out.orderBy("i").collect()] == [0.05, 0.05, 0.05, 0.05, 0.5]
+
+
+def test_grid_reads_a_key_once(spark, tmp_path):
+    e = events([(float(i % 11), 3.0) for i in range(60)], seconds=2500)
+    agrees(spark, tmp_path, "t9_uniform_grid", events=e)
+    assert "unboundedfollowing" not in frames(registry.QUERIES["t9_uniform_grid"](spark, str(tmp_path)))
