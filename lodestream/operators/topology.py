@@ -83,11 +83,27 @@ def edge_curvature(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
     and those with a common neighbour are found by joins on edges, the rest is 3 hops apart.  There are as many pairs as the
     product of the degrees, and a vertex joins all pairs of its neighbours: it is meant for graphs of bounded degrees.
 
+    Where no vertex is in both columns the graph is bipartite, and a neighbour of a and one of b are 1 or 3 hops apart.
+    The adjacent ones are then counted along two edges, as y of N(b) adjoins as many of N(a) as y and a have neighbours in
+    common, and the pairs are not listed.
+
     With n(a) neighbours the pairs weigh alpha or (1 - alpha) / n(a) a side.  Loops and parallel edges count once.
     """
     with_checkpoints(edges.sparkSession)
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct().toDF("u", "v").checkpoint()
     degree = both.groupBy("u").agg(F.count("*").alias("k"))
+    degrees = lambda df: df.join(degree.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
+    plain = edges.where("a <> b").select("a", "b")
+    if not plain.select(F.col("a").alias("v")).intersect(plain.select(F.col("b").alias("v"))).limit(1).count():
+        e = both.join(plain.select(F.col("a").alias("u")).distinct(), "u", "left_semi").toDF("a", "b")
+        steps = e.join(e.select(F.col("a").alias("y"), "b"), "b").repartition("a")  # by the start alone: what follows needs no other shuffle
+        steps = steps.withColumn("met", F.count("*").over(Window.partitionBy("a", "y")))
+        out = degrees(steps.groupBy("a", "b").agg(F.sum("met").alias("adjacent")))
+        hops = 3 - 2 * F.col("adjacent") / (F.col("ka") * F.col("kb"))
+        side = lambda k: 2 * (F.col(k) - 1) / F.col(k)
+        work = alpha * (1 - alpha) * (side("ka") + side("kb")) + (1 - alpha) * (1 - alpha) * hops
+        # a stays and b stays: one hop
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (1 - alpha * alpha - work).alias("curvature"))
     e = both.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
     near = lambda end, name: both.select(F.col("u").alias(end), F.col("v").alias(name))
     # pairs (x, y), x a neighbour of a and y one of b; a itself is among b's neighbours and b among a's
@@ -99,7 +115,7 @@ def edge_curvature(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
     # from a end itself to a neighbour of the other end: 0 for the end, 1 for a common neighbour, else 2
     common = e.join(near("a", "x"), "a").join(both.select(F.col("u").alias("b"), F.col("v").alias("x")), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     out = e.join(far, ["a", "b"]).join(common, ["a", "b"], "left").fillna(0, ["common"])
-    out = out.join(degree.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
+    out = degrees(out)
     side = lambda k: (F.col("common") + 2 * (F.col(k) - 1 - F.col("common"))) / F.col(k)
     work = alpha * alpha + alpha * (1 - alpha) * (side("ka") + side("kb")) + (1 - alpha) * (1 - alpha) * F.col("pairs_hops") / (F.col("ka") * F.col("kb"))
     return out.select("a", "b", (1 - work).alias("curvature"))

@@ -48,15 +48,23 @@ def test_returns_over_zero_prices(spark, tmp_path, name):
     agrees(spark, tmp_path, name, events=events(ZEROS))
 
 
-def frames(df):
-    """The optimised plan, whose frames up to a key's end would be read anew for each row."""
-    return df._jdf.queryExecution().optimizedPlan().toString()
+def reads_anew(df):
+    """Whether a window has a frame from a row to its key's end, which is read anew for each row."""
+    return "currentrow$(), unboundedfollowing$()" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_to_the_end_are_seen(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy(F.col("id") % 2).orderBy("id")
+    assert reads_anew(spark.range(5).withColumn("x", F.min("id").over(w.rowsBetween(0, Window.unboundedFollowing))))
 
 
 def test_cleaning_reads_a_key_once(spark, tmp_path):
     e = events([(float(i % 11),) for i in range(60)])
     agrees(spark, tmp_path, "f1_clean_frame", events=e)
-    assert "unboundedfollowing" not in frames(registry.QUERIES["f1_clean_frame"](spark, str(tmp_path)))
+    assert not reads_anew(registry.QUERIES["f1_clean_frame"](spark, str(tmp_path)))
 
 
 def test_corrections_read_a_family_once(spark):
@@ -65,11 +73,23 @@ def test_corrections_read_a_family_once(spark):
     p = [0.01, 0.04, 0.03, 0.04, 0.5]
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate(p)], "f string, i int, p double")
     out = stats.corrected(df, ["f"], "p", "i")
-    assert "unboundedfollowing" not in frames(out)
+    assert not reads_anew(out)
     assert [round(r["bh"], 9) for r in out.orderBy("i").collect()] == [0.05, 0.05, 0.05, 0.05, 0.5]
 
 
 def test_grid_reads_a_key_once(spark, tmp_path):
     e = events([(float(i % 11), 3.0) for i in range(60)], seconds=2500)
     agrees(spark, tmp_path, "t9_uniform_grid", events=e)
-    assert "unboundedfollowing" not in frames(registry.QUERIES["t9_uniform_grid"](spark, str(tmp_path)))
+    assert not reads_anew(registry.QUERIES["t9_uniform_grid"](spark, str(tmp_path)))
+
+
+def test_curvature_of_bipartite_graphs_lists_no_pairs(spark):
+    from lodestream.operators import topology
+
+    edges = [(i, 100 + (i * k + i // 3) % 9) for i in range(12) for k in (1, 2, 5)]
+    odd = [(500, 501), (501, 502), (500, 502)]  # with a triangle elsewhere the graph is not bipartite
+    graph = lambda e: topology.edge_curvature(spark.createDataFrame(e, "a long, b long"))
+    fast = graph(edges)
+    assert "hop2" not in fast._jdf.queryExecution().analyzed().toString()
+    plain = lambda df: {(r["a"], r["b"]): round(r["curvature"], 9) for r in df.collect() if r["a"] < 500}
+    assert plain(fast) == plain(graph(edges + odd)) and len(plain(fast)) == len(set(edges))
