@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestream.functions.special import normal_two_sided, t_two_sided
+from lodestream.sources.files import with_checkpoints
 
-from .lags import join_null_safe, placed
+from .lags import join_null_safe
 from .stats import poisson_weight, two_samples
 
 #: value, whether the row is of the first group, weight -> an aggregate
@@ -75,21 +76,31 @@ def two_sample_p(df: DataFrame, keys: list[str], group: Column, value: str) -> D
     return d.select(*keys, "t", "dof", "p_t", "u", "z", "p_u")
 
 
-def permutation_test(df: DataFrame, keys: list[str], row: str, group: str, value: str, statistic: Statistic = mean_difference, rounds: int = 99, seed: int = 42) -> DataFrame:
+def permutation_test(df: DataFrame, keys: list[str], row: str, group: str, value: str, statistic: Statistic = mean_difference, rounds: int = 99, seed: int = 42, digits: int = 3) -> DataFrame:
     """(keys, statistic, extreme, p): how often a statistic of permuted groups is as far from 0 as the observed one.
 
     In a round the rows of a key, in the order of the md5 of seed, round and row, are the first group as long as that has
-    members; places come from slices, so a key is no task.  ``p`` is (extreme + 1) / (rounds + 1).  Rows with a null group
-    or value are left out; keys with fewer than two rows a group have none.
+    members.  Rows are counted by the first ``digits`` digits of it, and only those that share them with the last member
+    are ordered, one in 4,096: no round's rows move, and a key is no task.  ``p`` is (extreme + 1) / (rounds + 1).  Rows
+    with a null group or value are left out; keys with fewer than two rows a group have none.
     """
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
     size = d.groupBy(*keys).agg(F.count_if("_g").alias("_na"), F.count_if(~F.col("_g")).alias("_nb")).where("_na > 1 AND _nb > 1")
     one = F.lit(1.0)
     seen = join_null_safe(d, size, keys).groupBy(*keys).agg(statistic(F.col("_v"), F.col("_g"), one).alias("statistic"))
-    each = join_null_safe(d, size, keys).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    each = each.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "_round", "_row")))
-    dealt = placed(each.select(*keys, "_round", "_h", "_row", "_v", "_na"), [*keys, "_round"], ["_h", "_row"])
-    stars = dealt.withColumn("_g", F.col("_at") < F.col("_na")).groupBy(*keys, "_round").agg(statistic(F.col("_v"), F.col("_g"), one).alias("_s"))
+    with_checkpoints(df.sparkSession)
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), "_round", "_row"))
+    bin_ = F.explode(F.array(F.substring(hashed, 1, digits)))  # what a generator has made is not computed anew for each condition on it
+    of = d.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_bin", bin_)
+    of = of.groupBy(*keys, "_round", "_bin").agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*keys, "_round").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
+    of = join_null_safe(of, size, keys).withColumn("_left", F.col("_na") - (F.sum("_n").over(up) - F.col("_n"))).where("_left > 0 AND _left <= _n")
+    edge = of.groupBy(*keys).agg(F.collect_list(F.struct("_round", F.col("_bin").alias("_edge"), "_left")).alias("_e")).checkpoint()
+    each = join_null_safe(d, edge, keys).select(*keys, "_row", "_v", F.inline("_e")).withColumn("_bin", bin_)
+    sure = each.where("_bin <> _edge").select(*keys, "_round", "_v", (F.col("_bin") < F.col("_edge")).alias("_g"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_round").orderBy("_h", "_row"))
+    close = each.where("_bin = _edge").withColumn("_h", hashed).select(*keys, "_round", "_v", (nth <= F.col("_left")).alias("_g"))
+    stars = sure.union(close).groupBy(*keys, "_round").agg(statistic(F.col("_v"), F.col("_g"), one).alias("_s"))
     out = join_null_safe(stars, seen, keys).groupBy(*keys).agg(F.first("statistic").alias("statistic"), F.count_if(F.abs("_s") >= F.abs("statistic")).alias("extreme"))
     return out.withColumn("p", (F.col("extreme") + 1) / (rounds + 1))
 

@@ -93,3 +93,23 @@ def test_curvature_of_bipartite_graphs_lists_no_pairs(spark):
     assert "hop2" not in fast._jdf.queryExecution().analyzed().toString()
     plain = lambda df: {(r["a"], r["b"]): round(r["curvature"], 9) for r in df.collect() if r["a"] < 500}
     assert plain(fast) == plain(graph(edges + odd)) and len(plain(fast)) == len(set(edges))
+
+
+def test_permutation_orders_only_rows_near_the_border(spark, tmp_path):
+    import hashlib
+
+    from lodestream.operators import resampling as R
+
+    rows = [("a", i, i % 3 == 0, float(i * i % 17)) for i in range(200)] + [(None, i, i % 2 == 0, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i long, g boolean, v double")
+    for digits in (1, 3):
+        got = {r["k"]: r["extreme"] for r in R.permutation_test(df, ["k"], "i", "g", "v", rounds=19, digits=digits).collect()}
+        for k in ("a", None):
+            own = [r for r in rows if r[0] == k]
+            na = sum(r[2] for r in own)
+            far = lambda one, two: abs(sum(r[3] for r in one) / len(one) - sum(r[3] for r in two) / len(two))
+            seen, extreme = far([r for r in own if r[2]], [r for r in own if not r[2]]), 0
+            for b in range(1, 20):
+                dealt = sorted(own, key=lambda r: (hashlib.md5(f"42:{b}:{r[1]}".encode()).hexdigest(), r[1]))
+                extreme += far(dealt[:na], dealt[na:]) >= seen
+            assert got[k] == extreme
