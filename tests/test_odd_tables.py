@@ -113,3 +113,27 @@ def test_permutation_orders_only_rows_near_the_border(spark, tmp_path):
                 dealt = sorted(own, key=lambda r: (hashlib.md5(f"42:{b}:{r[1]}".encode()).hexdigest(), r[1]))
                 extreme += far(dealt[:na], dealt[na:]) >= seen
             assert got[k] == extreme
+
+
+def test_groups_of_more_units_than_bins(spark, monkeypatch):
+    import numpy as np
+
+    from lodestream.operators import assemblies as A
+
+    monkeypatch.setattr(A, "MOST", 50)  # units are more than a matrix may hold, bins are not
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.5, size=(120, 40))
+    counts[10:60, ::5] += 6
+    counts[:, 0] += 1
+    counts[7] = 2  # no variance
+    rows = [(u, t, int(x)) for (u, t), x in np.ndenumerate(counts) if x]
+    got = A.assemblies(spark.createDataFrame(rows, "unit long, bin long, n long")).collect()
+    sd = counts.std(axis=1, keepdims=True)
+    z = np.divide(counts - counts.mean(axis=1, keepdims=True), sd, out=np.zeros(counts.shape), where=sd > 0)
+    e, v = np.linalg.eigh(z @ z.T / 40)
+    edge = (1 + np.sqrt(120 / 40)) ** 2
+    assert {r["assembly"] for r in got} == set(range(int((e > edge).sum()))) != set()
+    first = sorted((r for r in got if r["assembly"] == 0), key=lambda r: r["unit"])
+    w = v[:, -1] * np.sign(v[np.argmax(np.abs(v[:, -1])), -1])
+    assert abs(first[0]["eigenvalue"] - e[-1]) < 1e-9 and np.allclose([r["weight"] for r in first], w, atol=1e-9)
+    assert [r["core"] for r in first] == list(np.abs(w) > 2 * w.std()) and abs(first[0]["explained"] - e[e > edge].sum() / e.sum()) < 1e-9
