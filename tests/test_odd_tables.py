@@ -137,3 +137,26 @@ def test_groups_of_more_units_than_bins(spark, monkeypatch):
     w = v[:, -1] * np.sign(v[np.argmax(np.abs(v[:, -1])), -1])
     assert abs(first[0]["eigenvalue"] - e[-1]) < 1e-9 and np.allclose([r["weight"] for r in first], w, atol=1e-9)
     assert [r["core"] for r in first] == list(np.abs(w) > 2 * w.std()) and abs(first[0]["explained"] - e[e > edge].sum() / e.sum()) < 1e-9
+
+
+def test_correlations_by_blocks_of_units(spark, monkeypatch):
+    import numpy as np
+
+    from lodestream.operators import assemblies as A
+
+    monkeypatch.setattr(A, "BLOCK", 5)
+    monkeypatch.setattr(A, "STRIP", 7)
+    rng = np.random.default_rng(9)
+    counts = rng.poisson(0.4, size=(23, 30))
+    counts[:, 0] = counts[:, -1] = 1
+    counts[4] = 1  # no variance
+    rows = [(f"u{u}", t, int(x)) for (u, t), x in np.ndenumerate(counts) if x]
+    pairs, bins = A.unit_correlations(spark.createDataFrame(rows, "u string, t long, n long"), "u", "t", "n")
+    assert bins == 30 and "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["a"], r["b"]): r["corr"] for r in pairs.collect()}
+    names = sorted(f"u{u}" for u in range(23))
+    assert set(got) == {(a, b) for a in names for b in names if a <= b}
+    for (a, b), c in got.items():
+        x, y = counts[int(a[1:])], counts[int(b[1:])]
+        want = ((x * y).mean() - x.mean() * y.mean()) / (x.std() * y.std()) if x.std() and y.std() else 0.0
+        assert abs(c - want) < 1e-9
