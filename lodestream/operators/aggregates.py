@@ -122,7 +122,8 @@ def divergence_vote(df: DataFrame, keys: list[str], direction: str, confidence:
     g = df.groupBy(*keys).agg(F.sum(confidence).alias("all"), *[x for s in ("bull", "bear") for x in (F.count_if(side(s)).alias(f"n_{s}"), F.sum(F.when(side(s), F.col(confidence))).alias(f"c_{s}"), F.avg(F.when(side(s), F.col(strength))).alias(f"s_{s}"))])
     for s in ("bull", "bear"):
         share = F.coalesce(F.col(f"c_{s}") / F.nullif(F.col("all"), F.lit(0.0)), F.lit(0.0))
-        g = g.withColumn(f"v_{s}", F.when((F.col(f"n_{s}") >= min_support) & (share >= min_consensus), F.col(f"s_{s}") * share))
+        reached = F.round(share, 12) >= min_consensus  # a sum's last digit hangs on the order of its parts
+        g = g.withColumn(f"v_{s}", F.when((F.col(f"n_{s}") >= min_support) & reached, F.col(f"s_{s}") * share))
     won = F.when(F.col("v_bull").isNull() & F.col("v_bear").isNull(), "none").when(F.col("v_bear").isNull() | (F.col("v_bull") >= F.col("v_bear")), "bull").otherwise("bear")
     g = g.withColumn("side", won)
     score = F.when(F.col("side") == "bull", F.tanh("v_bull")).when(F.col("side") == "bear", -F.tanh("v_bear")).otherwise(0.0)

@@ -160,3 +160,12 @@ def test_correlations_by_blocks_of_units(spark, monkeypatch):
         x, y = counts[int(a[1:])], counts[int(b[1:])]
         want = ((x * y).mean() - x.mean() * y.mean()) / (x.std() * y.std()) if x.std() and y.std() else 0.0
         assert abs(c - want) < 1e-9
+
+
+def test_vote_that_just_reaches_its_share(spark):
+    from lodestream.operators import aggregates as A
+
+    tenths = [("bull", k) for k in (3, 5, 7)] + [("bear", k) for k in (7, 7, 3, 9, 9)]  # 15 of 50, though the sums' quotient is 0.29999999999999993
+    rows = [(1, side, 0.1 + (k - 1) / 10, 10.0 if side == "bull" else 0.1) for side, k in tenths]
+    df = spark.createDataFrame(rows, "u int, side string, c double, st double").coalesce(1)
+    assert A.divergence_vote(df, ["u"], "side", "c", "st", 3, 0.3).collect()[0]["side"] == "bull"
