@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestream.operators import recurrences as V
 from lodestream.operators import stats as S
 
 from .registry import query, table, ticks
@@ -208,7 +209,7 @@ p AS (SELECT a.k, a.i, b.i AS j FROM e a JOIN e b ON a.k = b.k AND a.i < b.i AND
 SELECT k, round(2 * coalesce(points, 0) / nullif(n * (n - 1), 0), 6) AS rate, round(diag / points, 6) AS determinism FROM n LEFT JOIN s USING (k)""")
 def i24_recurrence(spark, d):
     x = table(spark, d, "events").withColumn("k", F.concat("event_type", (F.col("user_id") % 20).cast("string")))
-    return r(S.recurrence(x, ["k"], ["ts", "event_id"], "value", 2, 20))
+    return r(V.recurrence(x, ["k"], ["ts", "event_id"], "value", 2, 20))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS k, 'l_tax' AS metric, l_tax AS v, l_linestatus = 'O' AS g FROM lineitem UNION ALL SELECT l_returnflag, 'l_discount', l_discount, l_linestatus = 'O' FROM lineitem), s AS (SELECT metric, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS diff, var_samp(v) FILTER (g) / count(*) FILTER (g) + var_samp(v) FILTER (NOT g) / count(*) FILTER (NOT g) AS se2 FROM m GROUP BY metric)
