@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from lodestream.sources.files import with_checkpoints
 
 from .panels import components
 
+#: Units of a block, whose correlations with another block have 32 MB, and values of a block that are dense, 64 MB.
+BLOCK, DENSE = 2048, 8_000_000
+#: Rows of a block that are correlated at a time.
+STRIP = 128
+
 
 def spanning_forest(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(a, b, weight) of the minimum spanning forest of undirected edges (a, b, weight), by rounds of Boruvka.
@@ -49,16 +56,140 @@ def threshold_curve(edges: DataFrame, nodes: int, thresholds: list[float]) -> Da
     forest answers all thresholds; ``euler`` is vertices - edges + components; ``bar`` is the threshold less the mean
     weight of the edges, 0 at least, and 0 without edges.
     """
-    t = F.array(*[F.lit(float(x)) for x in thresholds])
-    up_to = lambda df: df.withColumn("threshold", F.explode(F.filter(t, lambda x: F.col("weight") <= x)))
+    up_to = lambda df: reached(df, thresholds)
     own = up_to(edges.where("a <> b")).groupBy("threshold").agg(F.count("*").alias("edges"), F.avg("weight").alias("mean"))
-    trees = up_to(spanning_forest(edges)).groupBy("threshold").agg(F.count("*").alias("trees"))
-    every = edges.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
+    return curve_of(own, spanning_forest(edges), nodes, thresholds)
+
+
+def reached(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    t = F.array(*[F.lit(float(x)) for x in thresholds])
+    return df.withColumn("threshold", F.explode(F.filter(t, lambda x: F.col("weight") <= x)))
+
+
+def curve_of(own: DataFrame, forest: DataFrame, nodes: int, thresholds: list[float]) -> DataFrame:
+    """A threshold curve from (threshold, edges, mean) of the edges and the forest."""
+    trees = reached(forest, thresholds).groupBy("threshold").agg(F.count("*").alias("trees"))
+    every = forest.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
     out = every.join(own, "threshold", "left").join(trees, "threshold", "left").fillna(0, ["edges", "trees"])
     out = out.withColumn("components", F.lit(nodes) - F.col("trees")).withColumn("euler", F.lit(nodes) - F.col("edges") + F.col("components"))
     return out.select("threshold", "edges", "components", "euler", F.coalesce(F.greatest(F.lit(0.0), F.col("threshold") - F.col("mean")), F.lit(0.0)).alias("bar"))
 
 
+def two_sided_forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, weight) of a lightest forest of edges between rows and columns, by Prim; infinity is no edge."""
+    rows, cols = w.shape
+    across, key = np.ascontiguousarray(w.T), np.full(rows + cols, np.inf)
+    frm, free = np.zeros(rows + cols, np.int64), np.ones(rows + cols, bool)
+    ends, start = [], 0
+    for _ in range(rows + cols):
+        v = int(key.argmin())
+        if key[v] == np.inf:
+            start += int(free[start:].argmax())
+            v = start
+        else:
+            ends.append((int(frm[v]), v) if v >= rows else (v, int(frm[v])))
+        key[v], free[v] = np.inf, False
+        side, line = (slice(rows, None), w[v]) if v < rows else (slice(0, rows), across[v - rows])
+        better = np.flatnonzero((line < key[side]) & free[side])
+        key[side][better] = line[better]
+        frm[side][better] = v
+    a, b = (np.array(ends, np.int64).reshape(-1, 2) - [0, rows]).T
+    return a, b, w[a, b]
+
+
+def correlation_weights(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y: np.ndarray, least: int) -> np.ndarray:
+    """Correlation distances, to nine digits, of the rows of x and y over the columns both have, NaN being a null among
+    what is seen; infinity for fewer than ``least`` columns or no variance."""
+    ox, oy = seen_x & ~np.isnan(x), seen_y & ~np.isnan(y)
+    px, py = ox.astype(float), oy.astype(float)
+    wild_x, wild_y = np.isinf(x), np.isinf(y)  # not a number, or infinite
+    x, y = np.where(ox & ~wild_x, x, 0.0), np.where(oy & ~wild_y, y, 0.0)
+    n, sx, sy, sxy = px @ py.T, x @ py.T, px @ y.T, x @ y.T
+    qx, qy = (x * x) @ py.T, px @ (y * y).T
+    vx, vy, c = qx - sx * sx / n, qy - sy * sy / n, sxy - sx * sy / n
+    # what little is left of a difference is taken anew, about the pair's own means
+    i, j = np.nonzero((n > 0) & ((vx <= 1e-7 * qx) | (vy <= 1e-7 * qy)))
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        both = ox[a] & oy[b]
+
+        def about(z):
+            first = np.take_along_axis(z, both.argmax(axis=1)[:, None], 1)
+            z = np.where(both, z - first, 0.0)  # equal values are zeros
+            return np.where(both, z - (z.sum(axis=1) / both.sum(axis=1))[:, None], 0.0)
+
+        u, v = about(x[a]), about(y[b])
+        vx[a, b], vy[a, b], c[a, b] = (u * u).sum(axis=1), (v * v).sum(axis=1), (u * v).sum(axis=1)
+    corr = c / np.sqrt(vx * vy)
+    w = np.round(np.sqrt(0.5 * (1 - np.clip(corr, -1, 1))), 9)
+    good = (seen_x.astype(float) @ seen_y.T.astype(float) >= least) & (vx > 0) & (vy > 0) & ~np.isnan(w)
+    if wild_x.any() or wild_y.any():
+        good &= (wild_x.astype(float) @ py.T + px @ wild_y.T.astype(float)) == 0
+    return np.where(good, w, np.inf)
+
+
+def correlation_curve(panel: DataFrame, unit: str, ts: str, value: str, thresholds: list[float], least: int = 3, block: int = BLOCK) -> DataFrame:
+    """``threshold_curve`` of the units as vertices, edges being the correlation distances, to nine digits, of each two over
+    the times both have; pairs with fewer than ``least`` times or without variance have none.
+
+    Units are dealt to blocks by a hash, fewer to one where times are many, and each pair of blocks is a group, so a unit
+    moves once a block and no pair is a row.  A group gives the numbers and sums of its edges up to each threshold and its
+    own lightest forest: the forest of all these has the components of all edges at each threshold.
+    """
+    spark = panel.sparkSession
+    with_checkpoints(spark)
+    p = panel.where(F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.col(ts).cast("timestamp").cast("long").alias("t") if dict(panel.dtypes)[ts] in ("timestamp", "date") else F.col(ts).alias("t"), F.col(value).cast("double").alias("v"))
+    size = p.agg(F.count_distinct("u").alias("units"), F.count_distinct("t").alias("times")).first()
+    size_of = max(1, min(block, DENSE // max(1, size["times"])))
+    blocks = max(1, -(-size["units"] // size_of))
+    one = p.where("t IS NOT NULL").groupBy("u").agg(F.collect_list("t").alias("t"), F.collect_list(F.coalesce(F.when(F.isnan("v"), float("inf")).otherwise(F.col("v")), F.lit(float("nan")))).alias("v"))
+    dealt = one.withColumn("_own", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other")
+    steps = sorted(float(x) for x in thresholds)
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(np.concatenate(g["t"].to_list()))
+
+        def side(own):
+            q = g[g["_own"] == own]
+            x, seen = np.full((len(q), len(times)), np.nan), np.zeros((len(q), len(times)), bool)
+            for r, (t, v) in enumerate(zip(q["t"], q["v"], strict=True)):
+                at = np.searchsorted(times, t)
+                x[r, at], seen[r, at] = v, True
+            known = np.isfinite(x)
+            mean = np.where(known, x, 0.0).sum(axis=1) / np.maximum(1, known.sum(axis=1))
+            return q["u"].to_numpy(), x - mean[:, None], seen
+
+        i, j = int(g["_i"].iloc[0]), int(g["_j"].iloc[0])
+        ua, x, seen_x = side(i)
+        ub, y, seen_y = side(j)
+        w = np.full((len(ua), len(ub)), np.inf)
+        found, total = np.zeros(len(steps), np.int64), np.zeros(len(steps))
+        with np.errstate(all="ignore"):
+            for at in range(0, len(ua), STRIP):
+                part = correlation_weights(x[at : at + STRIP], y, seen_x[at : at + STRIP], seen_y, least)
+                if i == j:
+                    part[np.arange(at, at + len(part))[:, None] >= np.arange(len(ub))] = np.inf  # each pair once
+                flat = part[part <= steps[-1]]
+                place = np.searchsorted(steps, flat)
+                found += np.bincount(place, minlength=len(steps)).cumsum()
+                total += np.bincount(place, flat, len(steps)).cumsum()
+                part[part > steps[-1]] = np.inf
+                w[at : at + STRIP] = part
+        # of a block with itself the rows and columns are the same units, each pair being an edge from row to column
+        a, b, weight = two_sided_forest(np.minimum(w, w.T) if i == j else w)
+        edges = pd.DataFrame({"a": ua[a], "b": ub[b], "weight": weight}).drop_duplicates()
+        sums = pd.DataFrame({"threshold": steps, "edges": found, "total": total})
+        return pd.concat([sums, edges], ignore_index=True).reindex(columns=["threshold", "edges", "total", "a", "b", "weight"]).astype({"edges": "Int64"})
+
+    kind = dict(panel.dtypes)[unit]
+    groups = blocks * (blocks + 1) // 2
+    met = dealt.repartition(min(groups, 512), "_i", "_j").groupBy("_i", "_j")
+    met = met.applyInPandas(meet, f"threshold double, edges long, total double, a {kind}, b {kind}, weight double").checkpoint()
+    own = met.where("threshold IS NOT NULL").groupBy("threshold").agg(F.sum("edges").alias("edges"), F.try_divide(F.sum("total"), F.sum("edges")).alias("mean"))
+    return curve_of(own, spanning_forest(met.where("threshold IS NULL").select("a", "b", "weight")), size["units"], thresholds)
+
+
 def topology_score(curve: DataFrame) -> DataFrame:
     """(long_bars, entropy, area, score) of a threshold curve: bars over their median, entropy of their shares, area under
     the Euler curve by trapezoids; the score adds the share of long bars, entropy and area."""

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestream.operators import recurrences
+from lodestream.operators import recurrences, topology
 
 
 @pytest.mark.parametrize("cells", [30, 10**6])
@@ -56,3 +56,45 @@ def test_recurrence_in_bands(spark, cells, monkeypatch):
     n = len(points)
     assert got["a"]["rate"] == pytest.approx(2 * len(pairs) / (n * (n - 1))) and got["a"]["determinism"] == pytest.approx(len(slant) / len(pairs))
     assert (got["short"]["rate"], got["short"]["determinism"]) == (None, None)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_correlation_curve_by_blocks(spark, block):
+    """Against the edges of all pairs, with days missing, nulls, infinities and users whose shared values are equal."""
+    rng = np.random.default_rng(6)
+    common = rng.normal(size=12)
+    rows = []
+    for u in range(21):
+        x = common * (u % 3) + rng.normal(size=12) * 0.7 + 1000.0 * (u % 2)
+        days = np.flatnonzero(rng.random(12) < 0.6)
+        rows += [(u, int(t), float(x[t])) for t in days]
+    rows += [(u, t, 7.1) for u in (30, 31) for t in range(5)] + [(32, t, 7.1 if t < 4 else 9.0) for t in range(6)]
+    rows += [(33, t, None if t < 2 else float(t)) for t in range(5)] + [(34, t, float("nan") if t == 1 else float(t)) for t in range(5)] + [(35, t, float("inf") if t == 1 else float(t)) for t in range(5)]
+    rows += [(None, 1, 1.0), (36, None, 1.0), (37, 1, 2.0)]
+    panel = spark.createDataFrame(rows, "u long, t long, v double").repartition(3)
+    marks = [0.1, 0.3, 0.5, 0.7]
+    edges = []
+    for a in range(38):
+        for b in range(a + 1, 38):
+            one, two = ({t: v for u, t, v in rows if u == k and t is not None} for k in (a, b))
+            both = [(one[t], two[t]) for t in one.keys() & two.keys()]
+            x, y = np.array([p for p in both if None not in p], dtype=float).reshape(-1, 2).T
+            if len(both) > 2 and len(x) and np.isfinite(x).all() and np.isfinite(y).all() and np.ptp(x) > 0 and np.ptp(y) > 0:
+                edges.append((round(float(np.sqrt(0.5 * (1 - np.clip(np.corrcoef(x, y)[0, 1], -1, 1)))), 9), a, b))
+    got = {r["threshold"]: r for r in topology.correlation_curve(panel, "u", "t", "v", marks, block=block).collect()}
+    users = len({u for u, _, _ in rows if u is not None})
+    for t in marks:
+        near = [e for e in edges if e[0] <= t]
+        root = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                v = root[v]
+            return v
+
+        for _, a, b in near:
+            root[find(a)] = find(b)
+        parts = users - sum(1 for v in list(root) if find(v) != v)
+        bar = max(0.0, t - sum(e[0] for e in near) / len(near))
+        assert (got[t]["edges"], got[t]["components"], got[t]["euler"]) == (len(near), parts, users - len(near) + parts) and got[t]["bar"] == pytest.approx(bar, abs=1e-8)
+    assert got[0.7]["edges"] > got[0.3]["edges"] > 0
