@@ -1,9 +1,14 @@
 """Steps that once listed pairs, or took a row at a time, against plain sums."""
 
+import datetime as dt
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodestream.operators import recurrences, topology
+from lodestream.plans import registry
 
 
 @pytest.mark.parametrize("cells", [30, 10**6])
@@ -98,3 +103,20 @@ def test_correlation_curve_by_blocks(spark, block):
         bar = max(0.0, t - sum(e[0] for e in near) / len(near))
         assert (got[t]["edges"], got[t]["components"], got[t]["euler"]) == (len(near), parts, users - len(near) + parts) and got[t]["bar"] == pytest.approx(bar, abs=1e-8)
     assert got[0.7]["edges"] > got[0.3]["edges"] > 0
+
+
+@pytest.mark.parametrize("name", ["m5_threshold_curve", "m5_topology_score"])
+def test_curves_list_no_pairs(spark, tmp_path, name, monkeypatch):
+    monkeypatch.setattr(topology, "spanning_forest", lambda edges, *_: small(edges))
+    users, days = 150, 5
+
+    def small(edges):
+        assert edges.count() < 2 * users  # of 11,175 pairs
+        return edges
+
+    rng = np.random.default_rng(7)
+    start = dt.datetime(2024, 1, 1)
+    events = [{"event_id": u * days + t, "ts": start + dt.timedelta(days=t), "user_id": u, "event_type": "view", "value": float(v)} for u in range(users) for t, v in enumerate(rng.normal(size=days))]
+    kind = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64())])
+    pq.write_table(pa.Table.from_pylist(events, schema=kind), f"{tmp_path}/events.parquet")
+    assert registry.QUERIES[name](spark, str(tmp_path)).count()
