@@ -27,11 +27,13 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, k1: float = 1.6, b: float = 0.75, extra: list[str] | None = None, most_terms: int = 2_000_000) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, k1: float = 1.6, b: float = 0.75, extra: list[str] | None = None, most_terms: int = 2_000_000, task_rows: int = 1_000_000) -> DataFrame:
     """Best k documents of each query; every scored document if k is 0. Statistics are of all documents.
 
     Documents are cut into words twice, for their mean length and for their postings; only words that a query has are
     counted. The queries are broadcast while they hold ``most_terms`` words at most, else joined by word.
+    Words are dealt by document before they meet the queries, so that with a broadcast no pair of a query and a document is
+    shuffled: scores are summed up, and the best k of a task are found, where the document is.
     ``extra`` columns of the documents come along.
     """
     q = queries.select(query, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
@@ -45,7 +47,11 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
     p.write.parquet(path)
     p = docs.sparkSession.read.schema(p.schema).parquet(path)
     df = p.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query word
+    met = df.join(q.groupBy("term").agg(F.count("*").alias("n")), "term").agg(F.sum(F.col("df") * F.col("n")).alias("n")).first()["n"]  # one number
+    tasks = min(4096, -(-int(met or 0) // task_rows))  # of about so many meetings of a query and a document by a word
     w = p.join(shared(df), "term").crossJoin(F.broadcast(stats))
+    if shared is F.broadcast:
+        w = w.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     w = w.select(key, *(extra or []), "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
     s = w.join(shared(q), "term").groupBy(query, key, *(extra or [])).agg(F.sum("w").alias("score"))

@@ -7,10 +7,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from lodestream.operators import recurrences, topology
+from lodestream.operators import joins, recurrences, search, topology
 from lodestream.plans import registry
-from lodestream.streaming import keyed
+from lodestream.streaming import backlog, keyed
 
 
 @pytest.mark.parametrize("cells", [30, 10**6])
@@ -170,3 +171,38 @@ def test_a_bucket_takes_two_calls_a_batch(spark):
         assert handle.calls == 2
         got += list(out.itertuples(index=False, name=None))
     assert got == [("a", 4, True, 1.0), ("a", 5, True, 0.0), ("a", 7, False, 0.5), ("a", 8, True, 1.0)]
+
+
+def test_a_backlog_takes_two_calls_a_batch(spark):
+    handle, p = Values(), backlog.BacklogProcessor("k", "row", 10, 100, 5_000)
+    timers = set()
+    handle.registerTimer, handle.deleteTimer = timers.add, timers.remove
+    p.init(handle)
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["source", "event", "arrival_us", "row"])])
+    rows = lambda out: [tuple(r) for f in out for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+    assert rows(p.handleInputRows(("a",), frame(("y", 95, 1_001, 2), ("x", 100, 1_000, 1)), None)) == []
+    assert handle.calls == 2 and timers == {7}  # idle at 6.0 ms
+    assert rows(p.handleInputRows(("a",), frame(("x", 120, 4_000, 3), ("y", 110, 4_000, 4)), None)) == [("a", 2, "in order", 1), ("a", 1, "in order", 2)]
+    assert handle.calls == 4 and timers == {10}
+    timers.clear()  # as a timer that has fired
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda _: 10})()
+    assert rows(p.handleExpiredTimer(("a",), now, None)) == [("a", 4, "in order", 3), ("a", 3, "in order", 4)]
+    assert handle.calls == 6 and not timers
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common") for i in range(40)], "doc long, text string")
+    queries = spark.createDataFrame([(1, "w1 common"), (2, "w2 w4")], "q long, ask string")
+    out = search.bm25(docs, "doc", "text", queries, "q", "ask", 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" not in plan and "hashpartitioning(doc#" in plan
+    assert out.count() == 40 + len([i for i in range(40) if i % 3 == 2 or i % 5 in (2, 4)])
+
+
+def test_one_cell_of_many_is_dealt_to_several_tasks(spark):
+    near = spark.range(400).selectExpr("id AS a", "1.0 + id / 1e6 AS x").union(spark.createDataFrame([(900, None), (901, 50.0)], "a long, x double"))
+    other = spark.range(300).selectExpr("id AS b", "1.0 - id / 1e6 AS y").union(spark.createDataFrame([(900, None), (901, 53.0), (902, 56.0)], "b long, y double"))
+    out = joins.within_tolerance(near, other, "x", "y", 5.0, task_pairs=5_000)
+    by_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 400 * 300 + 1 and max(by_task) < 40_000
+    assert out.select("a", "b").distinct().count() == 400 * 300 + 1 and out.columns == ["a", "x", "b", "y"]
