@@ -12,6 +12,7 @@ the arrival clock wakes a key whose sources fell silent.
 from __future__ import annotations
 
 import heapq
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from .keyed import lists
+
 IN_ORDER, LATE, EXPIRED = "in order", "late", "expired"
 
 
@@ -71,52 +74,48 @@ class BacklogProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sources = handle.getMapState("sources", "source string", "newest long, arrival long")
-        self.waiting = handle.getListState("waiting", "event long, row long")
-        self.mark = handle.getValueState("mark", "watermark long, released long")
-
-    def load(self) -> Board:
-        mark = self.mark.get() if self.mark.exists() else (None, 0)
-        sources = {k[0]: (v[0], v[1]) for k, v in self.sources.iterator()} if self.sources.exists() else {}
-        waiting = [(w[0], w[1]) for w in self.waiting.get()] if self.waiting.exists() else []
-        return Board(*self.times, sources, waiting, mark[0], mark[1])
-
-    def store(self, board: Board, before: dict, now: int) -> None:
-        for name, at in board.sources.items():
-            if before.get(name) != at:
-                self.sources.updateValue((name,), at)
-        if board.waiting:
-            self.waiting.put(list(board.waiting))
-        elif self.waiting.exists():
-            self.waiting.clear()
-        self.mark.update((board.watermark, board.released))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        # one value a key, as each call of a state crosses to the JVM
+        self.board = handle.getValueState("board", "watermark long, released long, source array<string>, newest array<long>, arrival array<long>, event array<long>, row array<long>, timer long")
+
+    def load(self) -> tuple[Board, int | None]:
+        """The backlog, and the timer that is set for it."""
+        kept = self.board.get()
+        if not kept:
+            return Board(*self.times), None
+        mark, released, source, newest, arrival, event, row, timer = kept
+        return Board(*self.times, dict(zip(source, zip(newest, arrival, strict=True), strict=True)), list(zip(event, row, strict=True)), mark, released), timer
+
+    def store(self, board: Board, now: int, old: int | None) -> None:
         # sources that are idle already cannot fall idle again
         live = [a for _, a in board.sources.values() if now - a <= board.idle]
-        if board.waiting and live:
-            self.handle.registerTimer(-((min(live) + board.idle) // -1000) + 1)
+        timer = -((min(live) + board.idle) // -1000) + 1 if board.waiting and live else None
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        at, waiting = list(board.sources.values()), board.waiting
+        self.board.update((board.watermark, board.released, list(board.sources), [a for a, _ in at], [a for _, a in at], [e for e, _ in waiting], [r for _, r in waiting], timer))
 
     def frame(self, key, rows: list) -> pd.DataFrame:
         return pd.DataFrame({self.key: [key[0]] * len(rows), self.row: pd.array([r[0] for r in rows], "Int64"), "status": [r[1] for r in rows], "position": pd.array([r[2] for r in rows], "Int64")})
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["arrival", "row"])  # one trigger's rows of the key
-        board = self.load()
-        before = dict(board.sources)
+        columns = lists(rows, "arrival_us", "row", "source", "event")
+        batch = sorted(zip(*columns, strict=True), key=itemgetter(0, 1))  # one trigger's rows of the key
+        board, timer = self.load()
         out: list = []
-        for source, event, arrival, row in batch[["source", "event", "arrival_us", "row"]].itertuples(index=False):
-            out += board.observe(source, int(event), int(arrival), int(row))
-        self.store(board, before, int(batch["arrival_us"].iloc[-1]))
+        for arrival, row, source, event in batch:
+            out += board.observe(source, event, arrival, row)
+        self.store(board, batch[-1][0], timer)
         if out:
             yield self.frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        board = self.load()
-        before = dict(board.sources)
+        board, _ = self.load()
         out = board.clock(now)
-        self.store(board, before, now)
+        self.store(board, now, None)  # the timer is gone with its call
         if out:
             yield self.frame(key, out)
 
