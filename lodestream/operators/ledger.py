@@ -12,21 +12,27 @@ GENESIS = "0" * 64
 
 
 def append_chain(records: DataFrame, ledger: str, sequence: str, record: str) -> DataFrame:
-    """(ledger, sequence, record, record_hash, chain_hash): each hash covers the one before. Parallel over ledgers."""
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by(sequence)
-        before, rows, chain = GENESIS, [], []
-        for x in t.column(record).to_pylist():
-            h = hashlib.sha256((x or "").encode()).hexdigest()
-            before = hashlib.sha256((before + h).encode()).hexdigest()
-            rows.append(h)
-            chain.append(before)
-        return pa.table({ledger: t.column(ledger), sequence: t.column(sequence), record: t.column(record), "record_hash": pa.array(rows, pa.string()), "chain_hash": pa.array(chain, pa.string())})
-
-    d = records.select(ledger, sequence, record)
-    kind = ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", record_hash string, chain_hash string"
-    return d.groupBy(ledger).applyInArrow(fold, kind)
+    """(ledger, sequence, record, record_hash, chain_hash): each hash covers the one before. Parallel over ledgers.
+
+    Ledgers are sorted streams, of which a task holds a batch and the last hash; records are hashed by Spark.
+    """
+    d = records.select(ledger, sequence, record, F.sha2(F.coalesce(F.col(record), F.lit("")), 256).alias("record_hash"))
+    d = d.repartition(ledger).sortWithinPartitions(F.col(ledger).asc_nulls_first(), F.col(sequence).asc_nulls_last())
+    kind = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + ", chain_hash string"
+
+    def fold(batches):
+        own, before, started = None, GENESIS, False
+        for b in batches:
+            chain = []
+            for key, h in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if not started or key != own:
+                    own, before, started = key, GENESIS, True
+                before = hashlib.sha256((before + h).encode()).hexdigest()
+                chain.append(before)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chain, pa.string())], [*d_names, "chain_hash"])
+
+    d_names = d.columns
+    return d.mapInArrow(fold, kind)
 
 
 def verify_chain(chain: DataFrame, ledger: str, sequence: str, record: str) -> DataFrame:

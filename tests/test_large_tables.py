@@ -1,6 +1,7 @@
 """Steps that once listed pairs, or took a row at a time, against plain sums."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import joins, recurrences, search, topology
+from lodestream.operators import joins, ledger, recurrences, search, topology
 from lodestream.plans import registry
 from lodestream.streaming import backlog, keyed
 
@@ -206,3 +207,23 @@ def test_one_cell_of_many_is_dealt_to_several_tasks(spark):
     by_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(by_task) == 400 * 300 + 1 and max(by_task) < 40_000
     assert out.select("a", "b").distinct().count() == 400 * 300 + 1 and out.columns == ["a", "x", "b", "y"]
+
+
+def test_a_chain_goes_on_from_batch_to_batch(spark):
+    rows = [(k, i, None if i == 5 else f"{k}{i}") for k in ("a", None, "b") for i in range(40)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = ledger.append_chain(spark.createDataFrame(rows, "k string, n long, r string").repartition(3), "k", "n", "r")
+        assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # no ledger is held whole
+        got = {(r["k"], r["n"]): (r["record_hash"], r["chain_hash"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for k in ("a", None, "b"):
+        chain = "0" * 64
+        for i in range(40):
+            h = sha("" if i == 5 else f"{k}{i}")
+            chain = sha(chain + h)
+            assert got[k, i] == (h, chain)
+    assert len(got) == len(rows)
