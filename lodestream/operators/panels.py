@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import permutations, product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +62,60 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
-def motifs(edges: DataFrame) -> DataFrame:
-    """Feed-forward loops, directed 3-cycles and mutual pairs of distinct edges (src, dst)."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    ab, bc = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    path = ab.join(bc, "b").where("a <> c")
-    ffl = path.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"]).agg(F.count("*").alias("feed_forward"))
-    cyc = path.join(e.select(F.col("src").alias("c"), F.col("dst").alias("a")), ["a", "c"]).agg(F.expr("count(*) div 3").alias("cycles"))
-    mut = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).agg(F.expr("count(*) div 2").alias("mutual"))
-    return ffl.crossJoin(F.broadcast(cyc)).crossJoin(F.broadcast(mut))  # one row each
+def triangle_tables() -> tuple[np.ndarray, np.ndarray]:
+    """How many feed-forward loops and 3-cycles a triangle (u, v, w) has, by the arcs of uv, uw and vw: 1 goes on, 2 goes back."""
+    loops, cycles = np.zeros((4, 4, 4), np.int64), np.zeros((4, 4, 4), np.int64)
+    for kinds in product(range(4), repeat=3):
+        arc = lambda x, y: bool(kinds[x + y - 1] & (1 if x < y else 2))  # noqa: E731, B023
+        loops[kinds] = sum(arc(a, b) and arc(b, c) and arc(a, c) for a, b, c in permutations(range(3)))
+        cycles[kinds] = (arc(0, 1) and arc(1, 2) and arc(2, 0)) + (arc(0, 2) and arc(2, 1) and arc(1, 0))
+    return loops, cycles
+
+
+def motifs(edges: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Feed-forward loops, directed 3-cycles and mutual pairs of distinct edges (src, dst).
+
+    Each pair of neighbours is kept once, at its vertex of fewer neighbours (ties by number), so a vertex keeps the root of
+    twice the pairs at most.  A vertex sends each of those the ones that come after it, as one list, and the triangles are
+    what both lists have, found ``most`` entries at a time; no path of two edges is a row.
+    """
+    with_checkpoints(edges.sparkSession)
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("m"))
+    pairs = e.groupBy("a", "b").agg(F.bit_or("m").alias("m")).checkpoint()
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+    at = lambda c: degree.select(F.col("v").alias(c), F.col("k").alias(f"k{c}"))
+    p = pairs.join(at("a"), "a").join(at("b"), "b")
+    turn = (F.col("kb") < F.col("ka")) | ((F.col("kb") == F.col("ka")) & (F.col("b") < F.col("a")))
+    back = F.when(F.col("m") == 3, 3).otherwise(3 - F.col("m"))
+    own = F.when(turn, F.struct(F.col("b").alias("u"), F.col("ka").alias("k"), F.col("a").alias("v"), back.alias("m"))).otherwise(F.struct(F.col("a").alias("u"), F.col("kb").alias("k"), F.col("b").alias("v"), F.col("m")))
+    near = p.select(own.alias("o")).select("o.*").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("k", "v", "m"))).alias("l")).checkpoint()
+    part = lambda l, c: F.transform(l, lambda x: x[c])  # noqa: E731, E741
+    sent = near.select("l", F.posexplode("l").alias("i", "x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("m1"), F.slice("l", F.col("i") + 2, F.size("l")).alias("l")).where(F.size("l") > 0)
+    met = sent.select("u", "m1", part("l", "v").alias("w2"), part("l", "m").alias("m2")).join(near.select("u", part("l", "v").alias("w3"), part("l", "m").alias("m3")), "u").drop("u")
+    loops, cycles = triangle_tables()
+
+    def count(batches):
+        found = [0, 0]
+        flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            ends = np.cumsum(col("w2").value_lengths().to_numpy().astype(np.int64) + col("w3").value_lengths().to_numpy())
+            start = 0
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+                m1, w2, m2, w3, m3 = (col(c).slice(start, stop - start) for c in ("m1", "w2", "m2", "w3", "m3"))
+                row2, row3 = (np.repeat(np.arange(stop - start), w.value_lengths().to_numpy()) for w in (w2, w3))
+                names, code = np.unique(np.concatenate([flat(w2), flat(w3)]), return_inverse=True)
+                place = np.concatenate([row2, row3]) * len(names) + code
+                _, i, j = np.intersect1d(place[: len(row2)], place[len(row2) :], assume_unique=True, return_indices=True)
+                kinds = (m1.to_numpy()[row2[i]], flat(m2)[i], flat(m3)[j])
+                found[0] += int(loops[kinds].sum())
+                found[1] += int(cycles[kinds].sum())
+                start = stop
+        yield pa.RecordBatch.from_arrays([pa.array([n]) for n in found], ["f", "c"])
+
+    n = met.mapInArrow(count, "f long, c long").agg(F.coalesce(F.sum("f"), F.lit(0)).alias("feed_forward"), F.coalesce(F.sum("c"), F.lit(0)).alias("cycles"))
+    return n.crossJoin(F.broadcast(pairs.agg(F.count_if(F.col("m") == 3).alias("mutual"))))  # one row each
 
 
 def degree_distance(a: DataFrame, b: DataFrame, node: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import joins, ledger, recurrences, search, topology
+from lodestream.operators import joins, ledger, panels, recurrences, search, topology
 from lodestream.plans import registry
 from lodestream.streaming import backlog, keyed
 
@@ -227,3 +227,16 @@ def test_a_chain_goes_on_from_batch_to_batch(spark):
             chain = sha(chain + h)
             assert got[k, i] == (h, chain)
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_motifs_without_paths(spark, most):
+    rng = np.random.default_rng(8)
+    arcs = {(int(a), int(b)) for a, b in rng.integers(0, 12, size=(60, 2))} | {(50, 51), (51, 50)}
+    df = spark.createDataFrame([*arcs, *arcs, (None, 3), (3, None)], "src long, dst long")
+    x = {(a, b) for a, b in arcs if a != b}
+    paths = [(a, b, d) for a, b in x for c, d in x if b == c and a != d]
+    want = (sum((a, c) in x for a, _, c in paths), sum((c, a) in x for a, _, c in paths) // 3, sum((b, a) in x for a, b in x) // 2)
+    [got] = panels.motifs(df, most).collect()
+    assert tuple(got) == want and min(want) > 0
+    assert tuple(panels.motifs(df.limit(0)).first()) == (0, 0, 0)
