@@ -242,3 +242,24 @@ def test_recurrence_against_the_whole_matrix(spark):
         share = np.array(diagonal) / max(1, sum(diagonal))
         want = (eps, m.sum() / (n * (n - 1)), sum(diagonal) / m.sum(), sum(vertical) / m.sum(), -float((share * np.log2(share + 1e-15)).sum()))
         assert np.allclose([got[k][c] for c in ("eps", "rr", "det", "lam", "ent")], want, atol=1e-9), k
+
+
+def test_quantile_lines_of_many_rows_need_passes_over_those_near_a_line_only(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id % 7 AS a", "2.0 + id % 7 + sin(id * 0.37) * (1 + id % 7) + (id * 7919 % 1000) / 500.0 AS y")
+    seen = []
+    totals = quantiles.totals
+    monkeypatch.setattr(quantiles, "totals", lambda z, *rest: seen.append(len(z.inputFiles()) and z.count()) or totals(z, *rest))
+    rows = df.toPandas()
+    design, y = np.column_stack([np.ones(6000), rows["a"]]), rows["y"].to_numpy()
+    qs = (0.2, 0.5, 0.8)
+    full, _ = quantiles.settled(lambda c, eps: quantiles.sums_of(design, y, c, qs, eps), np.zeros((3, 2)), 6000, 80, 1e-9, 1.0)
+    few = quantiles.fit_quantiles(df, ["a"], "y", qs, sample=1100, share=0.2, passes=30)
+    assert seen.count(6000) <= 10 and 0 < max(n for n in seen if n < 6000) < 5000
+    for q, a, b in zip(qs, full, few.coefficients, strict=True):
+        assert pinball(np.array(b), design, y, q) <= pinball(a, design, y, q) * (1 + 1e-4)
+    # a band too narrow for the first lines: all rows are passed over
+    seen.clear()
+    narrow = quantiles.fit_quantiles(df, ["a"], "y", qs, sample=30, share=0.002, looks=1, passes=20)
+    assert seen.count(6000) > 10
+    for q, a, b in zip(qs, full, narrow.coefficients, strict=True):
+        assert pinball(np.array(b), design, y, q) <= pinball(a, design, y, q) * (1 + 1e-4)
