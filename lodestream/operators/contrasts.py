@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import uniform
 from .stats import fluctuation, poisson_weight
 
 PARTS = ("full", "first", "second", "stable", "unstable")
@@ -92,7 +93,7 @@ def bootstrap_difference(df: DataFrame, keys: list[str], row: str, group: str, v
     before the shuffle.  Rounds that leave a group without rows are not counted.
     """
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    d = d.withColumn("_w", F.when(F.col("_b") == 0, F.lit(1)).otherwise(poisson_weight(seed, row, "_b")))
+    d = d.withColumn("_u", uniform(seed, row, "_b")).withColumn("_w", F.when(F.col("_b") == 0, 1).otherwise(poisson_weight("_u")))
     mean = lambda c: F.sum(F.when(c, F.col("_w") * F.col(value))) / F.nullif(F.sum(F.when(c, F.col("_w"))), F.lit(0))
     s = d.groupBy(*keys, "_b").agg((mean(F.col(group)) - mean(~F.col(group))).alias("s"))
     at = s.groupBy(*keys).agg(F.max(F.when(F.col("_b") == 0, F.col("s"))).alias("difference"), F.array_sort(F.collect_list(F.when(F.col("_b") > 0, F.col("s")))).alias("_r"))

@@ -14,6 +14,7 @@ from lodestream.functions.special import normal_two_sided, t_two_sided
 from lodestream.sources.files import with_checkpoints
 
 from .lags import join_null_safe
+from .search import uniform
 from .stats import poisson_weight, two_samples
 
 #: value, whether the row is of the first group, weight -> an aggregate
@@ -110,7 +111,7 @@ def bootstrap_interval(df: DataFrame, keys: list[str], row: str, group: str, val
     row and round, so no row moves and sums combine before the shuffle.  Rounds without a value are not counted; with more
     than half of them there is no interval."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    d = d.withColumn("_w", F.when(F.col("_b") == 0, F.lit(1.0)).otherwise(poisson_weight(seed, row, "_b").cast("double")))
+    d = d.withColumn("_u", uniform(seed, row, "_b")).withColumn("_w", F.when(F.col("_b") == 0, 1.0).otherwise(poisson_weight("_u").cast("double")))
     s = d.groupBy(*keys, "_b").agg(statistic(F.col(value).cast("double"), F.col(group), F.col("_w")).alias("_s"))
     at = s.groupBy(*keys).agg(F.max(F.when(F.col("_b") == 0, F.col("_s"))).alias("point"), F.array_sort(F.collect_list(F.when(F.col("_b") > 0, F.col("_s")))).alias("_r"))
     n, tail = F.size("_r"), (1 - confidence) / 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -91,21 +92,21 @@ def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     return g.select(*keys, "n1", "n0", "auc", se.alias("se"))
 
 
-def poisson_weight(seed: int, *cols: str) -> Column:
-    """Poisson(1) draw from a hash: resampling with replacement, row by row."""
-    u, total, p = uniform(seed, *cols), 0.0, 0.36787944117144233
-    cuts = []
+def poisson_weight(u: str) -> Column:
+    """Poisson(1) draw from a column of ``uniform``: resampling with replacement, row by row.  It takes a column's name, as
+    an expression would be computed anew for each cut where it stands under a condition."""
+    total, p, out = 0.0, 0.36787944117144233, None
     for k in range(8):
         total += p
-        cuts.append(total)
+        out = F.when(F.col(u) <= total, k) if out is None else out.when(F.col(u) <= total, k)
         p /= k + 1
-    return sum(((u > c).cast("int") for c in cuts), F.lit(0))
+    return out.otherwise(8)
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], row: str, value: str, rounds: int = 200, seed: int = 5) -> DataFrame:
     """Mean, 95 % interval of resampled means, and a sign-flip p-value; draws hang on row and round only."""
     b = df.where(F.col(value).isNotNull()).select(*keys, row, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
-    b = b.withColumn("w", poisson_weight(seed, row, "b")).withColumn("s", F.when(uniform(seed + 1, row, "b") < 0.5, -1.0).otherwise(1.0))
+    b = b.withColumn("u", uniform(seed, row, "b")).withColumn("w", poisson_weight("u")).withColumn("s", F.when(uniform(seed + 1, row, "b") < 0.5, -1.0).otherwise(1.0))
     r = b.groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.avg(F.col("s") * F.col(value)).alias("flip"))
     mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     j = r.join(mean, keys)
@@ -330,6 +331,38 @@ def shuffled(df: DataFrame, keys: list[str], order: list[str], row: str, value:
     return d.select(*keys, "round", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), row, "round"), row)).alias("i"), value)
 
 
+def shuffled_autocovariances(df: DataFrame, keys: list[str], row: str, value: str, rounds: int, seed: int = 9, bits: int = 5) -> DataFrame:
+    """(keys, round, rho): the lag-1 autocovariance of ``shuffled`` values over their variance.
+
+    Mean and variance are the series' own.  The order of a round is cut by the first ``bits`` of the hash: each slice is a
+    group, told by one number, and slices meet by their first and last value, so a round of a series is no task.
+    """
+    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*keys)).cast("long")  # a row a series
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"), F.count(value).alias("_n")).withColumn("_k", nth)
+    d = df.join(stats.select(*keys, "_m", "_k"), keys).select("_k", F.col(row).alias("_row"), (F.col(value) - F.col("_m")).alias("_x"))
+    d = d.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_h", F.xxhash64(F.lit(seed), "_row", "round"))
+    part = F.shiftright("_h", 64 - bits) + (1 << bits - 1)
+    d = d.select(((F.col("_k") * (rounds + 1) + F.col("round")) * (1 << bits) + part).alias("_g"), "_h", "_row", "_x")
+
+    def slice_sum(t: pa.Table) -> pa.Table:
+        h = t.column("_h").to_numpy()
+        o = np.argsort(h, kind="stable")
+        if (h[o][1:] == h[o][:-1]).any():
+            o = pc.sort_indices(t, [("_h", "ascending"), ("_row", "ascending")]).to_numpy()
+        x, there = t.column("_x").to_numpy()[o], t.column("_x").is_valid().to_numpy()[o]
+        both = there[1:] & there[:-1]
+        end = lambda i: float(x[i]) if there[i] else None
+        total = float((x[1:][both] * x[:-1][both]).sum()) if both.any() else None
+        return pa.table([t.column("_g").slice(0, 1), *(pa.array([v], pa.float64()) for v in (total, end(0), end(-1)))], ["_g", "_s", "_first", "_last"])
+
+    s = d.groupBy("_g").applyInArrow(slice_sum, "_g long, _s double, _first double, _last double")
+    s = s.withColumn("_kr", F.shiftright("_g", bits)).withColumn("_before", F.lag("_last").over(Window.partitionBy("_kr").orderBy("_g")))  # a row a slice
+    s = s.groupBy("_kr").agg(F.sum("_s").alias("_s"), F.sum(F.col("_first") * F.col("_before")).alias("_e"))
+    s = s.select(F.floor(F.col("_kr") / (rounds + 1)).alias("_k"), (F.col("_kr") % (rounds + 1)).cast("int").alias("round"), "_s", "_e")
+    total = F.when(F.col("_s").isNotNull() | F.col("_e").isNotNull(), F.coalesce("_s", F.lit(0.0)) + F.coalesce("_e", F.lit(0.0)))
+    return s.join(stats, "_k").select(*keys, "round", (total / F.col("_n") / F.nullif("_v", F.lit(0.0))).alias("rho"))
+
+
 def circular_shift(df: DataFrame, keys: list[str], order: list[str], value: str, rounds: int, seed: int = 9) -> DataFrame:
     w = Window.partitionBy(*keys)
     d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))

@@ -3,6 +3,8 @@
 import math
 
 from lodestream.operators import contrasts as C
+from lodestream.operators.search import uniform
+from lodestream.operators.stats import poisson_weight
 
 
 def test_bootstrap_difference_holds_the_difference(spark):
@@ -29,3 +31,12 @@ def test_null_fidelity_of_the_series_itself_is_zero(spark):
     [off] = C.null_fidelity(df, ["k"], ["i"], "x", "z", 5).collect()
     assert own["acf_rmse"] < 1e-12 and own["distribution_error"] == 0
     assert off["acf_rmse"] < 1e-12 and off["distribution_error"] == 2
+
+
+def test_a_draw_of_the_bootstrap_is_hashed_once_and_gives_the_weights_of_its_cuts(spark):
+    df = spark.range(5000).selectExpr("'a' AS k", "id", "id % 2 = 0 AS g", "CAST(id % 7 AS double) AS v")
+    d = df.withColumn("u", uniform(7, "id"))
+    cuts = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+    assert all(r["w"] == sum(r["u"] > c for c in cuts) for r in d.withColumn("w", poisson_weight("u")).collect())
+    plan = C.bootstrap_difference(df, ["k"], "id", "g", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
