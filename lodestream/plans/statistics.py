@@ -160,9 +160,9 @@ def i26_surrogates(spark, d):
 def i28_null_verdict(spark, d):
     """Lag-1 autocorrelation of each series against shuffles of it."""
     t = ticks(spark, d)
-    lag1 = lambda df, k, o: S.autocovariances(df, k, o, "price", 1).select(*k, F.col("rho").alias("stat"))
-    nulls = lag1(S.shuffled(t, ["symbol"], ["ts"], "event_id", "price", 40), ["symbol", "round"], ["i"])
-    return S.null_verdict(lag1(t, ["symbol"], ["ts", "event_id"]), nulls, ["symbol"], "stat")
+    own = S.autocovariances(t, ["symbol"], ["ts", "event_id"], "price", 1).select("symbol", F.col("rho").alias("stat"))
+    nulls = S.shuffled_autocovariances(t, ["symbol"], "event_id", "price", 40).withColumnRenamed("rho", "stat")
+    return S.null_verdict(own, nulls, ["symbol"], "stat")
 
 
 @query("SELECT event_type AS symbol, round(1 + count(*) / sum(ln(value / 5)), 6) AS exponent, count(*) AS n FROM events WHERE value >= 5 GROUP BY ALL")

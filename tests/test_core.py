@@ -117,3 +117,13 @@ def test_plans_stay_on_the_jvm_and_prune_columns(spark):
     data = "/root/testdata/sf0.001"
     plan = registry.QUERIES["t2_ohlcv_bars"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "props" not in plan
+
+
+def test_slices_of_a_shuffle_meet_as_the_whole_shuffle_does(spark):
+    df = spark.range(700).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS k", "id", "CASE WHEN id % 50 > 0 THEN CAST(id * id % 101 AS double) END AS v")
+    whole = stats.autocovariances(stats.shuffled(df, ["k"], ["id"], "id", "v", 5), ["k", "round"], ["i"], "v", 1)
+    want = {(r["k"], r["round"]): r["rho"] for r in whole.collect()}
+    for bits in (1, 3, 9):  # some slices, and more than there are rows
+        got = {(r["k"], r["round"]): r["rho"] for r in stats.shuffled_autocovariances(df, ["k"], "id", "v", 5, bits=bits).collect()}
+        assert got.keys() == want.keys() and len(got) == 10
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
