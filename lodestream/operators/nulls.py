@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .lags import join_null_safe, lagged, placed
+from .lags import join_null_safe, lag_products, placed
 
 
 def lag_sums(df: DataFrame, keys: list[str], order: list[str], value: str, most: int) -> DataFrame:
@@ -21,8 +21,7 @@ def lag_sums(df: DataFrame, keys: list[str], order: list[str], value: str, most:
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, *order, v.alias("_v"))
     mean = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     c = join_null_safe(rows, mean, keys).select(*keys, *order, (F.col("_v") - F.col("mean")).alias("_v"))
-    lags = lagged(c, keys, order, ["_v"], most).select(*keys, F.posexplode("_lags").alias("lag", "then"), F.col("_lags")[0]["_v"].alias("now")).where("then IS NOT NULL")
-    sums = lags.groupBy(*keys, "lag").agg(F.sum(F.col("now") * F.col("then._v")).alias("s"))
+    sums = lag_products(c, keys, order, ["_v"], most).select(*keys, "lag", F.col("_v").alias("s"))
     sums = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "s"))), lambda x: x["s"]).alias("sums"))  # most + 1 numbers
     return join_null_safe(mean, sums, keys)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lags import join_null_safe, lagged, prefix_sums
+from .lags import join_null_safe, lag_products, prefix_sums
 
 
 def autocorrelation_times(df: DataFrame, keys: list[str], order: list[str], cols: list[str], start: int = 32) -> DataFrame:
@@ -18,9 +18,7 @@ def autocorrelation_times(df: DataFrame, keys: list[str], order: list[str], cols
     longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     most = start
     while True:
-        rows = lagged(centred, keys, order, cols, most)
-        pairs = rows.select(*keys, F.posexplode("_lags").alias("lag", "then"), F.col("_lags")[0].alias("now")).where("then IS NOT NULL")
-        sums = pairs.groupBy(*keys, "lag").agg(*[F.sum(F.col(f"now.{c}") * F.col(f"then.{c}")).alias(c) for c in cols])
+        sums = lag_products(centred, keys, order, cols, most)
         table = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", *cols))).alias("s"))  # most + 1 structs
         table = join_null_safe(table, means.select(*keys, "n"), keys)
         out = table.select(*keys, "n", *[time_of(c, most).alias(f"_t{c}") for c in cols])

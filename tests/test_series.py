@@ -263,3 +263,14 @@ def test_quantile_lines_of_many_rows_need_passes_over_those_near_a_line_only(spa
     assert seen.count(6000) > 10
     for q, a, b in zip(qs, full, narrow.coefficients, strict=True):
         assert pinball(np.array(b), design, y, q) <= pinball(a, design, y, q) * (1 + 1e-4)
+
+
+def test_lag_products_over_slices_against_whole_series(spark):
+    rng = np.random.default_rng(8)
+    series = {None: rng.normal(size=23), "a": rng.normal(size=1), "b": rng.normal(size=40)}
+    rows = [(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, t long, v double").repartition(5)
+    for size in (7, 1000):
+        got = {(r["k"], r["lag"]): r["v"] for r in lags.lag_products(df, ["k"], ["t"], ["v"], 5, size=size).collect()}
+        want = {(k, n): float(x[: len(x) - n] @ x[n:]) for k, x in series.items() for n in range(min(5, len(x) - 1) + 1)}
+        assert got.keys() == want.keys() and all(abs(got[at] - want[at]) < 1e-9 for at in want)
