@@ -133,23 +133,36 @@ def effective_size(rho: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFra
 
 
 def _inversions(rank: np.ndarray) -> int:
-    """Pairs i < j with rank[i] > rank[j] of distinct ranks below their number, counted bit by bit."""
-    total, n = 0, len(rank)
-    for bit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
-        one = (rank >> bit) & 1
-        before = np.cumsum(one) - one
-        high = rank >> (bit + 1)
-        lead = np.append(True, high[1:] != high[:-1])
-        before -= before[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        total += int(before[one == 0].sum())
-        rank = rank[np.argsort(rank >> bit, kind="stable")]
-    return total
+    """Pairs i < j with rank[i] > rank[j] of distinct ranks below their number.
+
+    Ranks are split by their bits from the highest on, so those of a block are in its places, and a one before a zero is a
+    pair; the last 32 ranks are compared one by one.
+    """
+    n = len(rank)
+    low = 5
+    r = np.append(rank, np.arange(n, -(-n >> low << low))).astype(np.int32 if n < 2**31 - 64 else np.int64)
+    total, n = 0, len(r)
+    for bit in range(max(1, int(n - 1).bit_length()) - 1, low - 1, -1):
+        half = 1 << bit
+        whole = n // (2 * half) * 2 * half
+        one = (r >> bit) & 1 == 1
+        zero = np.flatnonzero(~one)
+        blocks, rest = whole // (2 * half), min(half, n - whole)
+        # where the zeros are, less where they would be without a one before them
+        total += int(zero.sum()) - blocks * half * (half - 1) // 2 - half * half * blocks * (blocks - 1) - rest * (rest - 1) // 2 - rest * whole
+        zeros, ones = r[zero], r[one]
+        at = blocks * half
+        r = np.concatenate([np.stack([zeros[:at].reshape(-1, half), ones[:at].reshape(-1, half)], 1).ravel(), zeros[at:], ones[at:]])
+    last = np.ascontiguousarray((r & ((1 << low) - 1)).astype(np.int8).reshape(-1, 1 << low).T)
+    return total + sum(int(np.count_nonzero(last[:-k] > last[k:])) for k in range(1, 1 << low))
 
 
 def median_pair_slope(x: np.ndarray, y: np.ndarray, direct: int = 512) -> float | None:
     """Median of the slopes of all pairs of points with different x; None if there is no such pair.
 
-    Above ``direct`` points no pairs are made: the slope is bisected, and pairs below it are counted as inversions.
+    Above ``direct`` points few pairs are made: pairs up to a slope are counted as inversions, and two slopes about the
+    median, first from a sample of pairs, then in proportion to the counts, close in on it until about as many pairs as
+    points lie between them.  Those are listed; where they are too far apart to be found, the slope is bisected.
     """
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
@@ -163,30 +176,84 @@ def median_pair_slope(x: np.ndarray, y: np.ndarray, direct: int = 512) -> float
         return float(np.median((y[j] - y[i]) / (x[j] - x[i])))
     size = np.diff(np.append(lead, n))
     pairs = (n * n - int((size.astype(np.int64) ** 2).sum())) // 2
-    at = np.arange(n)
+    same = x[1:] == x[:-1]
+
+    def sorted_by(m: float) -> np.ndarray:
+        # equal z count as a slope not above m
+        return n - 1 - np.argsort((y - m * x)[::-1], kind="stable")
 
     def below(m: float) -> int:
-        # equal z count as a slope not above m, but not among points of one x, which are sorted by y
         z = y - m * x
         rank = np.empty(n, np.int64)
-        rank[np.lexsort((-at, z))] = at
-        run = np.diff(np.flatnonzero(np.append(np.append(True, (x[1:] != x[:-1]) | (z[1:] != z[:-1])), True)))
+        rank[sorted_by(m)] = np.arange(n)
+        # not among points of one x, which are sorted by y
+        run = np.diff(np.flatnonzero(np.append(np.append(True, ~same | (z[1:] != z[:-1])), True)))
         return _inversions(rank) - int((run * (run - 1) // 2).sum())
 
+    def between(lo: float, hi: float, count: int, reach: int = 512) -> np.ndarray | None:
+        """The slopes above ``lo`` and up to ``hi``, in order: pairs that change places from one to the other."""
+        first, rank = sorted_by(lo), np.empty(n, np.int64)
+        rank[sorted_by(hi)] = np.arange(n)
+        rank, out, found = rank[first], [], 0
+        for d in range(1, min(reach, n)):
+            at = np.flatnonzero(rank[:-d] > rank[d:])
+            i, j = first[at], first[at + d]
+            k = x[i] != x[j]
+            i, j = i[k], j[k]
+            out.append((y[j] - y[i]) / (x[j] - x[i]))
+            found += len(i)
+            if found >= count:
+                break
+        return np.sort(np.concatenate(out)) if found == count else None
+
     # no slope is outside those between neighbouring x
     gap = np.diff(x[lead])
     least, most = y[lead], y[np.append(lead[1:], n) - 1]
-    bottom, top = ((least[1:] - most[:-1]) / gap).min(), ((most[1:] - least[:-1]) / gap).max()
-
-    def nth(k: int) -> float:
-        lo, hi = bottom - 1e-9 * (1 + abs(bottom)), top + 1e-9 * (1 + abs(top))
-        while hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi)):
+    lo, hi = ((least[1:] - most[:-1]) / gap).min(), ((most[1:] - least[:-1]) / gap).max()
+    lo, hi = lo - 1e-9 * (1 + abs(lo)), hi + 1e-9 * (1 + abs(hi))
+    ranks = (pairs + 1) // 2, pairs // 2 + 1
+    counts = [0, pairs]
+
+    def apart(lo: float, hi: float) -> bool:
+        return hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi))
+
+    rng = np.random.default_rng(0)
+    i, j = rng.integers(0, n, 20_000), rng.integers(0, n, 20_000)
+    i, j = i[x[i] != x[j]], j[x[i] != x[j]]
+    probes = list(np.quantile((y[j] - y[i]) / (x[j] - x[i]), [0.49, 0.51])) if len(i) else []
+    wide, parted = 0.05, False
+    while counts[1] - counts[0] > 2 * n and apart(lo, hi) and not parted:
+        before = counts[1] - counts[0]
+        for m in probes or [(lo + hi) / 2]:
+            if not lo < m < hi:
+                continue
+            c = below(m)
+            if c >= ranks[1]:
+                hi, counts[1] = m, c
+            elif c < ranks[0]:
+                lo, counts[0] = m, c
+            else:  # the two middle slopes lie on both sides
+                parted = True
+        share = (counts[1] - counts[0]) / before
+        if share > 0.5:  # far from a straight line: halve the slopes
+            probes = [] if probes else [lo + (hi - lo) * f for f in (0.25, 0.75)]
+            continue
+        wide = wide / 4 if share < 4 * wide else wide
+        wide = max(wide, n / (counts[1] - counts[0]))
+        f = (ranks[0] - counts[0]) / (counts[1] - counts[0])
+        probes = [lo + (hi - lo) * min(1.0, max(0.0, f + s)) for s in (-wide, wide)]
+    found = between(lo, hi, counts[1] - counts[0]) if counts[1] - counts[0] <= 2 * n else None
+    if found is not None:
+        return float((found[ranks[0] - counts[0] - 1] + found[ranks[1] - counts[0] - 1]) / 2)
+
+    def nth(k: int, lo: float, hi: float) -> float:
+        while apart(lo, hi):
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if below(mid) >= k else (mid, hi)
         return (lo + hi) / 2
 
-    middle = nth((pairs + 1) // 2)
-    return float(middle if pairs % 2 else (middle + nth(pairs // 2 + 1)) / 2)
+    middle = nth(ranks[0], lo, hi)
+    return float(middle if pairs % 2 else (middle + nth(ranks[1], lo, hi)) / 2)
 
 
 def theil_sen(df: DataFrame, keys: list[str], row: str, x: str, y: str) -> DataFrame:

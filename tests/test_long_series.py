@@ -31,3 +31,32 @@ def test_theil_sen_uses_every_row_of_a_long_series(spark):
     m = brute(x, y)
     rest = y - np.median(y) - m * (x - np.median(x))  # from the line through the medians
     assert got["used"] == 2500 and abs(got["gamma"] + m) < 1e-9 and abs(got["r2"] - (1 - (rest**2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+
+
+def test_slope_of_many_points_takes_few_passes(monkeypatch):
+    rng = np.random.default_rng(5)
+    e, v = rng.integers(0, 10**6, 20_000), np.round(rng.exponential(50, 20_000), 2)
+    x, y = np.log(1.0 + e % 97), np.log(v * 0.1 + 1.0 + e % 97)
+    passes, count = [], stats._inversions
+    monkeypatch.setattr(stats, "_inversions", lambda rank: passes.append(1) or count(rank))
+    got = stats.median_pair_slope(x, y)
+    assert len(passes) < 20
+    # against all pairs, by counting: as many slopes below as above
+    below = sum(int(((y[i + 1 :] - y[i] - got * (x[i + 1 :] - x[i])) * np.sign(x[i + 1 :] - x[i]) < 0).sum()) for i in range(0, 20_000))
+    n = (20_000**2 - int((np.unique(x, return_counts=True)[1].astype(np.int64) ** 2).sum())) // 2
+    assert abs(below - n / 2) <= 2
+
+
+def test_slopes_of_two_heaps_and_of_one():
+    x = np.repeat([0.0, 1.0], [1, 4000])
+    y = np.append(0.0, np.repeat([0.0, 1.0], 2000))  # half of the slopes are 0, half are 1
+    assert abs(stats.median_pair_slope(x, y) - 0.5) < 1e-12
+    x = np.log(1.0 + np.arange(3000) % 97)
+    assert abs(stats.median_pair_slope(x, 2 * x + 1) - 2) < 1e-12
+
+
+def test_inversions_are_counted_pair_by_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 31, 32, 33, 64, 65, 129, 700):
+        r = rng.permutation(n)
+        assert stats._inversions(r) == sum(int((r[:i] > r[i]).sum()) for i in range(n))
