@@ -48,9 +48,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One folder for each session; sessions whose status is OK, with the folder's name."""
-    df = spark.read.schema(schema).json(f"{path}/session=*/*.json")
-    return df.withColumn("session", F.regexp_extract(F.col("_metadata.file_path"), r"session=([^/]+)/", 1)).where("status = 'OK'")
+    """One folder for each session; sessions whose status is OK, with the folder's name.
+
+    The folders are looked up by tasks, as a pattern in the path has the driver list one after the other.
+    """
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/session=([^/]+)/[^/]+$", 1)
+    return df.withColumn("session", name).where("status = 'OK' AND session <> ''")
 
 
 def read_economic_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -263,3 +263,16 @@ def test_buckets_take_rows_and_keep_their_level():
     assert p.level.value == (1.0, 0.5)
     (last,) = p.handleInputRows((7,), iter([Row(at=3.0, row=4)]), None)
     assert last["allowed"] and last["tokens"] == 0.5
+
+
+def test_session_folders_are_found_by_tasks(spark, tmp_path):
+    from lodestream.sources.files import read_sessions
+
+    for i in range(3):
+        folder = tmp_path / ("" if i else "night") / f"session={i}"  # below another folder as well
+        folder.mkdir(parents=True)
+        (folder / "log.json").write_text('{"event_id": 1, "status": "OK"}\n{"event_id": 2, "status": "FAILED"}\n')
+    (tmp_path / "stray.json").write_text('{"event_id": 9, "status": "OK"}\n')
+    (tmp_path / "session=1" / "note.txt").write_text('{"event_id": 9, "status": "OK"}\n')
+    got = read_sessions(spark, f"file://{tmp_path}", "event_id long, status string")
+    assert sorted((r["session"], r["event_id"]) for r in got.collect()) == [("0", 1), ("1", 1), ("2", 1)]
