@@ -112,10 +112,9 @@ def w13_convergence(spark, d):
 
 @query(f"""SELECT event_id, CASE WHEN avg(price) OVER ({ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > avg(price) OVER ({ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) THEN 1 ELSE -1 END AS crossing, CASE WHEN price > 60 THEN 1 WHEN price < 40 THEN -1 ELSE 0 END AS threshold FROM {T}""")
 def w14_signals(spark, d):
-    w = w_()
-    mean = lambda n: F.avg("price").over(w.rowsBetween(-n + 1, 0))
-    x = ticks(spark, d)
-    return x.select("event_id", F.when(mean(5) > mean(20), 1).otherwise(-1).alias("crossing"), F.when(F.col("price") > 60, 1).when(F.col("price") < 40, -1).otherwise(0).alias("threshold"))
+    x = W.mean_by_runs(ticks(spark, d), w_(), "price", 20, "slow")
+    x = x.withColumn("fast", F.avg("price").over(w_().rowsBetween(-4, 0)))
+    return x.select("event_id", F.when(F.col("fast") > F.col("slow"), 1).otherwise(-1).alias("crossing"), F.when(F.col("price") > 60, 1).when(F.col("price") < 40, -1).otherwise(0).alias("threshold"))
 
 
 @query(f"""SELECT event_id, CAST(sign(price - avg(price) OVER ({ORDER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) AS INT) AS momentum FROM {T}""")

@@ -169,3 +169,31 @@ def test_vote_that_just_reaches_its_share(spark):
     rows = [(1, side, 0.1 + (k - 1) / 10, 10.0 if side == "bull" else 0.1) for side, k in tenths]
     df = spark.createDataFrame(rows, "u int, side string, c double, st double").coalesce(1)
     assert A.divergence_vote(df, ["u"], "side", "c", "st", 3, 0.3).collect()[0]["side"] == "bull"
+
+
+def test_equal_means_are_told_apart_as_in_sql(spark, tmp_path):
+    """Copies at one time make both means equal, so the order of adding decides which is greater."""
+    agrees(spark, tmp_path, "w14_signals", events=events([(round(0.1 + i * 7.13 % 60, 2),) * (30 + i) for i in range(40)]))
+
+
+def test_mean_by_runs(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.operators import windows as W
+
+    rows = [(k, i, None if i % 11 == 5 else 0.1 * (i * i % 97) + i % 3 / 7) for k in ("a", None) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(3)
+    got = {(r["k"], r["i"]): r["m"] for r in W.mean_by_runs(df, W.series(["k"], ["i"]), "v", 20, "m").where(F.col("i") >= 0).collect()}
+    x = [r[2] for r in rows[:90]]
+    for i in range(90):
+        first, total = max(0, i - 19), 0.0
+        runs = [s for s in range(0, 90, 16) if first <= s and s + 16 <= i + 1]
+        for j in range(first, i + 1):
+            inside = any(s <= j < s + 16 for s in runs)
+            part = 0.0 if inside else x[j] or 0.0
+            if j in runs:
+                for v in x[j : j + 16]:  # sum() of Python compensates
+                    part += v or 0.0
+            total += part
+        n = sum(v is not None for v in x[first : i + 1])
+        assert got["a", i] == got[None, i] == total / n, i
