@@ -116,14 +116,27 @@ def signal_ensemble(df: DataFrame, keys: list[str], value: str, mean: str, sd: s
     return g.withColumn("strength", F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("raw"))))
 
 
-def divergence_vote(df: DataFrame, keys: list[str], direction: str, confidence: str, strength: str, min_support: int, min_consensus: float) -> DataFrame:
-    """The side that has enough signals and share of confidence; tanh of mean strength times share."""
+def divergence_vote(df: DataFrame, keys: list[str], direction: str, confidence: str, strength: str, min_support: int, min_consensus: float, order: list[str] | None = None) -> DataFrame:
+    """The side that has enough signals and share of confidence; tanh of mean strength times share.
+
+    With an ``order`` of rows sums are added up in it, so equal votes are told apart by the same last digits wherever the
+    rows lie, and as one thread of the SQL does; without it, a share that reaches its bound but for the last digits counts.
+    """
     side = lambda s: F.col(direction) == s
-    g = df.groupBy(*keys).agg(F.sum(confidence).alias("all"), *[x for s in ("bull", "bear") for x in (F.count_if(side(s)).alias(f"n_{s}"), F.sum(F.when(side(s), F.col(confidence))).alias(f"c_{s}"), F.avg(F.when(side(s), F.col(strength))).alias(f"s_{s}"))])
+    parts = {"all": F.col(confidence)} | {f"{c}_{s}": F.when(side(s), F.col(v)) for s in ("bull", "bear") for c, v in (("c", confidence), ("t", strength))}
+    if order:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_{c}": F.sum(x).over(w) for c, x in parts.items()})
+        sums = [F.max_by(f"_{c}", F.struct(*order)).alias(c) for c in parts]
+    else:
+        sums = [F.sum(x).alias(c) for c, x in parts.items()]
+    counts = [F.count(F.when(side(s), F.col(v))).alias(f"{c}_{s}") for s in ("bull", "bear") for c, v in (("n", direction), ("k", strength))]
+    g = df.groupBy(*keys).agg(*sums, *counts)
     for s in ("bull", "bear"):
         share = F.coalesce(F.col(f"c_{s}") / F.nullif(F.col("all"), F.lit(0.0)), F.lit(0.0))
-        reached = F.round(share, 12) >= min_consensus  # a sum's last digit hangs on the order of its parts
-        g = g.withColumn(f"v_{s}", F.when((F.col(f"n_{s}") >= min_support) & reached, F.col(f"s_{s}") * share))
+        reached = (share if order else F.round(share, 12)) >= min_consensus  # a sum's last digit hangs on the order of its parts
+        mean = F.col(f"t_{s}") / F.nullif(F.col(f"k_{s}"), F.lit(0))
+        g = g.withColumn(f"v_{s}", F.when((F.col(f"n_{s}") >= min_support) & reached, mean * share))
     won = F.when(F.col("v_bull").isNull() & F.col("v_bear").isNull(), "none").when(F.col("v_bear").isNull() | (F.col("v_bull") >= F.col("v_bear")), "bull").otherwise("bear")
     g = g.withColumn("side", won)
     score = F.when(F.col("side") == "bull", F.tanh("v_bull")).when(F.col("side") == "bear", -F.tanh("v_bear")).otherwise(0.0)

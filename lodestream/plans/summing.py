@@ -140,8 +140,8 @@ g AS (SELECT user_id, sum(c) AS a, count(*) FILTER (side = 'bull') AS nb, sum(c)
 v AS (SELECT user_id, CASE WHEN nb >= 3 AND coalesce(cb / a, 0) >= 0.3 THEN sb * coalesce(cb / a, 0) END AS vb, CASE WHEN nr >= 3 AND coalesce(cr / a, 0) >= 0.3 THEN sr * coalesce(cr / a, 0) END AS vr FROM g)
 SELECT user_id, CASE WHEN vb IS NULL AND vr IS NULL THEN 'none' WHEN vr IS NULL OR vb >= vr THEN 'bull' ELSE 'bear' END AS side, round(CASE WHEN vb IS NULL AND vr IS NULL THEN 0 WHEN vr IS NULL OR vb >= vr THEN tanh(vb) ELSE -tanh(vr) END, 6) AS score FROM v""")
 def g16_divergence_vote(spark, d):
-    x = table(spark, d, "events").select("user_id", F.when(F.col("value") > 50, "bull").otherwise("bear").alias("side"), (0.1 + (F.col("event_id") % 10) / 10).alias("c"), (F.abs(F.col("value") - 50) / 100).alias("st"))
-    return r(A.divergence_vote(x, ["user_id"], "side", "c", "st", 3, 0.3))
+    x = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("value") > 50, "bull").otherwise("bear").alias("side"), (0.1 + (F.col("event_id") % 10) / 10).alias("c"), (F.abs(F.col("value") - 50) / 100).alias("st"))
+    return r(A.divergence_vote(x, ["user_id"], "side", "c", "st", 3, 0.3, order=["event_id"]))
 
 
 @query("""WITH x AS (SELECT label, 1.0 + vec_id % 4 AS w, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(sum(CAST(x AS DOUBLE) * w) / sum(w), 6) AS value FROM x GROUP BY label, pos""")

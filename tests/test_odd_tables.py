@@ -197,3 +197,26 @@ def test_mean_by_runs(spark):
             total += part
         n = sum(v is not None for v in x[first : i + 1])
         assert got["a", i] == got[None, i] == total / n, i
+
+
+def test_equal_votes_are_added_in_the_order_of_rows(spark, tmp_path):
+    """Both sides' votes are equal in decimals, so the order of adding decides; rows are written in another order."""
+    import random
+
+    rows = []
+    for user in range(60):
+        own = [(side, 50 + side * k / 100, c) for side in (1, -1) for k, c in ((130 + user, 1), (700, 7), (333, 3), (4 * user, 9))]
+        random.Random(user).shuffle(own)
+        rows += [(10 * (8 * user + i) + c - 1, START, user, "view", v, None) for i, (_, v, c) in enumerate(own)]
+    e = events([(1.0,)])
+    e = pa.Table.from_pylist([dict(zip(e.column_names, row, strict=True)) for row in rows], schema=e.schema)
+    con = duckdb.connect("", config={"threads": 1})
+    con.register("events", e)
+    want = sorted(con.execute(registry.SQL["g16_divergence_vote"]).fetchall())
+    assert len({w[1] for w in want}) == 2  # the SQL tells equal votes apart
+    random.Random(1).shuffle(rows)
+    for part in range(3):
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.Table.from_pylist([dict(zip(e.column_names, row, strict=True)) for row in rows[part::3]], schema=e.schema), tmp_path / "events.parquet" / f"{part}.parquet")
+    got = registry.QUERIES["g16_divergence_vote"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == want
