@@ -220,3 +220,21 @@ def test_equal_votes_are_added_in_the_order_of_rows(spark, tmp_path):
         pq.write_table(pa.Table.from_pylist([dict(zip(e.column_names, row, strict=True)) for row in rows[part::3]], schema=e.schema), tmp_path / "events.parquet" / f"{part}.parquet")
     got = registry.QUERIES["g16_divergence_vote"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_correlations_copy_counts_few_times(spark, monkeypatch):
+    """Blocks grow with the units, so counts are copied COPIES times and not once for each BLOCK units; pairs leave by tiles."""
+    import numpy as np
+
+    from lodestream.operators import assemblies as A
+
+    for name, value in (("BLOCK", 2), ("COPIES", 3), ("TILE", 2)):
+        monkeypatch.setattr(A, name, value, raising=False)
+    counts = np.random.default_rng(2).poisson(0.7, size=(29, 12))
+    counts[:, 0] = counts[:, -1] = 1
+    rows = [(u, t, int(x)) for (u, t), x in np.ndenumerate(counts) if x]
+    pairs, _ = A.unit_correlations(spark.createDataFrame(rows, "u long, t long, n long"), "u", "t", "n")
+    assert "sequence(0, 2" in pairs._jdf.queryExecution().analyzed().toString()
+    got = pairs.toPandas()
+    want = np.corrcoef(counts)[got["a"], got["b"]]
+    assert len(got) == len(got.drop_duplicates(["a", "b"])) == 29 * 15 and (got["a"] <= got["b"]).all() and np.allclose(got["corr"], want)
