@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +15,8 @@ from .panels import components
 
 #: Units of a block, whose correlations with another block have 32 MB, and values of a block that are dense, 64 MB.
 BLOCK, DENSE = 2048, 8_000_000
-#: Rows of a block that are correlated at a time.
-STRIP = 128
+#: Rows of a block that are correlated at a time, a megabyte an array.
+STRIP = 64
 
 
 def spanning_forest(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -104,11 +106,15 @@ def correlation_weights(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y
     px, py = ox.astype(float), oy.astype(float)
     wild_x, wild_y = np.isinf(x), np.isinf(y)  # not a number, or infinite
     x, y = np.where(ox & ~wild_x, x, 0.0), np.where(oy & ~wild_y, y, 0.0)
-    n, sx, sy, sxy = px @ py.T, x @ py.T, px @ y.T, x @ y.T
+    n, sx, sy = px @ py.T, x @ py.T, px @ y.T
+    less = lambda q, s, t: np.subtract(q, np.divide(np.multiply(s, t, out=t), n, out=t), out=t)
     qx, qy = (x * x) @ py.T, px @ (y * y).T
-    vx, vy, c = qx - sx * sx / n, qy - sy * sy / n, sxy - sx * sy / n
+    vx, vy = less(qx, sx, sx.copy()), less(qy, sy, sy.copy())
+    c = less(x @ y.T, sx, sy)
     # what little is left of a difference is taken anew, about the pair's own means
-    i, j = np.nonzero((n > 0) & ((vx <= 1e-7 * qx) | (vy <= 1e-7 * qy)))
+    qx *= 1e-7
+    qy *= 1e-7
+    i, j = np.nonzero(((vx <= qx) | (vy <= qy)) & (n > 0))
     for at in range(0, len(i), 4096):
         a, b = i[at : at + 4096], j[at : at + 4096]
         both = ox[a] & oy[b]
@@ -120,21 +126,30 @@ def correlation_weights(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y
 
         u, v = about(x[a]), about(y[b])
         vx[a, b], vy[a, b], c[a, b] = (u * u).sum(axis=1), (v * v).sum(axis=1), (u * v).sum(axis=1)
-    corr = c / np.sqrt(vx * vy)
-    w = np.round(np.sqrt(0.5 * (1 - np.clip(corr, -1, 1))), 9)
-    good = (seen_x.astype(float) @ seen_y.T.astype(float) >= least) & (vx > 0) & (vy > 0) & ~np.isnan(w)
+    good = (vx > 0) & (vy > 0)
+    good &= (n if np.array_equal(seen_x, ox) and np.array_equal(seen_y, oy) else seen_x.astype(float) @ seen_y.T.astype(float)) >= least
+    w = np.divide(c, np.sqrt(np.multiply(vx, vy, out=vx), out=vx), out=c)
+    np.clip(w, -1, 1, out=w)
+    np.sqrt(np.multiply(np.subtract(1, w, out=w), 0.5, out=w), out=w)
+    np.round(w, 9, out=w)
+    good &= ~np.isnan(w)
     if wild_x.any() or wild_y.any():
         good &= (wild_x.astype(float) @ py.T + px @ wild_y.T.astype(float)) == 0
-    return np.where(good, w, np.inf)
+    w[~good] = np.inf
+    return w
 
 
 def correlation_curve(panel: DataFrame, unit: str, ts: str, value: str, thresholds: list[float], least: int = 3, block: int = BLOCK) -> DataFrame:
     """``threshold_curve`` of the units as vertices, edges being the correlation distances, to nine digits, of each two over
     the times both have; pairs with fewer than ``least`` times or without variance have none.
 
+    Units are dealt to blocks by a hash, fewer to one where times are many, and each pair of blocks is a group, so a unit
     Units are dealt to blocks by a hash, fewer to one where times are many, and each pair of blocks is a group, so a unit
     moves once a block and no pair is a row.  A group gives the numbers and sums of its edges up to each threshold and its
     own lightest forest: the forest of all these has the components of all edges at each threshold.
+
+    Block 0 is met first.  At a threshold at which both ends of an edge reach one unit of it anyway, the edge joins nothing,
+    so groups of other blocks give only the forest of the edges below that.
     """
     spark = panel.sparkSession
     with_checkpoints(spark)
@@ -143,51 +158,118 @@ def correlation_curve(panel: DataFrame, unit: str, ts: str, value: str, threshol
     size_of = max(1, min(block, DENSE // max(1, size["times"])))
     blocks = max(1, -(-size["units"] // size_of))
     one = p.where("t IS NOT NULL").groupBy("u").agg(F.collect_list("t").alias("t"), F.collect_list(F.coalesce(F.when(F.isnan("v"), float("inf")).otherwise(F.col("v")), F.lit(float("nan")))).alias("v"))
-    dealt = one.withColumn("_own", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other")
+    one = one.withColumn("_own", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int"))
+    one = one.checkpoint() if blocks > 1 else one
     steps = sorted(float(x) for x in thresholds)
+    columns = {"threshold": "double", "edges": "long", "total": "double", "a": dict(panel.dtypes)[unit], "b": dict(panel.dtypes)[unit], "weight": "double", "below": "double"}
 
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
+    def pairs(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        """The units of both blocks, the weights of their edges up to the last threshold, and numbers and sums of edges."""
         times = np.unique(np.concatenate(g["t"].to_list()))
 
         def side(own):
-            q = g[g["_own"] == own]
+            q = g[g["_own"] == own].reset_index(drop=True)
             x, seen = np.full((len(q), len(times)), np.nan), np.zeros((len(q), len(times)), bool)
             for r, (t, v) in enumerate(zip(q["t"], q["v"], strict=True)):
                 at = np.searchsorted(times, t)
                 x[r, at], seen[r, at] = v, True
             known = np.isfinite(x)
             mean = np.where(known, x, 0.0).sum(axis=1) / np.maximum(1, known.sum(axis=1))
-            return q["u"].to_numpy(), x - mean[:, None], seen
+            return q, x - mean[:, None], seen
 
         i, j = int(g["_i"].iloc[0]), int(g["_j"].iloc[0])
-        ua, x, seen_x = side(i)
-        ub, y, seen_y = side(j)
-        w = np.full((len(ua), len(ub)), np.inf)
+        qa, x, seen_x = side(i)
+        qb, y, seen_y = side(j)
+        w = np.full((len(qa), len(qb)), np.inf)
         found, total = np.zeros(len(steps), np.int64), np.zeros(len(steps))
         with np.errstate(all="ignore"):
-            for at in range(0, len(ua), STRIP):
+            for at in range(0, len(qa), STRIP):
                 part = correlation_weights(x[at : at + STRIP], y, seen_x[at : at + STRIP], seen_y, least)
                 if i == j:
-                    part[np.arange(at, at + len(part))[:, None] >= np.arange(len(ub))] = np.inf  # each pair once
-                flat = part[part <= steps[-1]]
-                place = np.searchsorted(steps, flat)
-                found += np.bincount(place, minlength=len(steps)).cumsum()
-                total += np.bincount(place, flat, len(steps)).cumsum()
-                part[part > steps[-1]] = np.inf
+                    part[np.arange(at, at + len(part))[:, None] >= np.arange(len(qb))] = np.inf  # each pair once
+                place = np.zeros(part.shape, np.int8)
+                for step in steps:
+                    place += part > step
+                part[place == len(steps)] = np.inf
+                place, flat = place.ravel(), np.where(np.isinf(part), 0.0, part).ravel()
+                found += np.bincount(place, minlength=len(steps))[: len(steps)].cumsum()
+                total += np.bincount(place, flat, len(steps))[: len(steps)].cumsum()
                 w[at : at + STRIP] = part
         # of a block with itself the rows and columns are the same units, each pair being an edge from row to column
-        a, b, weight = two_sided_forest(np.minimum(w, w.T) if i == j else w)
+        return qa, qb, np.minimum(w, w.T) if i == j else w, found, total
+
+    def rows(found, total, ua, ub, w) -> pd.DataFrame:
+        a, b, weight = two_sided_forest(w)
         edges = pd.DataFrame({"a": ua[a], "b": ub[b], "weight": weight}).drop_duplicates()
         sums = pd.DataFrame({"threshold": steps, "edges": found, "total": total})
-        return pd.concat([sums, edges], ignore_index=True).reindex(columns=["threshold", "edges", "total", "a", "b", "weight"]).astype({"edges": "Int64"})
+        return pd.concat([sums, edges], ignore_index=True).reindex(columns=list(columns)).astype({"edges": "Int64"})
 
-    kind = dict(panel.dtypes)[unit]
-    groups = blocks * (blocks + 1) // 2
-    met = dealt.repartition(min(groups, 512), "_i", "_j").groupBy("_i", "_j")
-    met = met.applyInPandas(meet, f"threshold double, edges long, total double, a {kind}, b {kind}, weight double").checkpoint()
+    def met_first(hub: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """``hub`` has the weight from which on a unit of block 0 reaches the chosen one."""
+
+        def meet(g: pd.DataFrame) -> pd.DataFrame:
+            qa, qb, w, found, total = pairs(g)
+            out = rows(found, total, qa["u"].to_numpy(), qb["u"].to_numpy(), w)
+            if not g["_j"].iloc[0]:
+                return out
+            via = np.array([hub[u] for u in qa["u"]]).reshape(-1, 1)
+            reached = np.searchsorted(steps, np.maximum(w, via).min(axis=0, initial=np.inf))
+            below = pd.DataFrame({"a": qb["u"], "below": np.array([-np.inf, *steps])[reached]})
+            return pd.concat([out, below], ignore_index=True).reindex(columns=list(columns)).astype({"edges": "Int64"})
+
+        return meet
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        qa, qb, w, found, total = pairs(g)
+        w[w > np.maximum(qa["below"].to_numpy()[:, None], qb["below"].to_numpy()[None, :])] = np.inf
+        some = np.isfinite(w)
+        r, c = (np.flatnonzero(some.any(axis=k)) for k in (1, 0))
+        return rows(found, total, qa["u"].to_numpy()[r], qb["u"].to_numpy()[c], w[np.ix_(r, c)])
+
+    def groups(of, f, n):
+        met = of.repartition(min(n, 512), "_i", "_j").groupBy("_i", "_j")
+        return met.applyInPandas(f, ", ".join(f"{c} {kind}" for c, kind in columns.items())).checkpoint()
+
+    others = F.explode(F.sequence(F.lit(1), F.lit(blocks - 1)))
+    at_home = one.select("*", F.lit(0).alias("_i"), F.col("_own").alias("_j"))
+    if blocks == 1:
+        met = groups(at_home, met_first({}), 1)
+    else:
+        block = one.where("_own = 0").toPandas()  # a block of units, bounded as any group
+        ends, hub = hub_of(*pairs(block.assign(_i=0, _j=0))[1:3], steps[0]) if len(block) else ([], {})
+        to_all = one.where("_own = 0").withColumn("_other", others).select("u", "t", "v", "_own", F.lit(0).alias("_i"), F.col("_other").alias("_j"))
+        met = groups(at_home.unionByName(to_all), met_first(hub), blocks)
+        below = met.where("below IS NOT NULL").select(F.col("a").alias("u"), "below")
+        rest = one.where("_own > 0").join(below, "u", "left").withColumn("below", F.coalesce("below", F.lit(steps[-1]))).withColumn("_other", others)
+        rest = rest.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other")
+        met = met.unionByName(groups(rest, meet, blocks * (blocks - 1) // 2))
     own = met.where("threshold IS NOT NULL").groupBy("threshold").agg(F.sum("edges").alias("edges"), F.try_divide(F.sum("total"), F.sum("edges")).alias("mean"))
-    return curve_of(own, spanning_forest(met.where("threshold IS NULL").select("a", "b", "weight")), size["units"], thresholds)
+    edges = met.where("weight IS NOT NULL").select("a", "b", "weight")
+    if blocks > 1 and ends:
+        edges = edges.union(spark.createDataFrame(ends, edges.schema))
+    return curve_of(own, spanning_forest(edges), size["units"], thresholds)
+
+
+def hub_of(units: pd.DataFrame, w: np.ndarray, near: float) -> tuple[list[tuple], dict]:
+    """Edges of a lightest forest of a block of units with weights ``w``, and the weight from which on each unit reaches the
+    one that has most edges up to ``near``."""
+    u = units["u"].tolist()
+    ends = sorted({(float(x), *sorted((int(i), int(j)))) for i, j, x in zip(*two_sided_forest(w), strict=True)})
+    top = int((w <= near).sum(axis=0).argmax())
+    home, members, via = list(range(len(u))), [[i] for i in range(len(u))], np.full(len(u), np.inf)
+    via[top] = -np.inf
+    for x, i, j in ends:
+        i, j = home[i], home[j]
+        if i == j:
+            continue
+        if home[top] == j:
+            i, j = j, i
+        if home[top] == i:
+            via[members[j]] = x
+        for k in members[j]:
+            home[k] = i
+        members[i] += members[j]
+    return [(u[i], u[j], x) for x, i, j in ends], dict(zip(u, via.tolist(), strict=True))
 
 
 def topology_score(curve: DataFrame) -> DataFrame:

@@ -276,3 +276,16 @@ def test_session_folders_are_found_by_tasks(spark, tmp_path):
     (tmp_path / "session=1" / "note.txt").write_text('{"event_id": 9, "status": "OK"}\n')
     got = read_sessions(spark, f"file://{tmp_path}", "event_id long, status string")
     assert sorted((r["session"], r["event_id"]) for r in got.collect()) == [("0", 1), ("1", 1), ("2", 1)]
+
+
+def test_blocks_give_few_edges_beside_the_first(spark, monkeypatch):
+    """Ends that reach one unit of the first block anyway need no edge, so the forest gets about two edges a unit."""
+    users, days, marks = 240, 30, [0.5, 0.6, 0.65, 0.7]
+    v = np.random.default_rng(8).normal(size=(users, days)) + np.sin(np.arange(days)) * 0.5
+    v[:3] = np.random.default_rng(9).normal(size=(3, days))  # hardly near to any other
+    panel = spark.createDataFrame([(u, t, float(x)) for (u, t), x in np.ndenumerate(v)], "u long, t long, v double")
+    given, forest = [], topology.spanning_forest
+    monkeypatch.setattr(topology, "spanning_forest", lambda e, *a: given.append(e.count()) or forest(e, *a))
+    curves = [sorted((r["threshold"], r["edges"], r["components"], round(r["bar"], 9)) for r in topology.correlation_curve(panel, "u", "t", "v", marks, block=n).collect()) for n in (30, 2048)]
+    assert curves[0] == curves[1] and curves[0][0][2] > 1
+    assert given[0] < 4 * users
